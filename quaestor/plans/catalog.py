@@ -862,7 +862,6 @@ def quota_window(spark, folder):
     return U.window_quota(D.usage_events(spark, folder), 1, 3, 3600)
 
 
-@query
 def quota_stream(spark, folder):
     """The stream's decisions over the whole event table, read as a stream."""
     import tempfile
