@@ -113,7 +113,7 @@ def query_model(config: Column, legacy: Column, dimensions: int = EMBEDDING_DIME
 
 def content_hash(record: Column, config: Column) -> Column:
     """Key of what is stored for a record: the record and the index configuration."""
-    return F.sha2(F.concat_ws("\n", F.to_json(record), config), 256)
+    return F.sha2(F.concat_ws("\n", F.to_json(record, {"ignoreNullFields": "false"}), config), 256)
 
 
 def short_title(title: Column) -> Column:

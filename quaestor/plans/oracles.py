@@ -94,10 +94,10 @@ RECORD_TEXT = f"titre || {NL} || auteur || {NL} || destinataire || {NL} || 'QUES
 
 LEXICAL = f"""
 doc_terms AS MATERIALIZED (
-  SELECT question_id, title_words, unnest(list_distinct({index_words(RECORD_TEXT)})) AS term
-  FROM (SELECT *, {index_words('titre')} AS title_words FROM recs WHERE reponse IS NOT NULL)
-), found AS MATERIALIZED (
-  SELECT question_id, term, list_contains(title_words, term) AS in_title FROM doc_terms WHERE term IN (SELECT term FROM terms)
+  SELECT question_id, unnest(list_distinct({index_words(RECORD_TEXT)})) AS term FROM recs WHERE reponse IS NOT NULL
+), title_terms AS (SELECT DISTINCT question_id, unnest({index_words('titre')}) AS term FROM recs),
+found AS MATERIALIZED (
+  SELECT question_id, term, t.term IS NOT NULL AS in_title FROM doc_terms LEFT JOIN title_terms t USING (question_id, term) WHERE term IN (SELECT term FROM terms)
 ), idf AS (
   SELECT term, ln(1 + (SELECT count(*) FROM recs WHERE reponse IS NOT NULL) / (1 + count(*))) AS idf FROM found GROUP BY term
 ), lexical AS MATERIALIZED (
@@ -352,11 +352,13 @@ SQL["passage_split"] = with_(RECS, PASSAGES) + "SELECT passage_id, question_id,
 SQL["search_text"] = with_(RECS, PASSAGES) + "SELECT passage_id, search_text FROM passages"
 SQL["passage_sizes"] = with_(RECS, PASSAGES) + "SELECT question_id, count(*) AS n_inputs, sum(strlen(search_text))::BIGINT AS n_bytes FROM passages GROUP BY question_id"
 SQL["passage_words"] = with_(RECS, PASSAGES) + f"""
-SELECT passage_id, word, count(*) AS tf, bool_or(list_contains(t, word)) AS in_title
-FROM (SELECT passage_id, {index_words(f"split_part(search_text, {NL}, 1)")} AS t, unnest({index_words('search_text')}) AS word FROM passages) GROUP BY passage_id, word"""
+SELECT passage_id, word, tf, t.word IS NOT NULL AS in_title
+FROM (SELECT passage_id, word, count(*) AS tf FROM (SELECT passage_id, unnest({index_words('search_text')}) AS word FROM passages) GROUP BY ALL) w
+LEFT JOIN (SELECT DISTINCT passage_id, unnest({index_words(f"split_part(search_text, {NL}, 1)")}) AS word FROM passages) t USING (passage_id, word)"""
 SQL["postings"] = with_(RECS) + f"""
-SELECT term, question_id, count(*) AS tf, bool_or(list_contains(t, term)) AS in_title
-FROM (SELECT question_id, {index_words('titre')} AS t, unnest({index_words(RECORD_TEXT)}) AS term FROM recs WHERE reponse IS NOT NULL) GROUP BY term, question_id"""
+SELECT term, question_id, tf, t.term IS NOT NULL AS in_title
+FROM (SELECT question_id, term, count(*) AS tf FROM (SELECT question_id, unnest({index_words(RECORD_TEXT)}) AS term FROM recs WHERE reponse IS NOT NULL) GROUP BY ALL) w
+LEFT JOIN (SELECT DISTINCT question_id, unnest({index_words('titre')}) AS term FROM recs) t USING (question_id, term)"""
 SQL["document_frequency"] = with_(RECS) + f"""
 SELECT term, count(*) AS df, round(ln(1 + (SELECT count(*) FROM recs WHERE reponse IS NOT NULL) / (1 + count(*))), 6) AS idf
 FROM (SELECT unnest(list_distinct({index_words(RECORD_TEXT)})) AS term FROM recs WHERE reponse IS NOT NULL) GROUP BY term"""
@@ -413,7 +415,7 @@ SELECT a.query_id, 'extraits' AS mode, CASE WHEN max(id) IS NULL THEN 'insuffisa
   coalesce(string_agg(CASE WHEN n > 1 THEN 'Passages' ELSE 'Passage' END || ' de la réponse du ' || d || ' :', '|' ORDER BY fr), '{V.INSUFFICIENT_TEXT}') AS paragraphs,
   coalesce(string_agg(id, '|' ORDER BY fr), '') AS source_ids,
   coalesce(string_agg(replace(url_source, 'http:', 'https:'), '|' ORDER BY fr), '') AS urls,
-  coalesce(string_agg('fond', '|' ORDER BY fr), '') AS natures
+  coalesce(string_agg(CASE WHEN id IS NOT NULL THEN 'fond' END, '|' ORDER BY fr), '') AS natures
 FROM asked a LEFT JOIN full_srcs USING (query_id) GROUP BY a.query_id"""
 GENERATED = """
 lists AS (SELECT query_id, text, coalesce(ids, []) AS ids FROM asked LEFT JOIN (SELECT query_id, list(passage_id ORDER BY hit_rank) AS ids FROM filtered GROUP BY query_id) USING (query_id)),
