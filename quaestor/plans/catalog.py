@@ -862,14 +862,15 @@ def quota_window(spark, folder):
     return U.window_quota(D.usage_events(spark, folder), 1, 3, 3600)
 
 
+@query
 def quota_stream(spark, folder):
     """The stream's decisions over the whole event table, read as a stream."""
-    import tempfile
+    from uuid import uuid4
 
     from quaestor.session import ensure_checkpoint_dir
     from quaestor.streaming.quota_stream import run_available
 
-    root = tempfile.mkdtemp(prefix="quota-", dir=ensure_checkpoint_dir(spark).removeprefix("file:"))
+    root = f"{ensure_checkpoint_dir(spark)}/quota-{uuid4()}"
     D.usage_events(spark, folder).write.parquet(f"{root}/events")
     schema = spark.read.parquet(f"{root}/events").schema
     events = spark.readStream.schema(schema).parquet(f"{root}/events")

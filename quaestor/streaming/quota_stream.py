@@ -101,6 +101,9 @@ def run_available(events: DataFrame, sink: str, checkpoint: str, limits: Limits
     """Runs both stages over what the source holds now and returns (event_id, grant) of its reservations."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # State that expires by processing time asks for empty batches for ever; a
+    # run over what is available ends with the data.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
     def drain(df: DataFrame, name: str) -> None:
         query = (
