@@ -22,6 +22,7 @@ from quaestor.fixed_values import (
     SIMILARITY_THRESHOLD,
 )
 from quaestor.operators.sizing import small_side
+from quaestor.session import materialised
 
 
 def per_query():
@@ -64,37 +65,38 @@ def top_lexical(scores: DataFrame) -> DataFrame:
 
 
 def _prefix(both: DataFrame, first: str, second: str, depth: int) -> DataFrame:
+    """The first ``depth`` rows of a ranking with their rank in it: those before a row are all kept."""
     order = per_query().orderBy(F.desc_nulls_last(first), F.desc_nulls_last(second), "question_id")
-    return both.where(F.col(first).isNotNull()).withColumn("_row", F.row_number().over(order)).where(
+    kept = both.where(F.col(first).isNotNull()).withColumn("_row", F.row_number().over(order)).where(
         F.col("_row") <= depth
-    ).drop("_row")
+    )
+    return kept.withColumn(f"{first}_rank", F.rank().over(per_query().orderBy(F.desc(first)))).drop("_row")
 
 
-def _exact_rank(scores: DataFrame, candidates: DataFrame, score: str, rank: str, n_queries: int) -> DataFrame:
-    """Adds the rank of each candidate among *all* scores of its query.
+def _deep_ranks(scores: DataFrame, candidates: DataFrame, score: str, n_queries: int) -> DataFrame:
+    """(query_id, score, rank) of the candidates below the prefix of a ranking, among *all* scores of their query.
 
-    Candidates' scores cut the ranking of a query into at most a few hundred
-    intervals; scores are counted per interval (partial counts first) and the
-    counts are summed from the top.
+    Their scores cut the ranking of a query into at most a few dozen intervals;
+    scores are counted per interval (partial counts first) and the counts are
+    summed from the top.
     """
-    cuts = candidates.where(F.col(score).isNotNull()).groupBy("query_id").agg(
-        F.array_sort(F.collect_set(score)).alias("_cuts")
-    )
+    deep = candidates.where(F.col(score).isNotNull() & F.col(f"{score}_rank").isNull())
+    cuts = deep.groupBy("query_id").agg(F.array_sort(F.collect_set(score)).alias("_cuts"))
     cuts = small_side(cuts, n_queries, 16 * 2 * (FUSION_DEPTH + MAX_RESULTS))
     counts = (
         scores.join(cuts, "query_id")
+        .where(F.col(score) > F.get("_cuts", 0))
         .select("query_id", F.size(F.filter("_cuts", lambda c: c < F.col(score))).alias("_above"))
         .groupBy("query_id", "_above")
         .agg(F.count("*").alias("_n"))
     )
     # Rows above the cut at index j (0-based, ascending) are those with more than j cuts below them.
     positions = cuts.select("query_id", F.posexplode("_cuts").alias("_j", score))
-    ranks = (
+    return (
         positions.join(counts, (positions.query_id == counts.query_id) & (counts["_above"] > positions["_j"]), "left")
         .groupBy(positions.query_id, score)
-        .agg((1 + F.coalesce(F.sum("_n"), F.lit(0))).alias(rank))
+        .agg((1 + F.coalesce(F.sum("_n"), F.lit(0))).alias("_rank"))
     )
-    return candidates.join(ranks, ["query_id", score], "left")
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, n_queries: int) -> DataFrame:
@@ -110,11 +112,18 @@ def fuse(lexical: DataFrame, semantic: DataFrame, n_queries: int) -> DataFrame:
     )
     both = lex.join(sem, ["query_id", "question_id"], "full")
     depth = FUSION_DEPTH + MAX_RESULTS
-    candidates = _prefix(both, "lexical", "semantic", depth).unionByName(
-        _prefix(both, "semantic", "lexical", depth)
-    ).distinct()
-    ranked = _exact_rank(lex, candidates, "lexical", "lexical_rank", n_queries)
-    ranked = _exact_rank(sem, ranked, "semantic", "semantic_rank", n_queries)
+    columns = ("lexical", "semantic", "lexical_rank", "semantic_rank")
+    ranked = materialised(
+        _prefix(both, "lexical", "semantic", depth)
+        .unionByName(_prefix(both, "semantic", "lexical", depth), allowMissingColumns=True)
+        .groupBy("query_id", "question_id")
+        .agg(*[F.max(c).alias(c) for c in columns])
+    )
+    for scores, score in ((lex, "lexical"), (sem, "semantic")):
+        ranks = _deep_ranks(scores, ranked, score, n_queries)
+        ranked = ranked.join(ranks, ["query_id", score], "left").withColumn(
+            f"{score}_rank", F.coalesce(f"{score}_rank", "_rank")
+        ).drop("_rank")
 
     def share(rank: str) -> Column:
         return F.coalesce(1.0 / (RRF_OFFSET + F.col(rank)), F.lit(0.0))

@@ -564,3 +564,85 @@ SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, max(ms)::INT AS
   SELECT 'quota' AS step, floor(value * 10)::INT AS ms FROM events
   UNION ALL SELECT 'search', (props::JSON->>'k')::INT FROM events
   UNION ALL SELECT 'generation', floor(value * 100)::INT FROM events WHERE event_type = 'purchase') GROUP BY step"""
+
+# Quotas: each hour, then each day, is replayed event by event.
+QUOTA = """
+WITH RECURSIVE timed AS (
+  SELECT event_id, ts, user_id::VARCHAR AS session, (user_id % 20)::VARCHAR AS ip, event_type,
+    lag(event_type) OVER w AS pt, lag(ts) OVER w AS pts, lag(event_id) OVER w AS pid
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), usage AS (
+  SELECT event_id, ts, session, ip, event_type = 'error' AND pt IS NOT NULL AND pt <> 'error' AS release, pts, pid,
+    CASE WHEN event_type = 'error' AND pt IS NOT NULL AND pt <> 'error' THEN pt = 'purchase' ELSE event_type = 'purchase' END AS paid FROM timed
+), ev AS (
+  SELECT *, row_number() OVER (PARTITION BY period ORDER BY ts, event_id) AS n
+  FROM (SELECT *, strftime(CASE WHEN release THEN pts ELSE ts END, '%Y-%m-%d-%H') AS period FROM usage
+        WHERE NOT release OR pts BETWEEN ts - INTERVAL 10 MINUTE AND ts + INTERVAL 1 MINUTE)
+), hourly AS (
+  SELECT DISTINCT period, 0::BIGINT AS n, MAP {}::MAP(VARCHAR, INT) AS used, []::BIGINT[] AS granted, NULL::BIGINT AS event_id, false AS counted FROM ev
+  UNION ALL
+  SELECT e.period, e.n,
+    CASE WHEN ok THEN map_concat(used, MAP {'s' || session: greatest(cs + d, 0), 'i' || ip: greatest(ci + d, 0)}) ELSE used END,
+    CASE WHEN ok AND release THEN list_filter(granted, lambda x: x <> pid) WHEN ok THEN list_append(granted, e.event_id) ELSE granted END, e.event_id, ok
+  FROM hourly h JOIN ev e ON e.period = h.period AND e.n = h.n + 1,
+    LATERAL (SELECT coalesce(map_extract_value(h.used, 's' || e.session), 0) AS cs, coalesce(map_extract_value(h.used, 'i' || e.ip), 0) AS ci, CASE WHEN e.release THEN -1 ELSE 1 END AS d),
+    LATERAL (SELECT CASE WHEN e.release THEN list_contains(h.granted, e.pid) ELSE cs < 1 AND ci < 100 END AS ok)
+), dv AS (
+  SELECT ev.*, left(ev.period, 10) AS day, row_number() OVER (PARTITION BY left(ev.period, 10) ORDER BY ts, ev.event_id) AS k
+  FROM ev JOIN hourly h ON h.event_id = ev.event_id WHERE counted AND paid
+), daily AS (
+  SELECT DISTINCT day, 0::BIGINT AS k, MAP {}::MAP(VARCHAR, INT) AS used, []::BIGINT[] AS granted, NULL::BIGINT AS event_id, false AS ai FROM dv
+  UNION ALL
+  SELECT e.day, e.k,
+    CASE WHEN ok THEN map_concat(used, MAP {'ai': greatest(cs + d, 0), 'i' || ip: greatest(ci + d, 0)}) ELSE used END,
+    CASE WHEN ok AND release THEN list_filter(granted, lambda x: x <> pid) WHEN ok THEN list_append(granted, e.event_id) ELSE granted END, e.event_id, ok
+  FROM daily h JOIN dv e ON e.day = h.day AND e.k = h.k + 1,
+    LATERAL (SELECT coalesce(map_extract_value(h.used, 'ai'), 0) AS cs, coalesce(map_extract_value(h.used, 'i' || e.ip), 0) AS ci, CASE WHEN e.release THEN -1 ELSE 1 END AS d),
+    LATERAL (SELECT CASE WHEN e.release THEN list_contains(h.granted, e.pid) ELSE cs < 40 AND ci < 3 END AS ok)
+), grants AS (
+  SELECT event_id, CASE WHEN NOT h.counted THEN 'refuse' WHEN coalesce(d.ai, false) THEN 'ia' ELSE 'extraits' END AS "grant"
+  FROM usage u JOIN hourly h USING (event_id) LEFT JOIN daily d USING (event_id) WHERE NOT release
+)
+"""
+SQL["quota_full"] = QUOTA + 'SELECT event_id, "grant" FROM grants'
+SQL["quota_stream"] = SQL["quota_full"]
+SQL["quota_counters"] = QUOTA + """, used_buckets AS (
+  SELECT unnest(CASE WHEN "grant" = 'ia' THEN ['s:' || session || strftime(ts, '%Y%m%d%H'), 'ip:' || ip || strftime(ts, '%Y%m%d%H'), 'ai:' || strftime(ts, '%Y%m%d'), 'ai-ip:' || ip || '-' || strftime(ts, '%Y%m%d')]
+    ELSE ['s:' || session || strftime(ts, '%Y%m%d%H'), 'ip:' || ip || strftime(ts, '%Y%m%d%H')] END) AS bucket FROM grants JOIN usage USING (event_id) WHERE "grant" <> 'refuse')
+SELECT split_part(bucket, ':', 1) AS counter, count(DISTINCT bucket) AS buckets, count(*) AS used FROM used_buckets GROUP BY 1"""
+
+# Both searches of the same queries in one statement.
+BOTH = with_(RECS, PASSAGES, TERMS, LEXICAL, SIMILAR, LEX_FUSED, selected(6), hits(LEX_SIMILARITY), RELEVANT)
+
+
+def _renamed(ctes: str) -> str:
+    for name in ("fused", "selected", "wanted", "scored", "best", "hits"):
+        ctes = ctes.replace(f"\n{name} AS", f"\nhybrid_{name} AS").replace(f"FROM {name} ", f"FROM hybrid_{name} ").replace(f"JOIN {name} ", f"JOIN hybrid_{name} ").replace(f"FROM {name}\n", f"FROM hybrid_{name}\n")
+    return ctes
+
+
+HYBRID_PART = _renamed(HYBRID_FUSED + "," + selected(6).replace("FROM fused QUALIFY", "FROM fused QUALIFY") + "," + hits(HYB_SIMILARITY))
+SQL["mixed_mode_search"] = BOTH.rstrip() + "," + HYBRID_PART + """
+SELECT query_id, hit_rank, passage_id, round(score, 6) AS score FROM filtered JOIN asked USING (query_id) WHERE length(text) <= 200
+UNION ALL SELECT query_id, hit_rank, passage_id, round(score, 6) FROM hybrid_hits JOIN asked USING (query_id) WHERE length(text) > 200"""
+DIFFERENCES = BOTH.rstrip() + "," + HYBRID_PART + """,
+lists AS (
+  SELECT query_id, a, b, list_transform(a, lambda x: split_part(x, ':', 1)) AS qa, list_transform(b, lambda x: split_part(x, ':', 1)) AS qb
+  FROM (SELECT query_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM (SELECT query_id, list(passage_id ORDER BY hit_rank) AS a FROM filtered GROUP BY 1)
+    FULL JOIN (SELECT query_id, list(passage_id ORDER BY hit_rank) AS b FROM hybrid_hits GROUP BY 1) USING (query_id))
+), firsts AS (
+  SELECT *, list_filter(qa, lambda x, i: list_position(qa, x) = i) AS da, list_filter(qb, lambda x, i: list_position(qb, x) = i) AS db FROM lists
+), differences AS (
+  SELECT query_id, CASE WHEN len(b) = 0 THEN 'sql-vide' WHEN len(a) = 0 THEN 'local-vide' WHEN da[1] <> db[1] THEN 'premiere-question' WHEN da <> db THEN 'questions'
+    WHEN list_sort(a) <> list_sort(b) THEN 'passages' ELSE 'ordre' END AS kind FROM firsts WHERE a <> b
+  UNION ALL SELECT f.query_id, 'scores' FROM firsts l JOIN filtered f USING (query_id) JOIN hybrid_hits h ON h.query_id = f.query_id AND h.hit_rank = f.hit_rank
+    WHERE l.a = l.b AND round(f.score, 6) <> round(h.score, 6)
+)
+"""
+SQL["ranking_diff"] = DIFFERENCES + "SELECT query_id, kind FROM differences"
+SQL["ranking_diff_tally"] = DIFFERENCES + "SELECT kind, count(*) AS differences FROM differences GROUP BY kind"
+SQL["answer_judgement"] = JUDGED + "," + GENERATED + """
+SELECT query_id, kind, CASE WHEN off_topic THEN verdict = 'insuffisant'
+  ELSE verdict = 'documente' AND len(list_filter(list_transform(CASE WHEN k IN (1, 2) THEN ids[1:2] ELSE ids[1:2] END, lambda x: split_part(x, ':', 1)),
+    lambda q: list_contains((SELECT list(question_id) FROM expected e WHERE e.query_id = verdicts.query_id), q))) > 0 END AS pass
+FROM cases JOIN verdicts USING (query_id) WHERE verdict IN ('documente', 'insuffisant')"""

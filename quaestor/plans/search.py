@@ -126,9 +126,11 @@ def ranked_documents(
     lexical = lexical_scores(records, terms, n_queries, words)
     if vectors is None:
         return top_lexical(lexical)
+    # Read by both prefixes of the fusion and by the counts of deep ranks.
+    lexical = materialised(lexical)
     searched = vectors.passages.join(answered(records).select("question_id"), "question_id", "left_semi")
     similar = similar_passages(searched, vectors.queries, n_queries, vectors.dimensions)
-    return fuse(lexical, semantic_scores(similar), n_queries)
+    return fuse(lexical, materialised(semantic_scores(similar)), n_queries)
 
 
 def search(
