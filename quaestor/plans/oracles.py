@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quaestor import fixed_values as V
 from quaestor.plans.catalog import PAGE_HOSTS
 from quaestor.sources.driver_tables import NOW, TODAY
@@ -617,11 +619,12 @@ BOTH = with_(RECS, PASSAGES, TERMS, LEXICAL, SIMILAR, LEX_FUSED, selected(6), hi
 
 def _renamed(ctes: str) -> str:
     for name in ("fused", "selected", "wanted", "scored", "best", "hits"):
-        ctes = ctes.replace(f"\n{name} AS", f"\nhybrid_{name} AS").replace(f"FROM {name} ", f"FROM hybrid_{name} ").replace(f"JOIN {name} ", f"JOIN hybrid_{name} ").replace(f"FROM {name}\n", f"FROM hybrid_{name}\n")
+        ctes = re.sub(rf"\b{name}\b(?= AS (?:MATERIALIZED )?\()", f"hybrid_{name}", ctes)
+        ctes = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 hybrid_{name}", ctes)
     return ctes
 
 
-HYBRID_PART = _renamed(HYBRID_FUSED + "," + selected(6).replace("FROM fused QUALIFY", "FROM fused QUALIFY") + "," + hits(HYB_SIMILARITY))
+HYBRID_PART = _renamed(HYBRID_FUSED + "," + selected(6) + "," + hits(HYB_SIMILARITY))
 SQL["mixed_mode_search"] = BOTH.rstrip() + "," + HYBRID_PART + """
 SELECT query_id, hit_rank, passage_id, round(score, 6) AS score FROM filtered JOIN asked USING (query_id) WHERE length(text) <= 200
 UNION ALL SELECT query_id, hit_rank, passage_id, round(score, 6) FROM hybrid_hits JOIN asked USING (query_id) WHERE length(text) > 200"""
@@ -641,8 +644,7 @@ lists AS (
 """
 SQL["ranking_diff"] = DIFFERENCES + "SELECT query_id, kind FROM differences"
 SQL["ranking_diff_tally"] = DIFFERENCES + "SELECT kind, count(*) AS differences FROM differences GROUP BY kind"
-SQL["answer_judgement"] = JUDGED + "," + GENERATED + """
+SQL["answer_judgement"] = JUDGED + "," + GENERATED + """, el AS (SELECT query_id, list(question_id) AS el FROM expected GROUP BY 1)
 SELECT query_id, kind, CASE WHEN off_topic THEN verdict = 'insuffisant'
-  ELSE verdict = 'documente' AND len(list_filter(list_transform(CASE WHEN k IN (1, 2) THEN ids[1:2] ELSE ids[1:2] END, lambda x: split_part(x, ':', 1)),
-    lambda q: list_contains((SELECT list(question_id) FROM expected e WHERE e.query_id = verdicts.query_id), q))) > 0 END AS pass
-FROM cases JOIN verdicts USING (query_id) WHERE verdict IN ('documente', 'insuffisant')"""
+  ELSE verdict = 'documente' AND len(list_intersect(list_transform(ids[1:2], lambda x: split_part(x, ':', 1)), coalesce(el, []))) > 0 END AS pass
+FROM cases JOIN verdicts USING (query_id) LEFT JOIN el USING (query_id) WHERE verdict IN ('documente', 'insuffisant')"""
