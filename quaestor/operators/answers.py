@@ -103,7 +103,7 @@ def context_hits(hits: DataFrame, record_passages: DataFrame, queries: DataFrame
     wanted = queries.select("query_id", F.array_distinct(query_words(expanded(F.col("text")))).alias("wanted"))
     others = (
         record_passages.where(F.col("section") == "reponse")
-        .join(F.broadcast(numbered), "question_id")
+        .join(numbered, "question_id")
         .join(hits.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti")
         .join(wanted, "query_id")
         .where(F.arrays_overlap(query_words(F.col("content")), "wanted"))

@@ -160,8 +160,10 @@ def lexical_scores(
     per query, which decides between broadcast and salted shuffle.
     """
     n_terms = n_queries * MAX_QUERY_TERMS
-    # A root has several written forms; allow for them in the size check.
-    matched = matched_terms(records, word_forms(terms, words), n_terms * (1 if words is None else 8))
+    forms = word_forms(terms, words)
+    # A root has any number of written forms: they are counted before they are sent anywhere.
+    n_forms = n_terms if words is None else forms.count()
+    matched = matched_terms(records, forms, n_forms)
     frequency = matched.groupBy("term").agg(F.count("*").alias("df"))
     n_records = frequency.where(F.col("term") == EVERY_RECORD).select("df").scalar()
     weights = terms.join(frequency, "term").select(

@@ -152,7 +152,7 @@ def activation_checks(
     ``expected``: version_id, passage_count. The verdict is the first failing
     check, or 'ok'.
     """
-    asked = versions.join(F.broadcast(expected), "version_id").select(
+    asked = versions.join(expected, "version_id").select(
         "version_id", "count", "index_config", "passage_count"
     )
     own = members.join(asked.select("version_id"), "version_id", "left_semi")
@@ -167,7 +167,7 @@ def activation_checks(
     )
     joined = (
         own.join(per_content, "content_hash", "left")
-        .join(F.broadcast(asked.select("version_id", declared.alias("model"))), "version_id")
+        .join(asked.select("version_id", declared.alias("model")), "version_id")
     )
     wrong_model = F.exists("models", lambda m: m != F.coalesce("model", F.lit("")))
     facts = joined.groupBy("version_id").agg(
@@ -233,7 +233,7 @@ def retention(versions: DataFrame, keep: int, now: Column) -> DataFrame:
 
 def removable_contents(doc_store: DataFrame, members: DataFrame, kept: DataFrame, now: Column) -> DataFrame:
     """Contents over an hour old that no kept version refers to."""
-    referred = members.join(F.broadcast(kept.where("kept").select("version_id")), "version_id", "left_semi")
+    referred = members.join(kept.where("kept").select("version_id"), "version_id", "left_semi")
     return doc_store.where(F.col("created_at") < now - F.expr(HOUR)).join(
         referred.select("content_hash"), "content_hash", "left_anti"
     )
@@ -298,7 +298,7 @@ def version_weights(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def corpus_info(versions: DataFrame, members: DataFrame, doc_store: DataFrame) -> DataFrame:
     """Figures of the active version: count, answered records, most recent date."""
     active = versions.where("active")
-    documents = members.join(F.broadcast(active.select("version_id")), "version_id", "left_semi").join(
+    documents = members.join(active.select("version_id"), "version_id", "left_semi").join(
         doc_store, "content_hash"
     )
     facts = documents.groupBy("version_id").agg(

@@ -22,8 +22,7 @@ from quaestor.operators import refresh as N
 from quaestor.operators import versions as C
 from quaestor.operators.passages import passages, weighted_words
 from quaestor.operators.semantic import semantic_scores, similar_passages, top_similar
-from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, selected_passages
-from quaestor.plans.search import _words_per_query as words_per_query
+from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, selected_passages, words_per_query
 from quaestor.session import materialised
 from quaestor.sources import driver_tables as D
 from quaestor.sources import index_pages as P
@@ -456,7 +455,7 @@ def _hits(spark, folder):
 @query
 def context_expansion(spark, folder):
     records, queries, hits = _hits(spark, folder)
-    chosen = records.join(F.broadcast(hits.select("question_id").distinct()), "question_id", "left_semi")
+    chosen = records.join(hits.select("question_id").distinct(), "question_id", "left_semi")
     return A.context_hits(hits, passages(chosen), queries).select("query_id", "context_rank", "passage_id", "origin")
 
 

@@ -40,19 +40,28 @@ class Vectors:
     dimensions: int
 
 
-def _words_per_query(terms: DataFrame, words: DataFrame | None, name: str) -> DataFrame:
+def words_per_query(terms: DataFrame, words: DataFrame | None, name: str) -> DataFrame:
     """(query_id, name): map from each written form to its root."""
     forms = terms.select("query_id", "term").join(word_forms(terms, words), "term")
     return forms.groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "term"))).alias(name))
 
 
 def selected_passages(
-    selected: DataFrame, records: DataFrame, wanted: DataFrame, vectors: Vectors | None, n_queries: int
+    selected: DataFrame,
+    records: DataFrame,
+    wanted: DataFrame,
+    vectors: Vectors | None,
+    n_queries: int,
+    words_bounded: bool = True,
 ) -> DataFrame:
-    """Answer passages of the selected records with their occurrences of query words and similarity."""
+    """Answer passages of the selected records with their occurrences of query words and similarity.
+
+    ``words_bounded``: ``wanted`` holds at most ``MAX_QUERY_TERMS`` words per query (not so with written forms).
+    """
     n_rows = n_queries * MAX_RESULTS
     chosen = small_side(selected, n_rows, 64)
-    found = answered(records).join(chosen, "question_id").join(small_side(wanted, n_queries, 64 * MAX_QUERY_TERMS), "query_id")
+    asked = small_side(wanted, n_queries, 64 * MAX_QUERY_TERMS) if words_bounded else wanted
+    found = answered(records).join(chosen, "question_id").join(asked, "query_id")
     parts = found.select(
         "query_id",
         "question_id",
@@ -85,7 +94,7 @@ def selected_passages(
 
 def relevant(hits: DataFrame, records: DataFrame, queries: DataFrame, words: DataFrame | None, n_queries: int) -> DataFrame:
     """Hits whose record holds at least 60 % of the query's own words; none when the query has none left."""
-    forms = _words_per_query(filter_terms(queries, FILTER_GENERIC_WORDS, words is not None), words, "forms")
+    forms = words_per_query(filter_terms(queries, FILTER_GENERIC_WORDS, words is not None), words, "forms")
     totals = filter_terms(queries, FILTER_GENERIC_WORDS, words is not None).groupBy("query_id").agg(
         F.count("*").alias("n_filter")
     )
@@ -93,7 +102,7 @@ def relevant(hits: DataFrame, records: DataFrame, queries: DataFrame, words: Dat
     text = F.concat_ws(" ", "titre", "question", "reponse")
     checked = (
         records.join(pairs, "question_id")
-        .join(small_side(forms, n_queries, 64 * MAX_QUERY_TERMS), "query_id")
+        .join(forms, "query_id")
         .join(small_side(totals, n_queries, 16), "query_id")
         .select(
             "query_id",
@@ -148,12 +157,12 @@ def search(
     (``filtered`` overrides this).
     """
     n_queries = queries.count() if n_queries is None else n_queries
-    words = vocabulary(records) if stemmed else None
+    words = materialised(vocabulary(records)) if stemmed else None
     terms = materialised(query_terms(queries, stemmed))
     best = ranked_documents(records, queries, terms, n_queries, words, vectors)
     selected = materialised(select_documents(best, queries))
-    wanted = _words_per_query(terms, words, "wanted")
-    rows = interleave(best_passages(selected_passages(selected, records, wanted, vectors, n_queries)))
+    wanted = words_per_query(terms, words, "wanted")
+    rows = interleave(best_passages(selected_passages(selected, records, wanted, vectors, n_queries, words is None)))
     hits = rows.select(
         "query_id",
         "hit_rank",
