@@ -648,3 +648,22 @@ SQL["answer_judgement"] = JUDGED + "," + GENERATED + """, el AS (SELECT query_id
 SELECT query_id, kind, CASE WHEN off_topic THEN verdict = 'insuffisant'
   ELSE verdict = 'documente' AND len(list_intersect(list_transform(ids[1:2], lambda x: split_part(x, ':', 1)), coalesce(el, []))) > 0 END AS pass
 FROM cases JOIN verdicts USING (query_id) LEFT JOIN el USING (query_id) WHERE verdict IN ('documente', 'insuffisant')"""
+
+
+def _matches(x: str, pattern: str) -> str:
+    return "regexp_matches(" + x + ", '" + pattern.replace("'", "''") + "')"
+
+
+SQL["followup_context"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, (['', '', 'Et quand ? ', 'Pourquoi ', 'Selon la réponse ministérielle, ', 'Au sujet de '])[(conv_id + turn) % 6 + 1]
+    || CASE (conv_id + turn) % 6 WHEN 3 THEN array_to_string(string_split(text, ' ')[1:3], ' ') WHEN 2 THEN '' ELSE text END AS text
+  FROM conversations WHERE role = 'user'
+), flagged AS (
+  SELECT conv_id, turn, text, NOT {_matches('f', V.NEW_TOPIC_PATTERN)} AND (({_matches('f', V.SHORT_FOLLOWUP_PATTERN)}
+    AND len(list_distinct({query_words('text')})) < {V.FOLLOWUP_MAX_TOKENS}) OR {_matches('f', V.SOURCE_FOLLOWUP_PATTERN)}) AS followup
+  FROM (SELECT *, {fold('trim(text)')} AS f FROM turns)
+)
+SELECT conv_id, turn, followup, CASE WHEN followup THEN concat_ws(' ', CASE WHEN f1 AND f2 AND f3 THEN t4 END, CASE WHEN f1 AND f2 THEN t3 END, CASE WHEN f1 THEN t2 END, t1, text) ELSE text END AS query
+FROM (SELECT *, lag(text, 1) OVER w AS t1, lag(text, 2) OVER w AS t2, lag(text, 3) OVER w AS t3, lag(text, 4) OVER w AS t4,
+  lag(followup, 1) OVER w AS f1, lag(followup, 2) OVER w AS f2, lag(followup, 3) OVER w AS f3 FROM flagged WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
