@@ -49,6 +49,16 @@ def bounded_share(ids: DataFrame, bound: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
 
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """doc_id, text and ``label`` (0 or 1) of about ``bound`` labelled documents, chosen by hash of the id.
+
+    Of labels that contradict each other the larger counts. The chosen labels are broadcast: their number is bounded.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
+    chosen = known.where(bounded_share(known, bound))
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts (or binaries) of a column as one array of bytes, and where each begins and the last ends; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,20 +98,24 @@ def octets(raw: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of any byte range of at least eight bytes, from running sums over scrambled octets."""
+    """Hashes of byte ranges, from running sums over one scrambled number per position.
+
+    ``values`` are numbers that stand for ``reach`` bytes from each position on; ranges have at least as many bytes.
+    """
 
-    def __init__(self, eights: np.ndarray):
-        powers = np.full(len(eights) + 1, _GOLDEN, np.uint64)
+    def __init__(self, values: np.ndarray, reach: int = 8):
+        powers = np.full(len(values) + 1, _GOLDEN, np.uint64)
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
-        inverse = np.full(len(eights) + 1, np.uint64(pow(int(_GOLDEN), -1, 1 << 64)), np.uint64)
+        inverse = np.full(len(values) + 1, np.uint64(pow(int(_GOLDEN), -1, 1 << 64)), np.uint64)
         inverse[0] = 1
         self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.zeros(len(eights) + 1, np.uint64)
-        np.cumsum(mixed(eights) * powers[:-1], out=self.sums[1:])
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mixed(values) * powers[:-1], out=self.sums[1:])
+        self.reach = reach
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        total = (self.sums[end - 7] - self.sums[start]) * self.inverse[start]
+        total = (self.sums[end - (self.reach - 1)] - self.sums[start]) * self.inverse[start]
         return mixed(total + (end - start).astype(np.uint64) * _MIX)
 
 
