@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import bpe, decontamination, language_mixture, line_crf, line_rules, simhash, suffix_dedup, toxic_segments, warc
+from quaestor.llm import backoff_lm, bpe, decontamination, language_mixture, line_crf, line_rules, simhash, suffix_dedup, toxic_segments, warc
 from quaestor.llm.common import remainder, table
 
 
@@ -51,6 +51,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), public_vocabulary())
 
 
+def op7_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff_lm.with_scores(table(spark, folder, "documents"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
+    "op7_backoff_lm": op7_backoff_lm,
     "op8_warc": op8_warc,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_line_crf": op10_line_crf,
