@@ -7,7 +7,8 @@ The work is a count table joined to the exploded bigrams, by hash, in one exchan
 once, with its own counts. The most frequent words have their totals broadcast (their number is fixed, and which they
 are changes no score): a bigram of two of them is dealt by the pair, one with a rarer word by that word, so that the
 totals of the rare word come together there, and one of two rarer words to both. No key gathers more than one row per
-document and word pair. Entries of one task for one part travel as one block of sorted, byte-transposed columns.
+document and word pair. Entries of one task for one part travel as one block of sorted, byte-transposed columns, and so
+do a part's sums for a run of documents.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from quaestor.llm.common import mixed, slices, stored, text_bytes
 
 BACKOFF = 0.4
 #: Words whose totals are broadcast, and entries of a part of the exchange.
-FREQUENT_WORDS, PART_ENTRIES = 1 << 16, 1 << 20
+FREQUENT_WORDS, PART_ENTRIES = 1 << 16, 1 << 19
 #: Entries (or words) that a task holds before it tells them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: The start of a document, as a word.
 START = np.uint64(0x5DEECE66D)
 _ID = 1 << 16
+#: Documents whose sums come together are those with equal row numbers but for so many bits.
+RUN_BITS = 10
 
 # Kinds of entries: two frequent words; by a rare history; by a rare word; a document's own row.
 PAIR, HISTORY, WORD, DOCUMENT = range(4)
@@ -185,12 +188,14 @@ def _entries(batches: Iterator[pa.RecordBatch], frequent: _Frequent, total: floa
         yield from told()
 
 
-_SUMS = "row long, doc_id long, n_words long, total double"
+_SUMS = "run long, row long, doc_id long, n_words long, total double, n int, sums binary"
 
 
 def _joined(rows: pa.Table, frequent: _Frequent, total: float) -> pa.Table:
     """Sums per document of what the entries of one part score; and the documents' own rows."""
-    own = rows.filter(pa.compute.is_null(rows.column("n"))).select(["row", "doc_id", "n_words", "own"]).rename_columns(["row", "doc_id", "n_words", "total"])
+    own = rows.filter(pa.compute.is_null(rows.column("n")))
+    run = own.column("row").to_numpy() >> RUN_BITS
+    own = pa.table([pa.array(run), *(own.column(x) for x in ("row", "doc_id", "n_words", "own")), pa.nulls(len(run), pa.int32()), pa.nulls(len(run), pa.binary())], names=_SUM_NAMES)
     blocks = [(x.as_py(), y.as_py()) for x, y in zip(rows.column("block"), rows.column("n"), strict=True) if y.is_valid]
     if not blocks:
         return own
@@ -220,8 +225,29 @@ def _joined(rows: pa.Table, frequent: _Frequent, total: float) -> pa.Table:
     score[matched & (kind == WORD) & (e["v_own"] == 0)] = 0.0  # told where the history is
     documents, at = np.unique(e["row"], return_inverse=True)
     sums = np.bincount(at, n * score, len(documents))
-    found = pa.table([pa.array(documents.view(np.int64)), pa.nulls(len(documents), pa.int64()), pa.nulls(len(documents), pa.int64()), pa.array(sums.astype(np.float64))], names=["row", "doc_id", "n_words", "total"])
-    return pa.concat_tables([own, found])
+    runs = (documents >> np.uint64(RUN_BITS)).view(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    ends = np.concatenate([first[1:], [len(runs)]])
+    told = [(documents[a:b] - (documents[a:b] >> np.uint64(RUN_BITS) << np.uint64(RUN_BITS))).astype(np.uint16).tobytes() + sums[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+    none = [pa.nulls(len(first), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+    return pa.concat_tables([own, pa.table([pa.array(runs[first]), *none, pa.array((ends - first).astype(np.int32)), pa.array(told, pa.binary())], names=_SUM_NAMES)])
+
+
+_SUM_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
+
+
+def _whole(rows: pa.Table) -> pa.Table:
+    """Documents of one run with the sums of all parts."""
+    own = rows.filter(pa.compute.is_null(rows.column("n")))
+    place = np.full(1 << RUN_BITS, 0, np.int64)
+    place[own.column("row").to_numpy() & ((1 << RUN_BITS) - 1)] = np.arange(len(own))
+    total = own.column("total").to_numpy().copy()
+    for block, n in zip(rows.column("sums"), rows.column("n"), strict=True):
+        if n.is_valid:
+            data, count = block.as_py(), n.as_py()
+            at = place[np.frombuffer(data, np.uint16, count)]
+            total[at] += np.frombuffer(data, np.float64, count, 2 * count)
+    return pa.table([own.column("doc_id"), own.column("n_words"), pa.array(total)], names=["doc_id", "n_words", "log_score"])
 
 
 def with_scores(documents: DataFrame) -> DataFrame:
@@ -242,6 +268,5 @@ def with_scores(documents: DataFrame) -> DataFrame:
     schema = "part int, n int, block binary, row long, doc_id long, n_words long, own double"
     entries = numbered.mapInArrow(lambda batches: _entries(batches, frequent, float(total or 1), parts), schema)
     sums = entries.repartition(parts, "part").groupBy("part").applyInArrow(lambda rows: _joined(rows, frequent, float(total or 1)), _SUMS)
-    # A document's own row and the parts' sums of it meet by row number.
-    whole = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("total").alias("log_score"))
+    whole = sums.groupBy("run").applyInArrow(_whole, "doc_id long, n_words long, log_score double")
     return whole.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_score"))
