@@ -106,7 +106,7 @@ class _Archive:
     def _begin(self) -> None:
         dictionary = _dictionary(self.waiting)
         self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.file = self.system.open_output_stream(self.path)
+        self.file = self.system.open_output_stream(self.path, compression=None)
         held = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary.as_bytes())
         self._write(struct.pack("<II", SKIPPABLE, len(held)) + held)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def frames(path: str) -> Iterator[bytes]:
     """Content of each frame of an archive, decoded with the dictionary of its leading skippable frame."""
     system, place = _file_system(path)
-    with system.open_input_stream(place) as file:
+    with system.open_input_stream(place, compression=None) as file:
         head = file.read(8)
         if len(head) < 8 or struct.unpack("<II", head)[0] != SKIPPABLE:
             raise ValueError(f"{path}: no dictionary frame")
