@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -185,8 +187,8 @@ def run_stamp(ts: Column) -> Column:
 def pseudonym(value: Column, secret: str) -> Column:
     """Keyed digest of a session or address (HMAC-SHA-256 written with built-in digests)."""
     key = secret.encode()
-    if len(key) > 64:
-        raise ValueError("the secret must have at most 64 bytes")
+    if len(key) > 64:  # a longer key stands as its digest
+        key = hashlib.sha256(key).digest()
     padded = key.ljust(64, b"\0")
     inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in padded).hex())) for pad in (0x36, 0x5C))
     digest = F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))

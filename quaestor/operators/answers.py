@@ -325,7 +325,7 @@ def generated_answers(
     ordered = cited.select(
         "query_id",
         "passage_id",
-        (F.col("_first.p") * 1000 + F.col("_first.c")).alias("cite_rank"),
+        (F.shiftleft(F.col("_first.p").cast("bigint"), 32) + F.col("_first.c")).alias("cite_rank"),
         F.transform("_texts", lambda t: F.array_distinct(query_words(t["text"]))).alias("focuses"),
     )
     found = sources(

@@ -163,22 +163,26 @@ def title_vocabulary(records: DataFrame) -> DataFrame:
 
 
 def random_queries(vocabulary: DataFrame, count: int, seed: int) -> DataFrame:
-    """(query_id, text): ``count`` queries of one to four distinct words, the same for the same seed and words.
+    """(query_id, text): ``count`` queries of one to four words, the same for the same seed and words.
 
-    Each query takes the words that come first in an order of its own: the
-    vocabulary is dealt into ``count`` hands by hash, and each hand keeps its
-    first words.
+    Words are numbered in hash buckets, so that no task sorts them all, and each
+    query draws numbers by hash; a word drawn twice stands once. Without words
+    there are no queries.
     """
-    dealt = vocabulary.select(
-        "word",
-        F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(count)).alias("query_id"),
-        F.xxhash64(F.lit(seed), "word").alias("_order"),
-    )
-    size = 1 + F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(4))
-    order = W.partitionBy("query_id").orderBy("_order", "word")
-    kept = dealt.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 4).where(F.col("_n") <= size)
-    words = F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda x: x["word"])
-    return kept.groupBy("query_id").agg(F.array_join(words, " ").alias("text"))
+    bucket = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(4096))
+    dealt = vocabulary.select("word").distinct().withColumn("_bucket", bucket)
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    placed = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_bucket").orderBy("word")) - 1)
+    numbered = placed.join(F.broadcast(starts), "_bucket").select("word", (F.col("_start") + F.col("_at")).alias("_number"))
+    total = sizes.agg(F.sum("_size").alias("_total")).scalar()
+    asked = vocabulary.sparkSession.range(count).withColumnRenamed("id", "query_id").withColumn("_total", total).where("_total > 0")
+    draws = asked.select(
+        "query_id", "_total", F.explode(F.sequence(F.lit(1), (1 + F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(4))).cast("int"))).alias("_n")
+    ).select("query_id", "_n", F.pmod(F.xxhash64("query_id", "_n", F.lit(seed)), F.col("_total")).alias("_number"))
+    words = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda x: x["word"]))
+    return draws.join(numbered, "_number").groupBy("query_id").agg(F.array_join(words, " ").alias("text"))
 
 
 def rare_title_words(records: DataFrame) -> DataFrame:

@@ -76,15 +76,16 @@ def merged(frozen: DataFrame, kept: DataFrame, previous: DataFrame, fetched: Dat
     """The new corpus, each record with its ``origin``.
 
     A rechecked record takes its new text when the page was read, and keeps the
-    previous one when the text vanished or the site could not be reached; a
-    candidate enters only when its page was read.
+    previous one whatever else came of it, so no record is lost; outcomes that must
+    stop the run are counted by ``stopping_outcomes``. A candidate enters only when
+    its page was read.
     """
     columns = previous.columns
     ok = outcomes.where(F.col("outcome") == "ok")
     new = fetched.join(ok.select("moncode", "action"), "moncode").select(
         *columns, F.when(F.col("action") == "recheck", "rechecked").otherwise("added").alias("origin")
     )
-    failed = outcomes.where((F.col("action") == "recheck") & F.col("outcome").isin("question_text_empty", "network"))
+    failed = outcomes.where((F.col("action") == "recheck") & (F.col("outcome") != "ok"))
     back = previous.join(failed.select("moncode"), "moncode", "left_semi").select(
         *columns, F.lit("previous").alias("origin")
     )
@@ -96,6 +97,12 @@ def merged(frozen: DataFrame, kept: DataFrame, previous: DataFrame, fetched: Dat
     )
 
 
+def stopping_outcomes(outcomes: DataFrame) -> DataFrame:
+    """(stopping): rechecks that came back neither read, empty nor unreachable; a run with any is not to be published."""
+    lost = (F.col("action") == "recheck") & ~F.col("outcome").isin("ok", "question_text_empty", "network")
+    return outcomes.agg(F.count_if(lost).alias("stopping"))
+
+
 def exclusions(outcomes: DataFrame) -> DataFrame:
     """(moncode, reason) of candidates set aside."""
     return outcomes.where(

@@ -10,6 +10,8 @@ small state per key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,7 +51,11 @@ def running(
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(before).alias(f"_o_{n}") for n in maxima],
     )
-    joined = sliced.join(offsets, [*keys, "_chunk"])
+    # A null key or slice is one like any other.
+    marks = [*keys, "_chunk"]
+    offsets = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(marks)], *[c for c in offsets.columns if c not in marks])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(marks)]
+    joined = sliced.join(offsets, reduce(and_, same))
     return joined.select(
         *df.columns,
         *[(F.col(f"_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],

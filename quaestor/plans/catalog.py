@@ -790,6 +790,16 @@ def refresh_merge(spark, folder):
     return N.merged(frozen, kept, current, fetched, outcomes).select("moncode", "origin", "reponse")
 
 
+@query
+def refresh_losses(spark, folder):
+    """Current records, those that the merged corpus lacks, and outcomes that stop the run."""
+    rows, current, planned, fetched, outcomes = _refresh(spark, folder)
+    kept = current.join(planned.where("action = 'recheck'").select("moncode"), "moncode", "left_anti")
+    merged = N.merged(current.where(F.lit(False)), kept, current, fetched, outcomes)
+    lost = current.join(merged.select("moncode"), "moncode", "left_anti").agg(F.count("*")).scalar()
+    return current.agg(F.count("*").alias("n_current")).select("n_current", lost.alias("lost"), N.stopping_outcomes(outcomes).scalar().alias("stopping"))
+
+
 @query
 def exclusions(spark, folder):
     return N.exclusions(_refresh(spark, folder)[4])

@@ -518,9 +518,16 @@ SQL["method_text"] = with_(INDEX) + f"""
 SELECT '{V.METHOD_OPENING}' || 'Législature 2024-2029 : fiches collectées des plus récentes aux plus anciennes. Législature 1999-2004 : 12 fiches choisies. Législature 1994-1999 : '
   || (SELECT count(*) FROM current WHERE legislature = '1994-1999') || ' fiches.' || '{V.METHOD_CLOSING}' AS methode_echantillonnage"""
 SQL["refresh_outcomes"] = with_(INDEX, PLAN, OUTCOMES) + "SELECT action, outcome, count(*) AS pages FROM outcomes GROUP BY ALL"
+SQL["refresh_losses"] = with_(INDEX, PLAN, OUTCOMES) + """
+SELECT (SELECT count(*) FROM current) AS n_current,
+  (SELECT count(*) FROM current c WHERE NOT EXISTS (SELECT 1 FROM (
+      SELECT moncode FROM current WHERE moncode NOT IN (SELECT moncode FROM plan WHERE action = 'recheck')
+      UNION ALL SELECT moncode FROM outcomes WHERE action = 'recheck') m WHERE m.moncode = c.moncode)) AS lost,
+  (SELECT count(*) FROM outcomes WHERE action = 'recheck' AND outcome NOT IN ('ok', 'question_text_empty', 'network')) AS stopping
+"""
 SQL["refresh_merge"] = with_(INDEX, PLAN, OUTCOMES) + """
 SELECT moncode, 'kept' AS origin, reponse FROM current WHERE moncode NOT IN (SELECT moncode FROM plan WHERE action = 'recheck')
-UNION ALL SELECT moncode, 'previous', reponse FROM current JOIN outcomes USING (moncode) WHERE action = 'recheck' AND outcome IN ('network', 'question_text_empty')
+UNION ALL SELECT moncode, 'previous', reponse FROM current JOIN outcomes USING (moncode) WHERE action = 'recheck' AND outcome <> 'ok'
 UNION ALL SELECT moncode, CASE action WHEN 'recheck' THEN 'rechecked' ELSE 'added' END, 'Texte relu' FROM outcomes WHERE outcome = 'ok'"""
 SQL["exclusions"] = with_(INDEX, PLAN, OUTCOMES) + "SELECT moncode, outcome AS reason FROM outcomes WHERE action = 'candidate' AND outcome LIKE 'question%'"
 SQL["refresh_caps"] = with_(INDEX, PLAN, OUTCOMES) + f"""

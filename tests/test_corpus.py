@@ -70,39 +70,44 @@ def test_pages_are_parsed_or_rejected_with_a_reason(spark):
 
 
 def test_old_unanswered_records_come_back_every_four_weeks(spark):
-    start = dt.date(2026, 9, 21)
-    rows = [(str(170000 + c), start + dt.timedelta(weeks=w), w) for c in range(40) for w in range(8)]
-    df = spark.createDataFrame(rows, "code string, today date, week int")
-    due = df.where(
-        R.needs_recheck(F.col("code"), F.lit("2024-12-01").cast("date"), F.lit(None).cast("string"), F.lit(None).cast("date"), F.col("today"))
-    ).collect()
-    weeks = {}
-    for r in due:
-        weeks.setdefault(r.code, []).append(r.week)
-    assert len(weeks) == 40 and all(len(w) == 2 and sorted(w)[1] - sorted(w)[0] == 4 for w in weeks.values())
-    assert {sum(r.week == w for r in due) for w in range(8)} == {10}
+    days = [dt.date(2031, 1, 6) + dt.timedelta(weeks=w) for w in range(12)]
+    df = spark.createDataFrame([(str(code), day) for code in (3, 98, 5501, 70002, 999999) for day in days], "code string, today date")
+    never = F.lit(None)
+    due = df.where(R.needs_recheck(F.col("code"), F.lit("2019-03-04").cast("date"), never.cast("string"), never.cast("date"), F.col("today")))
+    seen = {}
+    for r in due.orderBy("today").collect():
+        seen.setdefault(r.code, []).append(r.today)
+    assert len(seen) == 5
+    for found in seen.values():
+        assert [(b - a).days for a, b in zip(found, found[1:])] == [28, 28]
 
 
 def test_refresh_plan_and_merge(spark):
-    today = F.lit("2026-09-24").cast("date")
+    today = dt.date(2031, 5, 10)
+    before = lambda n: today - dt.timedelta(days=n)
     current = spark.createDataFrame(
-        [("15", None, dt.date(2026, 7, 1), None, None), ("14", None, dt.date(2026, 6, 1), "Réponse", dt.date(2026, 9, 20)), ("13", None, dt.date(2025, 1, 1), "Réponse", dt.date(2025, 3, 1)), ("8", None, dt.date(2026, 9, 1), None, None)],
+        [("501", None, before(30), None, None), ("502", None, before(90), "Ancien", before(3)), ("503", None, before(900), "Ancien", before(800)), ("504", None, before(20), None, None), ("505", None, before(40), None, None)],
         "moncode string, legislature string, date_reception date, reponse string, date_reponse date",
     )
-    rows = spark.createDataFrame([(c, dt.date(2026, 1, 1)) for c in ("16", "15", "14", "13", "11")], "moncode string, date_reception date")
-    plan = N.recheck_plan(rows, current, today)
-    assert {r.moncode: r.action for r in plan.collect()} == {"15": "recheck", "14": "recheck", "13": "kept", "16": "candidate", "11": "candidate", "8": "kept"}
-    missing = N.missing_from_index(spark.createDataFrame([("8",)], "moncode string"), rows, current)
-    assert list(map(tuple, missing.collect())) == [("8", "incomplete_row")]
+    rows = spark.createDataFrame([(c, before(10)) for c in ("501", "502", "503", "505", "601", "602")], "moncode string, date_reception date")
+    plan = N.recheck_plan(rows, current, F.lit(today))
+    assert {r.moncode: r.action for r in plan.collect()} == {
+        "501": "recheck", "502": "recheck", "503": "kept", "504": "kept", "505": "recheck", "601": "candidate", "602": "candidate"
+    }
+    missing = N.missing_from_index(spark.createDataFrame([("504",)], "moncode string"), rows, current)
+    assert [tuple(r) for r in missing.collect()] == [("504", "incomplete_row")]
     planned = plan.where("action <> 'kept'").withColumn("seq", F.col("moncode").cast("int"))
-    fetched = current.where("moncode = '15'").withColumn("reponse", F.lit("Nouvelle")).withColumn("reject_reason", F.lit(None).cast("string")).unionByName(
-        current.where("moncode = '13'").withColumn("moncode", F.lit("16")).withColumn("reject_reason", F.lit("question_block_missing"))
-    )
+    fetched = spark.createDataFrame(
+        [("501", "Relu", None), ("505", None, "question_block_missing"), ("601", "Relu", None), ("602", None, "question_block_missing")], "moncode string, reponse string, reject_reason string"
+    ).selectExpr("moncode", "cast(null as string) legislature", "cast(null as date) date_reception", "reponse", "cast(null as date) date_reponse", "reject_reason")
     outcomes = N.fetch_outcomes(planned, fetched)
     kept = current.join(planned.select("moncode"), "moncode", "left_anti")
     got = {r.moncode: (r.origin, r.reponse) for r in N.merged(current.limit(0), kept, current, fetched, outcomes).collect()}
-    assert got == {"15": ("rechecked", "Nouvelle"), "14": ("previous", "Réponse"), "13": ("kept", "Réponse"), "8": ("kept", None)}
-    assert [tuple(r) for r in N.exclusions(outcomes).collect()] == [("16", "question_block_missing")]
+    assert got == {
+        "501": ("rechecked", "Relu"), "502": ("previous", "Ancien"), "503": ("kept", "Ancien"), "504": ("kept", None), "505": ("previous", None), "601": ("added", "Relu")
+    }
+    assert [tuple(r) for r in N.exclusions(outcomes).collect()] == [("602", "question_block_missing")]
+    assert N.stopping_outcomes(outcomes).first()[0] == 1
 
 
 def test_failures_in_a_row_stop_a_run(spark):
@@ -197,3 +202,32 @@ def test_registered_queries_match_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     assert compare(spark, duck(folder), folder, name, queries()[name], oracle_sql()[name]) is None
+
+
+def test_running_values_keep_rows_of_null_keys(spark):
+    from quaestor.operators.running import running
+
+    rows = [(None, 1, 2), (None, 2, 3), ("a", 1, 5), ("a", None, 7)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    got = running(df, ["k"], F.floor(F.col("t") / 2), ["t"], sums={"total": F.col("v")}).collect()
+    assert sorted((r.k or "", r.t or 0, r.total) for r in got) == [("", 1, 2), ("", 2, 5), ("a", 0, 7), ("a", 1, 12)]
+
+
+def test_as_many_random_queries_as_asked(spark):
+    from quaestor.operators.evaluation import random_queries
+
+    words = spark.createDataFrame([(w,) for w in "quai rive phare barque filet".split()], "word string")
+    got = {r.query_id: r.text for r in random_queries(words, 40, 3).collect()}
+    assert sorted(got) == list(range(40)) and all(1 <= len(set(t.split())) == len(t.split()) <= 4 for t in got.values())
+    assert got == {r.query_id: r.text for r in random_queries(words.repartition(3), 40, 3).collect()}
+    assert random_queries(words.limit(0), 5, 3).count() == 0
+
+
+def test_a_long_secret_stands_as_its_digest(spark):
+    import hmac
+
+    from quaestor.functions.records import pseudonym
+
+    for secret in ("short", "x" * 64, "long secret " * 20):
+        got = spark.range(1).select(pseudonym(F.lit("visitor"), secret)).first()[0]
+        assert got == hmac.new(secret.encode(), b"visitor", "sha256").hexdigest()

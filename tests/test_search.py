@@ -18,10 +18,10 @@ RECORDS = "question_id string, titre string, auteur string, destinataire string,
 @pytest.fixture(scope="module")
 def corpus(spark):
     rows = [
-        ("Q1", "Transports scolaires", "A", "M", "Quels transports scolaires ?", "Des transports scolaires sont organisés."),
-        ("Q2", "Tram 55", "B", "M", "Quelle fréquentation du tram 55 ?", "La ligne compte 12 000 voyageurs par jour."),
-        ("Q3", "Vote des expatriés", "C", "M", "Comment voter ?", "Les expatriés votent.\nLes expatriés sont informés de leur droit de vote."),
-        ("Q4", "Vélos", "D", "M", "Quels vélos ?", None),
+        ("Q1", "Barques de location", "A", "M", "Combien de barques en location ?", "Des barques en location attendent au quai."),
+        ("Q2", "Phare 12", "B", "M", "Quelle portée pour le phare 12 ?", "Sa lampe éclaire 30 000 mètres par nuit."),
+        ("Q3", "Permis des pêcheurs", "C", "M", "Comment pêcher ?", "Les pêcheurs embarquent.\nLes pêcheurs reçoivent un permis de filet."),
+        ("Q4", "Bouées", "D", "M", "Quelles bouées ?", None),
     ]
     return spark.createDataFrame(rows, RECORDS)
 
@@ -31,22 +31,13 @@ def queries(spark, *texts):
 
 
 def test_lexical_query_sends_words_as_written(spark):
-    asked = queries(
-        spark, "Quelles sont les mesures concernant les cantines scolaires ?", "mise en œuvre", "terminus", "bruxellois", "processus"
-    )
+    asked = queries(spark, "Que sait-on sur les marées hautes ?", "cœur du port", "filets")
     got = {r.query_id: r.lexical_query for r in lexical_query(query_terms(asked)).collect()}
-    assert got == {0: "cantines OR scolaires", 1: "mise OR oeuvre", 2: "terminus", 3: "bruxellois", 4: "processus"}
+    assert got == {0: "marees OR hautes", 1: "coeur OR port", 2: "filets"}
 
 
 def test_search_finds_answered_records_and_filters_the_rest(spark, corpus):
-    asked = queries(
-        spark,
-        "Comment les expatriés sont-ils informés de leur droit de vote ?",
-        "Quelles mesures concernant les cantines scolaires ?",
-        "transports scolaires",
-        "Quels vélos ?",
-        "Astronautes martiens",
-    )
+    asked = queries(spark, "permis de filet des pêcheurs", "Combien de grues géantes au musée ?", "barques location", "Quelles bouées ?")
     got = {}
     for row in search(corpus, asked).collect():
         got.setdefault(row.query_id, []).append(row.question_id)
@@ -54,7 +45,7 @@ def test_search_finds_answered_records_and_filters_the_rest(spark, corpus):
 
 
 def test_search_is_the_same_alone_and_in_a_batch(spark, corpus):
-    texts = ["tram 55", "droit de vote", "transports scolaires"]
+    texts = ["phare 12", "permis de filet", "barques location"]
     batch = {(r.query_id, r.hit_rank, r.passage_id) for r in search(corpus, queries(spark, *texts)).collect()}
     alone = set()
     for i, text in enumerate(texts):
@@ -63,7 +54,7 @@ def test_search_is_the_same_alone_and_in_a_batch(spark, corpus):
 
 
 def test_scores_do_not_depend_on_how_the_terms_are_spread(spark, corpus):
-    asked = queries(spark, "expatriés vote tram transports scolaires")
+    asked = queries(spark, "pêcheurs permis phare barques location")
     terms = query_terms(asked, stemmed=False)
     few = {(r.question_id, round(r.lexical, 9)) for r in lexical_scores(corpus, terms, 1).collect()}
     many = {(r.question_id, round(r.lexical, 9)) for r in lexical_scores(corpus.repartition(3), terms, 10**9).collect()}
@@ -126,7 +117,7 @@ def test_similar_passages_broadcast_and_tiled_agree(spark):
 
 
 def test_hybrid_keeps_semantic_leaders(spark, corpus):
-    asked = queries(spark, "tram 55")
+    asked = queries(spark, "phare 12")
     vectors = Vectors(
         spark.createDataFrame([("Q3", "Q3:reponse:0", [1.0, 0.0])], "question_id string, passage_id string, embedding array<float>"),
         spark.createDataFrame([(0, [1.0, 0.1])], "query_id bigint, qvec array<float>"),
@@ -169,9 +160,9 @@ def test_summary_leaves_known_gaps_out_of_failures(spark):
 
 def test_filter_terms_and_vocabulary_share_roots(spark, corpus):
     stems = {r.word: r.stem for r in vocabulary(corpus).collect()}
-    assert stems["scolaires"] == "scolair" and stems["55"] == "55"
-    got = {r.term for r in filter_terms(queries(spark, "mesures scolaires"), ["mesure"]).collect()}
-    assert got == {"scolair"}
+    assert stems["barques"] == "barqu" and stems["12"] == "12"
+    got = {r.term for r in filter_terms(queries(spark, "mesures barques"), ["mesure"]).collect()}
+    assert got == {"barqu"}
 
 
 def test_random_queries_are_reproducible(spark):
