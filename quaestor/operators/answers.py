@@ -275,33 +275,40 @@ def extractive_answers(hits: DataFrame, queries: DataFrame, records: DataFrame,
 def citation_checks(generated: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, verdict, cited, unknown, uncited): checks of generated answers against their hits.
 
+    The verdict on citations is that of the first paragraph with an error.
+
     ``generated``: query_id, status, paragraphs array<struct<text, sourceIds>>,
     limits. An insufficient answer drops everything it says.
     """
     paragraphs = generated.select("query_id", F.posexplode("paragraphs").alias("p", "paragraph"))
     cites = paragraphs.select("query_id", F.explode("paragraph.sourceIds").alias("passage_id"))
+    known = hits.select("query_id", "passage_id", F.lit(True).alias("known")).distinct()
     # Each query cites a few passages: reduced per query before the hits are looked up.
-    looked = cites.distinct().join(
-        hits.select("query_id", "passage_id", F.lit(True).alias("known")), ["query_id", "passage_id"], "left"
-    )
+    looked = cites.distinct().join(known, ["query_id", "passage_id"], "left")
     counts = looked.groupBy("query_id").agg(
-        F.count_if("known").alias("cited"), F.count_if(F.col("known").isNull()).alias("unknown")
+        F.count_if("known").alias("cited"),
+        F.count_if(F.col("known").isNull()).alias("unknown"),
+        F.collect_list(F.when(F.col("known").isNull(), F.col("passage_id"))).alias("_unknown_ids"),
     )
+
+    def error(p: Column) -> Column:
+        unknown = F.exists(p["sourceIds"], lambda x: x.isNull() | F.array_contains("_unknown_ids", x))
+        return F.when(unknown, "AI_UNKNOWN_CITATION").when(F.size(p["sourceIds"]) == 0, "AI_MISSING_CITATION")
+
     facts = generated.join(counts, "query_id", "left").na.fill(0, ["cited", "unknown"]).withColumns(
         {
             "uncited": F.size(F.filter("paragraphs", lambda p: F.size(p["sourceIds"]) == 0)),
             "_bad_text": F.exists(
                 "paragraphs", lambda p: ~present(p["text"]) | (F.length(p["text"]) > MAX_PARAGRAPH_CHARS)
             ),
+            "_error": F.get(F.filter(F.transform("paragraphs", error), lambda e: e.isNotNull()), F.lit(0)),
         }
     )
     verdict = (
         F.when(~F.coalesce(F.col("status").isin(*ANSWER_STATUSES), F.lit(False)), "AI_OUTPUT_INVALID")
         .when(F.col("status") == "insuffisant", "insuffisant")
         .when(~F.size("paragraphs").between(1, MAX_PARAGRAPHS) | F.col("_bad_text"), "AI_OUTPUT_INVALID")
-        .when(F.col("unknown") > 0, "AI_UNKNOWN_CITATION")
-        .when(F.col("uncited") > 0, "AI_MISSING_CITATION")
-        .otherwise("documente")
+        .otherwise(F.coalesce("_error", F.lit("documente")))
     )
     return facts.select("query_id", verdict.alias("verdict"), "cited", "unknown", "uncited")
 

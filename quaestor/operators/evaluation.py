@@ -220,11 +220,12 @@ def seeded_order(words: DataFrame, seed: int, limit: int) -> DataFrame:
 def latency_statistics(logs: DataFrame) -> DataFrame:
     """(step, requests, mean_ms, p50_ms, p95_ms, max_ms) from request logs (payload: JSON with an ``ms`` map)."""
     steps = logs.select(F.explode(F.from_json("payload", "ms map<string,int>")["ms"]).alias("step", "ms"))
+    # Percentiles keep one count per distinct duration, whole milliseconds.
     return steps.groupBy("step").agg(
         F.count("*").alias("requests"),
         F.avg("ms").alias("mean_ms"),
-        F.percentile_approx("ms", 0.5, 10000).alias("p50_ms"),
-        F.percentile_approx("ms", 0.95, 10000).alias("p95_ms"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").cast("int").alias("p50_ms"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").cast("int").alias("p95_ms"),
         F.max("ms").alias("max_ms"),
     )
 

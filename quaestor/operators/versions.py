@@ -9,6 +9,7 @@ embedding, embedding_model).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,25 +69,60 @@ def to_embed(items: DataFrame, ready: DataFrame) -> DataFrame:
     return items.join(complete.select("content_hash"), "content_hash", "left_anti")
 
 
-def embedding_batches(items: DataFrame, max_inputs: int, max_bytes: int, shard_items: int = 100_000) -> DataFrame:
-    """Adds ``shard`` and ``batch``: whole records in order, at most ``max_inputs`` texts and ``max_bytes`` per batch.
-
-    ``items``: seq (0-based, dense), question_id, n_inputs, n_bytes. The order is
-    cut into shards of ``shard_items`` so that the packing runs in parallel; an
-    oversized record has a batch of its own.
-    """
+def _packed(opened: tuple[int, int], item: tuple[int, int], max_inputs: int, max_bytes: int) -> tuple[tuple[int, int], bool]:
+    """The open batch after an item, and whether the item began it. Nothing is open before the first item."""
+    inputs, size = opened[0] + item[0], opened[1] + item[1]
+    if not opened[0] or inputs > max_inputs or size > max_bytes:
+        return item, True
+    return (inputs, size), False
+
+
+def _shard_links(max_inputs: int, max_bytes: int):
+    """Per shard: the first items, and for each of them, as the head of a batch, the batch left open and the number begun."""
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        items = list(zip(frame["n_inputs"].tolist(), frame["n_bytes"].tolist(), strict=True))
+        begun = [0] * min(max_inputs, len(items))
+        # Heads whose open batches have come to be equal go on as one.
+        states: dict[tuple[int, int], list[int]] = {}
+        for i, item in enumerate(items):
+            moved: dict[tuple[int, int], list[int]] = {}
+            for opened, heads in states.items():
+                after, fresh = _packed(opened, item, max_inputs, max_bytes)
+                moved.setdefault(after, []).extend(heads)
+                for head in heads if fresh else ():
+                    begun[head] += 1
+            if i < len(begun):
+                moved.setdefault(item, []).append(i)
+                begun[i] += 1
+            states = moved
+        left = {head: opened for opened, heads in states.items() for head in heads}
+        first = items[: len(begun)]
+        row = {
+            "shard": int(frame["shard"].iloc[0]),
+            "first_inputs": [n for n, _ in first],
+            "first_bytes": [b for _, b in first],
+            "open_inputs": [left[h][0] for h in range(len(begun))],
+            "open_bytes": [left[h][1] for h in range(len(begun))],
+            "begun": begun,
+        }
+        return pd.DataFrame([row])
 
-    def start() -> dict:
-        return {"batch": 0, "inputs": 0, "bytes": 0}
+    return links
 
-    def step(state: dict, row: tuple) -> list[tuple]:
-        shard, seq, question_id, inputs, size = row
-        if state["inputs"] and (state["inputs"] + inputs > max_inputs or state["bytes"] + size > max_bytes):
-            state.update(batch=state["batch"] + 1, inputs=0, bytes=0)
-        state["inputs"] += inputs
-        state["bytes"] += size
-        return [(shard, seq, question_id, inputs, size, state["batch"])]
 
+def embedding_batches(items: DataFrame, max_inputs: int, max_bytes: int, shard_items: int = 100_000) -> DataFrame:
+    """Adds ``batch``: whole records in order, at most ``max_inputs`` texts and ``max_bytes`` per batch.
+
+    ``items``: seq (growing with the order), question_id, n_inputs (1 at least), n_bytes. An
+    oversized record has a batch of its own. The order is cut into shards of ``shard_items``,
+    which change no batch: a batch that reaches into the next shard covers fewer than
+    ``max_inputs`` of its records, so a first pass tells for each possible head what the shard
+    leaves open, these links (one row per shard) are followed in order, and a second pass packs
+    every shard from its true head.
+    """
+    shard_items = max(shard_items, max_inputs)
     narrow = items.select(
         F.floor(F.col("seq") / shard_items).cast("bigint").alias("shard"),
         F.col("seq").cast("bigint"),
@@ -94,20 +130,59 @@ def embedding_batches(items: DataFrame, max_inputs: int, max_bytes: int, shard_i
         F.col("n_inputs").cast("bigint"),
         F.col("n_bytes").cast("bigint"),
     )
+    lists = ("first_inputs", "first_bytes", "open_inputs", "open_bytes", "begun")
+    linked = narrow.select("shard", "seq", "n_inputs", "n_bytes").groupBy("shard").applyInPandas(
+        _shard_links(max_inputs, max_bytes), "shard bigint, " + ", ".join(f"{c} array<bigint>" for c in lists)
+    )
+
+    def follow(state: dict, row: tuple) -> list[tuple]:
+        _, shard, first_inputs, first_bytes, open_inputs, open_bytes, begun = row
+        head, before, opened = 0, state["begun"], state["open"]
+        for item in zip(map(int, first_inputs), map(int, first_bytes), strict=True):
+            after, fresh = _packed(opened, item, max_inputs, max_bytes)
+            if fresh:
+                break
+            opened, head = after, head + 1
+        if head < len(begun):
+            opened = int(open_inputs[head]), int(open_bytes[head])
+            state["begun"] += int(begun[head])
+        state["open"] = opened
+        return [(shard, head, before)]
+
+    heads = ordered_fold(
+        linked.select(F.lit(0).alias("run"), "shard", *lists),
+        ["run"],
+        ["shard"],
+        lambda: {"open": (0, 0), "begun": 0},
+        follow,
+        "shard bigint, head bigint, before bigint",
+    )
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        _, seq, question_id, inputs, size, head, before = row
+        if state["at"] < head:
+            batch = before - 1
+        else:
+            state["open"], fresh = _packed(state["open"], (inputs, size), max_inputs, max_bytes)
+            state["begun"] += fresh
+            batch = before + state["begun"] - 1
+        state["at"] += 1
+        return [(seq, question_id, inputs, size, batch)]
+
     return ordered_fold(
-        narrow,
+        narrow.join(heads, "shard"),
         ["shard"],
         ["seq"],
-        start,
+        lambda: {"open": (0, 0), "begun": 0, "at": 0},
         step,
-        "shard bigint, seq bigint, question_id string, n_inputs bigint, n_bytes bigint, batch bigint",
+        "seq bigint, question_id string, n_inputs bigint, n_bytes bigint, batch bigint",
     )
 
 
 def budget_check(batches: DataFrame, max_calls: int, max_bytes: int) -> DataFrame:
     """(calls, bytes, fits) of planned batches."""
     return batches.agg(
-        F.count_distinct("shard", "batch").alias("calls"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")
+        F.count_distinct("batch").alias("calls"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")
     ).withColumn("fits", (F.col("calls") <= max_calls) & (F.col("bytes") <= max_bytes))
 
 

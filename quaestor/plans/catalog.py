@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaestor import fixed_values as V
@@ -596,7 +597,7 @@ def _batches(spark, folder):
 
 @query
 def embed_plan(spark, folder):
-    return _batches(spark, folder).select("question_id", "shard", "batch")
+    return _batches(spark, folder).select("question_id", "batch")
 
 
 @query
@@ -698,7 +699,7 @@ def store_audit(spark, folder):
 @query
 def insert_absent(spark, folder):
     rows = D.doc_store(spark, folder).select("content_hash", "question_id")
-    store = D.version_members(spark, folder).select("content_hash").distinct()
+    store = D.version_members(spark, folder).where(F.col("version_id") == "v1").select("content_hash").distinct()
     return C.insert_absent(rows, store, ["content_hash"])
 
 
@@ -839,9 +840,16 @@ def failure_runs(spark, folder):
 
 @query
 def growth_log(spark, folder):
-    """Orders added per day as runs of a growing corpus; every seventh logged total is off."""
+    """Orders added per day as runs of a growing corpus; totals logged on the 7th are off, those of the 8th are missing."""
     runs = D.table(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("run")).agg(F.count("*").alias("added"))
-    logged = runs.withColumns({"month": F.substring("run", 1, 7), "logged_total": F.lit(None).cast("bigint")})
+    # One row per day of the calendar.
+    total = F.sum("added").over(W.orderBy("run"))
+    logged = runs.withColumns(
+        {
+            "month": F.substring("run", 1, 7),
+            "logged_total": F.when(F.col("run").endswith("-07"), total + 1).when(~F.col("run").endswith("-08"), total),
+        }
+    )
     return N.growth_log(logged).select("run", "added", "total", "agrees")
 
 
@@ -1002,4 +1010,4 @@ def latency_stats(spark, folder):
             )
         ).alias("payload")
     )
-    return E.latency_statistics(logs).select("step", "requests", six("mean_ms"), "max_ms")
+    return E.latency_statistics(logs).select("step", "requests", six("mean_ms"), "p50_ms", "p95_ms", "max_ms")

@@ -230,7 +230,8 @@ members AS (
   FROM stored, (SELECT unnest(['0', 'A']) AS v)
 ), versions AS (
   SELECT version_id, count(*)::INT AS count, version_id = 'v1' AS active, CASE WHEN version_id = 'v5' THEN TIMESTAMP '2024-06-01 11:40:00' ELSE TIMESTAMP '2024-05-01' END AS created_at,
-    CASE version_id WHEN 'v1' THEN DATE '2024-05-30' WHEN 'v2' THEN DATE '2024-05-20' WHEN 'v3' THEN DATE '2024-05-10' END AS activated_at
+    CASE version_id WHEN 'v1' THEN DATE '2024-05-30' WHEN 'v2' THEN DATE '2024-05-20' WHEN 'v3' THEN DATE '2024-05-10' END AS activated_at,
+    false AS activation_unknown, CASE version_id WHEN 'v2' THEN NULL WHEN 'v4' THEN 'passages-1;m-A;64' ELSE 'passages-1;sans-embeddings;64' END AS index_config
   FROM members GROUP BY version_id
 )"""
 PASSAGE_STORE = """
@@ -428,7 +429,7 @@ checks AS (
   FROM lists
 ), verdicts AS (
   SELECT *, CASE WHEN k = 5 AND len(ids) > 3 THEN 'AI_OUTPUT_INVALID' WHEN k = 4 THEN 'insuffisant' WHEN k = 3 THEN 'AI_OUTPUT_INVALID'
-    WHEN unknown > 0 THEN 'AI_UNKNOWN_CITATION' WHEN uncited > 0 THEN 'AI_MISSING_CITATION' ELSE 'documente' END AS verdict FROM checks
+    WHEN len(ids) = 0 THEN 'AI_MISSING_CITATION' WHEN unknown > 0 THEN 'AI_UNKNOWN_CITATION' WHEN uncited > 0 THEN 'AI_MISSING_CITATION' ELSE 'documente' END AS verdict FROM checks
 )"""
 SQL["citation_check"] = LEX_FILTERED.rstrip() + "," + GENERATED + "\nSELECT query_id, verdict, cited, unknown, uncited FROM verdicts"
 SQL["fallback_answers"] = LEX_FILTERED.rstrip() + "," + GENERATED + "\nSELECT query_id, count(*) AS hits FROM filtered JOIN verdicts USING (query_id) WHERE verdict NOT IN ('documente', 'insuffisant') GROUP BY query_id"
@@ -452,7 +453,7 @@ packed AS (
   SELECT i + 1, p.batch + fresh::BIGINT, s.n + CASE WHEN fresh THEN 0 ELSE p.n END, s.b + CASE WHEN fresh THEN 0 ELSE p.b END
   FROM packed p JOIN sized s ON s.doc_id = p.i + 1, LATERAL (SELECT p.n > 0 AND (p.n + s.n > 32 OR p.b + s.b > 20000) AS fresh)
 )"""
-SQL["embed_plan"] = with_(RECS, PASSAGES, BATCHES) + "SELECT 'D-' || i AS question_id, 0 AS shard, batch FROM packed WHERE i >= 0"
+SQL["embed_plan"] = with_(RECS, PASSAGES, BATCHES) + "SELECT 'D-' || i AS question_id, batch FROM packed WHERE i >= 0"
 SQL["embed_budget"] = with_(RECS, PASSAGES, BATCHES) + f"""
 SELECT *, calls <= {V.BUDGET_MAX_CALLS} AND bytes <= {V.BUDGET_MAX_BYTES} AS fits FROM (SELECT (SELECT max(batch) + 1 FROM packed) AS calls, sum(b)::BIGINT AS bytes FROM sized)"""
 SQL["budget_overflow"] = """
@@ -468,23 +469,41 @@ replay AS (
   FROM replay r JOIN seq s ON s.run = r.run AND s.n = r.n + 1, LATERAL (SELECT r.calls + 1 <= 25 AND r.bytes + s.b <= 6000000 AS ok)
 )
 SELECT id AS request_id, accepted, calls AS used_calls, bytes AS used_bytes FROM replay WHERE id IS NOT NULL"""
-SQL["activation_checks"] = FULL_STORE + """
-SELECT version_id, count(DISTINCT question_id) AS n_members, count(passage_id) AS n_passages, count(DISTINCT question_id) FILTER (passage_id IS NULL) AS without_passage,
-  count(DISTINCT CASE WHEN passage_id IS NOT NULL THEN coalesce(embedding_model, '') END) AS n_models,
-  CASE version_id WHEN 'v4' THEN count(DISTINCT m.content_hash) FILTER (passage_id IS NOT NULL AND embedding IS NULL)
-    WHEN 'v2' THEN count(DISTINCT m.content_hash) FILTER (embedding_model = 'm-A') ELSE 0 END AS mismatched,
-  CASE version_id WHEN 'v1' THEN 'ok' WHEN 'v2' THEN 'Mixed embedding models' WHEN 'v3' THEN 'Incomplete corpus' WHEN 'v4' THEN 'Embedding model mismatch' ELSE 'Question without passage' END AS verdict
-FROM (SELECT version_id, m.question_id, m.content_hash, passage_id, embedding, embedding_model FROM members m LEFT JOIN passage_store USING (content_hash)) m GROUP BY version_id"""
-SQL["activation"] = DOC_STORE + "SELECT asked, version_id, version_id = 'v1' AS active FROM versions, (SELECT unnest(['v1', 'v4']) AS asked)"
-SQL["prune"] = DOC_STORE + f"""
-SELECT version_id, active, active OR created_at >= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR OR (activated_at IS NOT NULL AND
-  version_id IN (SELECT version_id FROM versions WHERE NOT active AND activated_at IS NOT NULL ORDER BY activated_at DESC LIMIT 1)) AS kept FROM versions"""
-SQL["removable_contents"] = DOC_STORE + f"""
+CHECKS = """
+held AS (
+  SELECT v.version_id, v.count, v.index_config, m.question_id, p.passage_id, p.embedding, coalesce(p.embedding_model, '') AS model,
+    CASE WHEN split_part(v.index_config, ';', 2) <> 'sans-embeddings' THEN split_part(v.index_config, ';', 2) END AS declared
+  FROM versions v JOIN members m USING (version_id) LEFT JOIN passage_store p USING (content_hash)
+), facts AS (
+  SELECT version_id, any_value(count) AS wanted, any_value(index_config) AS config, count(DISTINCT question_id) AS n_members, count(passage_id) AS n_passages,
+    count(DISTINCT question_id) FILTER (passage_id IS NULL) AS without_passage, count(DISTINCT model) FILTER (passage_id IS NOT NULL) AS n_models,
+    count(DISTINCT question_id) FILTER (passage_id IS NOT NULL AND (model <> coalesce(declared, '') OR (declared IS NOT NULL AND embedding IS NULL))) AS mismatched
+  FROM held GROUP BY version_id
+), checks AS (
+  SELECT version_id, n_members, n_passages, without_passage, n_models, mismatched,
+    CASE WHEN n_members <> wanted OR n_passages <> announced OR announced < wanted THEN 'Incomplete corpus' WHEN without_passage > 0 THEN 'Question without passage'
+      WHEN config IS NULL AND n_models > 1 THEN 'Mixed embedding models' WHEN config IS NOT NULL AND mismatched > 0 THEN 'Embedding model mismatch' ELSE 'ok' END AS verdict
+  FROM (SELECT *, n_passages + CASE version_id WHEN 'v3' THEN 1 ELSE 0 END AS announced FROM facts)
+)"""
+SQL["activation_checks"] = FULL_STORE.rstrip() + "," + CHECKS + "\nSELECT * FROM checks"
+SQL["activation"] = FULL_STORE.rstrip() + "," + CHECKS + """
+SELECT asked, v.version_id, CASE WHEN verdict = 'ok' THEN v.version_id = asked ELSE active END AS active
+FROM versions v, (SELECT version_id AS asked, verdict FROM checks WHERE version_id IN ('v1', 'v4'))"""
+KEPT = f"""
+flagged AS (
+  SELECT *, active OR activation_unknown OR created_at >= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR OR version_id IN (
+    SELECT version_id FROM versions WHERE NOT active AND NOT activation_unknown AND activated_at IS NOT NULL ORDER BY activated_at DESC LIMIT 1) AS kept FROM versions
+)"""
+SQL["prune"] = DOC_STORE.rstrip() + "," + KEPT + "\nSELECT version_id, active, kept FROM flagged"
+SQL["removable_contents"] = DOC_STORE.rstrip() + "," + KEPT + f"""
 SELECT content_hash, question_id FROM doc_store d WHERE created_at < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR
-AND NOT EXISTS (SELECT 1 FROM members m WHERE m.content_hash = d.content_hash AND version_id IN ('v1', 'v2', 'v5'))"""
-SQL["retention_summary"] = DOC_STORE + """
-SELECT 2 AS removed, 0 AS unknown, 1 AS rollback, 1 AS recent, 'Rétention : 2 versions supprimées ; conservé : 1 version pour retour arrière (cible : 1, hors versions récentes protégées), 1 import récent non activé.' AS summary
-FROM versions WHERE active"""
+AND NOT EXISTS (SELECT 1 FROM members m JOIN flagged USING (version_id) WHERE m.content_hash = d.content_hash AND kept)"""
+SQL["retention_summary"] = DOC_STORE.rstrip() + "," + KEPT + """
+SELECT *, 'Rétention : ' || removed || CASE WHEN removed > 1 THEN ' versions supprimées' ELSE ' version supprimée' END || ' ; conservé : '
+  || rollback || CASE WHEN rollback > 1 THEN ' versions' ELSE ' version' END || ' pour retour arrière (cible : 1, hors versions récentes protégées)'
+  || CASE WHEN recent > 1 THEN ', ' || recent || ' imports récents non activés' WHEN recent = 1 THEN ', 1 import récent non activé' ELSE '' END || '.' AS summary
+FROM (SELECT count(*) FILTER (NOT kept) AS removed, count(*) FILTER (kept AND activation_unknown) AS unknown,
+  count(*) FILTER (kept AND activated_at IS NOT NULL) AS rollback, count(*) FILTER (kept AND activated_at IS NULL) AS recent FROM flagged WHERE NOT active)"""
 SQL["clone_unchanged"] = FULL_STORE + """
 SELECT question_id FROM members a WHERE version_id = 'v4' AND EXISTS (SELECT 1 FROM members b WHERE b.version_id = 'v2' AND b.question_id = a.question_id AND b.content_hash = a.content_hash)
 AND NOT EXISTS (SELECT 1 FROM passage_store p WHERE p.content_hash = a.content_hash AND (embedding IS NULL OR embedding_model IS DISTINCT FROM 'm-A'))"""
@@ -496,11 +515,32 @@ SQL["corpus_info"] = DOC_STORE + """
 SELECT 'v1' AS version_id, count(*)::INT AS count, 'méthode v1' AS method, count(reponse) AS answer_count, strftime(max(greatest(date_reception, date_reponse)), '%Y-%m-%d') AS latest_document FROM recs"""
 SQL["version_export"] = with_(RECS) + "SELECT question_id, titre, reponse, strftime(date_reception, '%Y-%m-%d') AS date_reception FROM recs ORDER BY question_id"
 SQL["store_audit"] = DOC_STORE + "SELECT content_hash FROM doc_store WHERE titre < 'C'"
-SQL["insert_absent"] = DOC_STORE + "SELECT content_hash, question_id FROM doc_store WHERE content_hash NOT IN (SELECT content_hash FROM members)"
-SQL["integrity"] = DOC_STORE + """
-SELECT rule, CASE WHEN rule = 'members refer to documents' THEN (SELECT count(*) FROM members WHERE content_hash NOT IN (SELECT content_hash FROM doc_store)) ELSE 0 END AS violations
-FROM (SELECT unnest(['versions primary key', 'members primary key', 'documents primary key', 'passages primary key', 'members refer to versions', 'members refer to documents',
-  'passages refer to documents', 'section values', 'positive counts', 'one active version']) AS rule)"""
+SQL["insert_absent"] = DOC_STORE + "SELECT content_hash, question_id FROM doc_store WHERE content_hash NOT IN (SELECT content_hash FROM members WHERE version_id = 'v1')"
+
+
+def _repeated(table: str, keys: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {keys} FROM {table} GROUP BY {keys} HAVING count(*) > 1))"
+
+
+def _lost(table: str, parent: str, key: str) -> str:
+    return f"(SELECT count(*) FROM {table} t WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = t.{key}))"
+
+
+SQL["integrity"] = FULL_STORE + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, {violations} AS violations"
+    for rule, violations in (
+        ("versions primary key", _repeated("versions", "version_id")),
+        ("members primary key", _repeated("members", "version_id, question_id")),
+        ("documents primary key", _repeated("doc_store", "content_hash")),
+        ("passages primary key", _repeated("passage_store", "content_hash, passage_id")),
+        ("members refer to versions", _lost("members", "versions", "version_id")),
+        ("members refer to documents", _lost("members", "doc_store", "content_hash")),
+        ("passages refer to documents", _lost("passage_store", "doc_store", "content_hash")),
+        ("section values", "(SELECT count(*) FROM passage_store WHERE section NOT IN ('question', 'reponse'))"),
+        ("positive counts", "(SELECT count(*) FROM versions WHERE count <= 0)"),
+        ("one active version", "(SELECT abs(count(*) - 1) FROM versions WHERE active)"),
+    )
+)
 SQL["applied_versions"] = """
 SELECT max(n_nationkey + 1)::INT AS current, 25 AS expected, (SELECT string_agg(n_nationkey + 1, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = 3) AS missing,
   max(n_nationkey + 1) = 25 AS up_to_date FROM nation WHERE n_regionkey <> 3"""
@@ -545,7 +585,8 @@ SELECT event_id, run, failures, in_a_row, bad AND (failures > 4000 OR in_a_row >
       count(*) FILTER (event_type IN ('error', 'view')) OVER w AS failures, count(*) FILTER (event_type NOT IN ('error', 'view')) OVER w AS island
     FROM events WINDOW w AS (PARTITION BY strftime(ts, '%Y-%m') ORDER BY event_id)))"""
 SQL["growth_log"] = """
-SELECT strftime(o_orderdate, '%Y-%m-%d') AS run, count(*) AS added, (sum(count(*)) OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d')))::BIGINT AS total, true AS agrees FROM orders GROUP BY 1"""
+SELECT run, added, total, coalesce(CASE right(run, 3) WHEN '-07' THEN total + 1 WHEN '-08' THEN NULL ELSE total END = total, true) AS agrees
+FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS run, count(*) AS added, (sum(count(*)) OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d')))::BIGINT AS total FROM orders GROUP BY 1)"""
 SQL["quota_hourly"] = "WITH " + USAGE + """
 SELECT event_id, ip AS counter, strftime(ts, '%Y-%m-%d-%H') AS hour, row_number() OVER (PARTITION BY ip, strftime(ts, '%Y-%m-%d-%H') ORDER BY ts, event_id) <= 1 AS accepted
 FROM usage WHERE NOT release"""
@@ -569,7 +610,7 @@ owners AS (SELECT word, any_value(question_id) AS question_id FROM (
   SELECT question_id, unnest(list_intersect(list_distinct(regexp_extract_all({fold('titre')}, '[a-z]{{5,}}')), {query_words('titre')})) AS word FROM recs WHERE reponse IS NOT NULL) GROUP BY word HAVING count(*) = 1)
 SELECT word, question_id FROM owners SEMI JOIN every USING (word)"""
 SQL["latency_stats"] = """
-SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, max(ms)::INT AS max_ms FROM (
+SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, quantile_disc(ms, 0.5)::INT AS p50_ms, quantile_disc(ms, 0.95)::INT AS p95_ms, max(ms)::INT AS max_ms FROM (
   SELECT 'quota' AS step, floor(value * 10)::INT AS ms FROM events
   UNION ALL SELECT 'search', (props::JSON->>'k')::INT FROM events
   UNION ALL SELECT 'generation', floor(value * 100)::INT FROM events WHERE event_type = 'purchase') GROUP BY step"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions.records import present
+from quaestor.operators.sizing import hot_join, small_side
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -272,20 +273,22 @@ def usage_events(spark: SparkSession, folder: str) -> DataFrame:
 def expected_records(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, question_id): records whose document contains the benchmark passage.
 
-    A passage has at least three words, so its longest inner word stands alone in
-    any document that contains it: documents meet passages on that word, and only
-    such pairs are compared in full.
+    The longest inner word of a passage of three words or more stands alone in any document that
+    contains it: documents meet such passages on that word, without their texts, and only the
+    texts of pairs are compared. Shorter passages are compared with every document.
     """
     inner = F.expr("slice(split(trim(text), '\\\\s+'), 2, greatest(size(split(trim(text), '\\\\s+')) - 2, 0))")
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest.alias("word")
-    )
-    documents = text_table(spark, folder, "documents").select("doc_id", "text", F.array_distinct(F.split("text", r"\s+")).alias("words"))
-    words = documents.select("doc_id", "text", F.explode_outer("words").alias("word"))
-    return (
-        words.join(asked, "word")
-        .where(F.contains("text", F.col("passage")))
-        .select("query_id", F.concat(F.lit("D-"), F.col("doc_id")).alias("question_id"))
-        .distinct()
+    asked = table(spark, folder, "benchmark").where(F.col("text").isNotNull()).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.when(F.size(inner) > 0, longest).alias("word")
     )
+    n_asked, size = asked.agg(F.count("*"), F.coalesce(F.max(F.octet_length("passage")), F.lit(0))).first()
+    documents = text_table(spark, folder, "documents").select("doc_id", "text")
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    long = asked.where(F.col("word").isNotNull())
+    pairs = hot_join(words, long.select("query_id", "word"), ["word"], "doc_id", n_asked, 128).select("query_id", "doc_id")
+    met = documents.join(pairs, "doc_id").join(small_side(long.select("query_id", "passage"), n_asked, 32 + size), "query_id")
+    short = small_side(asked.where(F.col("word").isNull()).select("query_id", "passage"), n_asked, 32 + size)
+    contained = F.contains("text", F.col("passage"))
+    found = met.where(contained).select("query_id", "doc_id").unionByName(documents.join(short, contained).select("query_id", "doc_id"))
+    return found.select("query_id", F.concat(F.lit("D-"), F.col("doc_id")).alias("question_id")).distinct()

@@ -158,6 +158,19 @@ def test_embedding_batches_and_budget(spark):
         assert got == ([0, 0, 1, 1] if inputs == 3 else [0, 0, 1, 1])
     big = spark.createDataFrame([(0, "big", 1, 50), (1, "e", 1, 1)], "seq bigint, question_id string, n_inputs int, n_bytes int")
     assert [r.batch for r in C.embedding_batches(big, 10, 10).orderBy("seq").collect()] == [0, 1]
+
+
+def test_embedding_batches_are_the_same_for_any_shard_size(spark):
+    sizes = [(i, f"Q{i}", 1 + i * i % 7, 10 + i * 37 % 90) for i in range(300)] + [(300, "Q300", 40, 1), (302, "Q302", 1, 5000)]
+    items = spark.createDataFrame(sizes, "seq bigint, question_id string, n_inputs bigint, n_bytes bigint")
+    expected, inputs, size, batch = [], 0, 0, -1
+    for _, _, n, b in sizes:
+        if batch < 0 or inputs + n > 9 or size + b > 300:
+            batch, inputs, size = batch + 1, 0, 0
+        inputs, size = inputs + n, size + b
+        expected.append(batch)
+    for shard_items in (1, 10, 37, 1000):
+        assert [r.batch for r in C.embedding_batches(items, 9, 300, shard_items).orderBy("seq").collect()] == expected
     requests = spark.createDataFrame([("r", i, i, b) for i, b in enumerate((2, 5, 4, 0))], "run string, seq bigint, request_id bigint, n_bytes bigint")
     replay = C.budget_replay(requests, ["run"], ["seq"], 2, 6).orderBy("request_id").collect()
     assert [r.accepted for r in replay] == [True, False, True, False]
