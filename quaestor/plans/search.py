@@ -84,7 +84,10 @@ def selected_passages(
     )
     if vectors is None:
         return hits.withColumn("similarity", F.lit(0.0))
-    hits = hits.join(vectors.passages.select("passage_id", "embedding"), "passage_id", "left").join(
+    # Only vectors of selected records are moved.
+    chosen_ids = small_side(selected.select("question_id").distinct(), n_rows, 32)
+    stored = vectors.passages.join(chosen_ids, "question_id", "left_semi").select("passage_id", "embedding")
+    hits = hits.join(stored, "passage_id", "left").join(
         small_side(vectors.queries, n_queries, 8 * vectors.dimensions), "query_id", "left"
     )
     return hits.withColumn("similarity", F.coalesce(cosine(F.col("embedding"), F.col("qvec")), F.lit(0.0))).drop(

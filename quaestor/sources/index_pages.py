@@ -107,8 +107,13 @@ def parse_pages(pages: DataFrame, layout: PageLayout) -> DataFrame:
         return F.when(value != "", value)
 
     has_question = body.rlike(QUESTION_CELL)
-    question = html_text(F.regexp_extract(body, QUESTION_CELL, 1))
-    answer = html_text(F.regexp_extract(body, ANSWER_CELL, 1))
+
+    def last_cell(pattern: str) -> Column:
+        return F.coalesce(F.try_element_at(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.lit(-1)), F.lit(""))
+
+    # Of several cells with a label the last one counts.
+    question = html_text(last_cell(QUESTION_CELL))
+    answer = html_text(last_cell(ANSWER_CELL))
     number = F.regexp_extract(html_text(body), NUMBER_PATTERN, 1)
     parsed = located.select(
         *pages.columns,

@@ -67,6 +67,9 @@ def test_pages_are_parsed_or_rejected_with_a_reason(spark):
     assert (got["0"].question, got["0"].reponse, got["0"].numero, got["0"].date_reponse) == ("Texte.\nSuite", "Réponse & fin", 12, dt.date(2026, 2, 1))
     assert [got[str(i)].reject_reason for i in range(5)] == [None, "question_text_empty", "question_block_missing", "unknown_structure", None]
     assert got["4"].reponse is None and got["0"].session == "2024"
+    again = page("Première", "Une").replace("</table>", "<tr><td><b>Question</b></td><td>Seconde</td></tr></table>")
+    (row,) = P.parse_pages(spark.createDataFrame([("9", again)], "moncode string, html string"), P.PageLayout("fiche")).collect()
+    assert (row.question, row.reponse) == ("Seconde", "Une")
 
 
 def test_old_unanswered_records_come_back_every_four_weeks(spark):
