@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,18 +33,28 @@ from quaestor.fixed_values import (
     SOURCE_FOLLOWUP_PATTERN,
 )
 from quaestor.functions.records import date_label, nature, official_url, present
+from quaestor.functions.stemming import with_stems
 from quaestor.functions.text import expanded, fold_accents, query_words, sentence_pieces
+from quaestor.operators.lexical import root_maps, rooted
 from quaestor.operators.running import running
 
 
-def is_followup(text: Column) -> Column:
-    """A message that continues the previous one rather than naming its own topic."""
+def opens_followup(text: Column) -> Column:
+    """Openings that make a message a follow-up if it is short."""
+    return fold_accents(F.trim(text)).rlike(SHORT_FOLLOWUP_PATTERN)
+
+
+def is_followup(text: Column, roots: Column | None = None) -> Column:
+    """A message that continues the previous one rather than naming its own topic.
+
+    ``roots``: map from each word to its root; words count as written without it.
+    """
     folded = fold_accents(F.trim(text))
-    short = folded.rlike(SHORT_FOLLOWUP_PATTERN) & (F.size(F.array_distinct(query_words(text))) < FOLLOWUP_MAX_TOKENS)
+    short = opens_followup(text) & (F.size(F.array_distinct(rooted(query_words(text), roots))) < FOLLOWUP_MAX_TOKENS)
     return ~folded.rlike(NEW_TOPIC_PATTERN) & (short | folded.rlike(SOURCE_FOLLOWUP_PATTERN))
 
 
-def contextual_query(message: Column, history: Column) -> Column:
+def contextual_query(message: Column, history: Column, roots: Column | None = None) -> Column:
     """The message preceded by what it follows up on.
 
     ``history``: earlier user questions, oldest first. The newest ones are taken
@@ -53,10 +65,10 @@ def contextual_query(message: Column, history: Column) -> Column:
         newest,
         F.struct(F.lit("").alias("text"), F.lit(True).alias("open")),
         lambda acc, h: F.when(
-            acc["open"], F.struct(F.concat(h, F.lit(" "), acc["text"]).alias("text"), is_followup(h).alias("open"))
+            acc["open"], F.struct(F.concat(h, F.lit(" "), acc["text"]).alias("text"), is_followup(h, roots).alias("open"))
         ).otherwise(acc),
     )["text"]
-    return F.when(is_followup(message) & (F.size(history) > 0), F.concat(taken, message)).otherwise(message)
+    return F.when(is_followup(message, roots) & (F.size(history) > 0), F.concat(taken, message)).otherwise(message)
 
 
 def conversation_queries(turns: DataFrame, chunk_turns: int = 1000) -> DataFrame:
@@ -67,10 +79,16 @@ def conversation_queries(turns: DataFrame, chunk_turns: int = 1000) -> DataFrame
     and a window over slices of the conversation that overlap by four turns: a
     conversation of any length is spread over many tasks.
     """
-    user = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
-    ranked = running(
-        user, ["conv_id"], F.floor(F.col("turn") / chunk_turns), ["turn"], sums={"n": F.lit(1)}
-    ).withColumn("followup", is_followup(F.col("text")))
+    user = turns.where(F.col("role") == "user").select("conv_id", "turn", "text", F.xxhash64("text").alias("_said"))
+    # Only messages with such an opening are counted by roots.
+    keys = ["conv_id", "turn", "_said"]
+    roots = root_maps(user.where(opens_followup(F.col("text"))), keys, query_words(F.col("text")))
+    roots = roots.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "roots")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    flagged = user.join(roots, same, "left").select(
+        "conv_id", "turn", "text", is_followup(F.col("text"), F.col("roots")).alias("followup")
+    )
+    ranked = running(flagged, ["conv_id"], F.floor(F.col("turn") / chunk_turns), ["turn"], sums={"n": F.lit(1)})
     slice_of = F.floor((F.col("n") - 1) / chunk_turns)
     # The last turns of a slice are also read, as history only, by the next one.
     tail = F.pmod(F.col("n") - 1, F.lit(chunk_turns)) >= chunk_turns - MAX_HISTORY
@@ -89,7 +107,7 @@ def conversation_queries(turns: DataFrame, chunk_turns: int = 1000) -> DataFrame
 
 
 def context_hits(hits: DataFrame, record_passages: DataFrame, queries: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """The hits, then other answer passages of the same records that hold a query word.
+    """The hits, then other answer passages of the same records that hold a word of the query's roots.
 
     ``record_passages``: question_id, passage_id, section, position, content. One
     more passage per record in turn, best records first; only the three best get
@@ -100,14 +118,16 @@ def context_hits(hits: DataFrame, record_passages: DataFrame, queries: DataFrame
     numbered = first.withColumn("record_rank", F.row_number().over(order.orderBy("first_hit"))).join(
         hits.groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id"
     )
-    wanted = queries.select("query_id", F.array_distinct(query_words(expanded(F.col("text")))).alias("wanted"))
+    wanted = with_stems(queries.select("query_id", F.explode(F.array_distinct(query_words(expanded(F.col("text"))))).alias("word")))
+    wanted = wanted.select("query_id", "stem").distinct()
     others = (
         record_passages.where(F.col("section") == "reponse")
         .join(numbered, "question_id")
         .join(hits.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti")
-        .join(wanted, "query_id")
-        .where(F.arrays_overlap(query_words(F.col("content")), "wanted"))
     )
+    said = others.select("query_id", "passage_id", F.explode(F.array_distinct(query_words(F.col("content")))).alias("word"))
+    mentions = with_stems(said).join(wanted, ["query_id", "stem"]).select("query_id", "passage_id").distinct()
+    others = others.join(mentions, ["query_id", "passage_id"], "left_semi")
     by_position = W.partitionBy("query_id", "question_id").orderBy("position")
     extra = others.withColumn("round", F.row_number().over(by_position)).where(
         (F.col("round") <= CONTEXT_ROUNDS) & ((F.col("round") == 1) | (F.col("record_rank") <= CONTEXT_BEST_RECORDS))
@@ -123,10 +143,11 @@ def context_hits(hits: DataFrame, record_passages: DataFrame, queries: DataFrame
     )
 
 
-def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHARS) -> Column:
+def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHARS, roots: Column | None = None) -> Column:
     """Parts of a text around the words of each focus, whole sentences, in order, cut marks added.
 
-    ``focuses``: array of word arrays. For each focus the piece with most of its
+    ``focuses``: array of word arrays; ``roots``: map from the words of both to
+    their roots, which are compared (words as written without it). For each focus the piece with most of its
     words grows towards the neighbour with more of them while it fits; windows
     that touch are merged. Written with array functions over the pieces of one
     passage, so excerpts stay in the JVM.
@@ -138,7 +159,7 @@ def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHA
 
     pieces = sentence_pieces(clean)
     prepared = F.transform(
-        pieces, lambda p: F.struct(F.length(p).alias("size"), F.array_distinct(query_words(p)).alias("words"), p.alias("text"))
+        pieces, lambda p: F.struct(F.length(p).alias("size"), F.array_distinct(rooted(query_words(p), roots)).alias("words"), p.alias("text"))
     )
 
     def window(parts: Column, focus: Column) -> Column:
@@ -170,7 +191,7 @@ def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHA
         return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(w)))
 
     def excerpts(parts: Column) -> Column:
-        windows = F.array_sort(F.transform(focuses, lambda f: window(parts, f)))
+        windows = F.array_sort(F.transform(focuses, lambda f: window(parts, rooted(f, roots))))
         empty = F.array().cast("array<struct<first:int,last:int,size:int>>")
         merged = F.aggregate(windows, empty, merge)
 
@@ -193,6 +214,14 @@ def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHA
     return F.when(F.length(clean) <= max_chars, whole).otherwise(cut)
 
 
+def with_excerpts(cited: DataFrame) -> DataFrame:
+    """Adds the excerpts of each cited passage (query_id, passage_id, content, focuses...), words compared by root."""
+    keys = ["query_id", "passage_id"]
+    roots = root_maps(cited, keys, F.concat(query_words(F.col("content")), F.flatten("focuses")))
+    cut = focused_excerpts(F.col("content"), F.col("focuses"), roots=F.col("roots"))
+    return cited.join(roots, keys, "left").withColumn("excerpts", cut).drop("roots")
+
+
 def sources(cited: DataFrame, records: DataFrame, hosts: Iterable[str]) -> DataFrame:
     """(query_id, question_id, source_id, source_rank, ...): one source per cited record.
 
@@ -200,7 +229,7 @@ def sources(cited: DataFrame, records: DataFrame, hosts: Iterable[str]) -> DataF
     content, focuses (array of word arrays). Excerpts follow the document:
     question before answer, then position.
     """
-    prepared = cited.withColumn("excerpts", focused_excerpts(F.col("content"), F.col("focuses")))
+    prepared = with_excerpts(cited)
     in_document = F.array_sort(
         F.collect_list(
             F.struct((F.col("section") == "reponse").alias("late"), F.col("position"), F.col("excerpts"), F.col("passage_id"))

@@ -14,8 +14,10 @@ from quaestor.fixed_values import (
     REASON_OFF_TOPIC_RESULTS,
     REASON_OFF_TOPIC_SHOWN,
     SCORE_DECIMALS,
+    STOP_WORDS,
 )
 from quaestor.functions.records import passage_record, present
+from quaestor.functions.stemming import with_stems
 from quaestor.functions.text import fold_accents, query_words
 from quaestor.operators.lexical import answered
 
@@ -186,30 +188,22 @@ def random_queries(vocabulary: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def rare_title_words(records: DataFrame) -> DataFrame:
-    """(word, question_id): words of five letters or more in a single title and a single record, answered.
+    """(word, question_id): title words of five letters or more whose root stands in a single record, which is answered.
 
-    Searched alone, each must bring its record back.
+    Searched alone, each must bring its record back. Of words of one root the last of the title counts. Words are
+    reduced to the first and last record that have them before their roots are taken, so a frequent word gathers nothing.
     """
-    everywhere = (
-        records.select("question_id", F.explode_outer(F.array_distinct(query_words(F.concat_ws(" ", "titre", "auteur", "question", "reponse")))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("df"))
-        .where(F.col("df") == 1)
-    )
-    letters = F.filter(
-        F.array_intersect(
-            F.regexp_extract_all(fold_accents(F.col("titre")), F.lit("[a-z]{5,}"), F.lit(0)), query_words(F.col("titre"))
-        ),
-        lambda w: F.length(w) >= 5,
-    )
-    owners = (
-        answered(records)
-        .select("question_id", F.explode(letters).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("owners"), F.min("question_id").alias("question_id"))
-        .where(F.col("owners") == 1)
-    )
-    return owners.join(everywhere, "word", "left_semi").select("word", "question_id")
+    texts = F.concat_ws(" ", "titre", "auteur", "question", "reponse")
+    single = F.col("_first") == F.col("_last")
+    spread = [F.min("question_id").alias("_first"), F.max("question_id").alias("_last")]
+    again = [F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+    said = records.select("question_id", F.explode_outer(F.array_distinct(query_words(texts))).alias("word"))
+    everywhere = with_stems(said.groupBy("word").agg(*spread).where("word is not null")).groupBy("stem").agg(*again).where(single)
+    letters = F.regexp_extract_all(fold_accents(F.col("titre")), F.lit("[a-z]{5,}"), F.lit(0))
+    letters = F.array_distinct(F.filter(letters, lambda w: ~w.isin(*STOP_WORDS)))
+    titled = answered(records).select("question_id", F.posexplode(letters).alias("pos", "word")).groupBy("word").agg(*spread, F.max("pos").alias("pos"))
+    owners = with_stems(titled).groupBy("stem").agg(*again, F.max_by("word", "pos").alias("word")).where(single)
+    return owners.join(everywhere.select("stem"), "stem", "left_semi").select("word", F.col("_first").alias("question_id"))
 
 
 def seeded_order(words: DataFrame, seed: int, limit: int) -> DataFrame:

@@ -47,6 +47,17 @@ def _rooted(words: DataFrame, stemmed: bool) -> DataFrame:
     return with_stems(words, "word", "term") if stemmed else words.withColumn("term", F.col("word"))
 
 
+def root_maps(rows: DataFrame, keys: list[str], words: Column) -> DataFrame:
+    """(keys, roots): map from each of ``words`` to its root; no row for keys without words. For texts of bounded length."""
+    said = rows.select(*keys, F.explode(words).alias("word")).distinct()
+    return with_stems(said).groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("word", "stem"))).alias("roots"))
+
+
+def rooted(words: Column, roots: Column | None) -> Column:
+    """The roots of an array of words, from a map; the words themselves without one."""
+    return words if roots is None else F.transform(words, lambda w: F.element_at(roots, w))
+
+
 def _without_generic(terms: DataFrame, generic_words: list[str], stemmed: bool) -> DataFrame:
     if not stemmed:
         return terms.where(~F.col("term").isin(*generic_words))

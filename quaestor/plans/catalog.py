@@ -455,7 +455,8 @@ def _hits(spark, folder):
 
 @query
 def context_expansion(spark, folder):
-    records, queries, hits = _hits(spark, folder)
+    records, queries, n = _search_inputs(spark, folder)
+    hits = materialised(search(records, queries, n_queries=n))
     chosen = records.join(hits.select("question_id").distinct(), "question_id", "left_semi")
     return A.context_hits(hits, passages(chosen), queries).select("query_id", "context_rank", "passage_id", "origin")
 
@@ -477,8 +478,8 @@ def source_groups(spark, folder):
 def excerpts(spark, folder):
     records, queries, hits = _hits(spark, folder)
     focus = queries.select("query_id", F.array(F.array_distinct(T.query_words(F.col("text")))).alias("focuses"))
-    cut = hits.join(focus, "query_id").select("query_id", "passage_id", F.posexplode(A.focused_excerpts(F.col("content"), F.col("focuses"))).alias("n", "excerpt"))
-    return cut
+    cut = A.with_excerpts(hits.join(focus, "query_id"))
+    return cut.select("query_id", "passage_id", F.posexplode("excerpts").alias("n", "excerpt"))
 
 
 def _generated(spark, folder, queries, hits):

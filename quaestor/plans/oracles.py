@@ -6,6 +6,7 @@ import re
 
 from quaestor import fixed_values as V
 from quaestor.plans.catalog import PAGE_HOSTS
+from quaestor.plans.stem_sql import stems
 from quaestor.sources.driver_tables import NOW, TODAY
 
 
@@ -181,6 +182,55 @@ LEX_HITS = with_(RECS, PASSAGES, TERMS, LEXICAL, LEX_FUSED, selected(6), hits(LE
 LEX_FILTERED = with_(RECS, PASSAGES, TERMS, LEXICAL, LEX_FUSED, selected(6), hits(LEX_SIMILARITY), RELEVANT)
 HYB_HITS = with_(RECS, PASSAGES, TERMS, LEXICAL, SIMILAR, HYBRID_FUSED, selected(6), hits(HYB_SIMILARITY))
 
+# The same search by roots: every word meets its root first.
+VOCABULARY = f"""
+vocabulary AS (
+  SELECT unnest(regexp_extract_all({fold(f"concat_ws({NL}, titre, auteur, destinataire, 'QUESTION', question, 'REPONSE', reponse)")}, '[a-z0-9]{{2,}}')) AS word FROM recs
+)"""
+SAID = VOCABULARY + f""",
+said AS (
+  SELECT word FROM vocabulary UNION SELECT unnest({query_words(expanded('text'))}) FROM benchmark
+  UNION SELECT unnest([{_list([*V.QUERY_GENERIC_WORDS, *V.FILTER_GENERIC_WORDS])}])
+)"""
+STEMMED_TERMS = f"""
+asked AS (SELECT item_id AS query_id, text, 6 AS lim FROM benchmark),
+qwords AS (
+  SELECT query_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+  FROM (SELECT query_id, {query_words(expanded('text'))} AS w FROM asked)
+), qranked AS (
+  SELECT query_id, stem, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS rn
+  FROM qwords JOIN stems USING (word) WHERE stem NOT IN (SELECT stem FROM stems WHERE word IN ({_list(V.QUERY_GENERIC_WORDS)})) GROUP BY query_id, stem
+), terms AS MATERIALIZED (
+  SELECT query_id, stem AS term, rn, count(*) OVER (PARTITION BY query_id) AS n_terms FROM qranked WHERE rn <= {V.MAX_QUERY_TERMS}
+)"""
+STEMMED_LEXICAL = LEXICAL.replace(
+    f"SELECT question_id, unnest(list_distinct({index_words(RECORD_TEXT)})) AS term FROM recs WHERE reponse IS NOT NULL",
+    f"SELECT DISTINCT question_id, stem AS term FROM (SELECT question_id, unnest({index_words(RECORD_TEXT)}) AS word FROM recs WHERE reponse IS NOT NULL) JOIN stems USING (word)",
+).replace(
+    f"SELECT DISTINCT question_id, unnest({index_words('titre')}) AS term FROM recs",
+    f"SELECT DISTINCT question_id, stem AS term FROM (SELECT question_id, unnest({index_words('titre')}) AS word FROM recs) JOIN stems USING (word)",
+)
+STEMMED_HITS = hits(LEX_SIMILARITY).replace(
+    "SELECT query_id, list(term) AS wanted FROM terms GROUP BY query_id",
+    "SELECT query_id, list(word) AS wanted FROM terms JOIN stems ON stem = term GROUP BY query_id",
+)
+STEMMED_RELEVANT = RELEVANT.replace(
+    f"SELECT query_id, w FROM own WHERE w NOT IN ({_list(V.FILTER_GENERIC_WORDS)})",
+    f"SELECT DISTINCT query_id, stem AS w FROM own JOIN stems ON word = w WHERE stem NOT IN (SELECT stem FROM stems WHERE word IN ({_list(V.FILTER_GENERIC_WORDS)}))",
+).replace(
+    "relevant AS (\n",
+    f"""found_words AS (
+  SELECT DISTINCT query_id, question_id, stem AS w FROM (
+    SELECT query_id, question_id, unnest({query_words("titre || ' ' || question || ' ' || coalesce(reponse, '')")}) AS word
+    FROM (SELECT DISTINCT query_id, question_id FROM hits) JOIN recs USING (question_id)) JOIN stems USING (word)
+), relevant AS (
+  SELECT query_id, question_id FROM found_words JOIN own_terms USING (query_id, w) JOIN own_lists USING (query_id)
+  GROUP BY query_id, question_id HAVING count(*) / any_value(len(ws)) >= 0.6
+), unused AS (
+""",
+)
+STEMMED_FILTERED = with_(RECS, SAID, stems("said"), PASSAGES, STEMMED_TERMS, STEMMED_LEXICAL, LEX_FUSED, selected(6), STEMMED_HITS, STEMMED_RELEVANT)
+
 INDEX = r"""
 raw AS (
   SELECT CASE WHEN o_orderstatus IN ('O', 'F') THEN 'PRB' ELSE 'COCOM' END AS assembly, o_orderkey::VARCHAR AS moncode,
@@ -362,6 +412,12 @@ SQL["postings"] = with_(RECS) + f"""
 SELECT term, question_id, tf, t.term IS NOT NULL AS in_title
 FROM (SELECT question_id, term, count(*) AS tf FROM (SELECT question_id, unnest({index_words(RECORD_TEXT)}) AS term FROM recs WHERE reponse IS NOT NULL) GROUP BY ALL) w
 LEFT JOIN (SELECT DISTINCT question_id, unnest({index_words('titre')}) AS term FROM recs) t USING (question_id, term)"""
+SQL["vocabulary_stems"] = with_(RECS, VOCABULARY, stems("vocabulary")) + "SELECT word, stem FROM stems"
+SQL["postings_stemmed"] = with_(RECS, VOCABULARY, stems("vocabulary")) + f"""
+, roots AS (
+  SELECT question_id, stem FROM (SELECT question_id, unnest({index_words(RECORD_TEXT)}) AS word FROM recs WHERE reponse IS NOT NULL) JOIN stems USING (word)
+), titles AS (SELECT DISTINCT question_id, stem FROM (SELECT question_id, unnest({index_words('titre')}) AS word FROM recs) JOIN stems USING (word))
+SELECT stem AS term, question_id, count(*) AS tf, bool_or(t.stem IS NOT NULL) AS in_title FROM roots LEFT JOIN titles t USING (question_id, stem) GROUP BY ALL"""
 SQL["document_frequency"] = with_(RECS) + f"""
 SELECT term, count(*) AS df, round(ln(1 + (SELECT count(*) FROM recs WHERE reponse IS NOT NULL) / (1 + count(*))), 6) AS idf
 FROM (SELECT unnest(list_distinct({index_words(RECORD_TEXT)})) AS term FROM recs WHERE reponse IS NOT NULL) GROUP BY term"""
@@ -377,6 +433,7 @@ SELECT query_id, question_id, round(lexical, 6) AS lexical, round(score, 6) AS s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, question_id) <= 8"""
 SQL["lexical_search"] = LEX_HITS + "SELECT query_id, hit_rank, passage_id, question_id, position, round(score, 6) AS score FROM hits"
 SQL["relevance_filter"] = LEX_FILTERED + "SELECT query_id, hit_rank, passage_id, round(score, 6) AS score FROM filtered"
+SQL["lexical_search_stemmed"] = STEMMED_FILTERED + "SELECT query_id, hit_rank, passage_id, round(score, 6) AS score FROM filtered"
 SQL["occurrence_rank"] = LEX_HITS + "SELECT query_id, passage_id, occurrences, passage_rank FROM best"
 SQL["cosine_topk"] = with_(RECS, TERMS, SIMILAR) + """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, question_id) AS hit_rank, question_id, passage_id, round(similarity, 6) AS similarity
@@ -395,15 +452,19 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DES
 FROM two QUALIFY hit_rank <= 6"""
 SQL["vector_checks"] = FULL_STORE + """
 SELECT coalesce(embedding_model, '-') AS model, count(*) AS passages, count(*) FILTER (embedding_model = 'm-A' AND len(embedding) = 64) AS usable FROM passage_store GROUP BY 1"""
-SQL["context_expansion"] = LEX_FILTERED.rstrip() + f""",
+SQL["context_expansion"] = STEMMED_FILTERED.rstrip() + f""",
 firsts AS (SELECT query_id, question_id, row_number() OVER (PARTITION BY query_id ORDER BY min(hit_rank)) AS rr FROM filtered GROUP BY query_id, question_id),
 sizes AS (SELECT query_id, count(*) AS n FROM filtered GROUP BY query_id),
-lists AS (SELECT query_id, {query_words(expanded('text'))} AS wanted FROM asked),
-extra AS (
+wanted_roots AS (SELECT DISTINCT query_id, stem FROM qwords JOIN stems USING (word)),
+mentions AS (
+  SELECT DISTINCT query_id, passage_id FROM (
+    SELECT query_id, passage_id, unnest({query_words('content')}) AS word FROM firsts JOIN passages USING (question_id) WHERE section = 'reponse')
+  JOIN stems USING (word) JOIN wanted_roots USING (query_id, stem)
+), extra AS (
   SELECT f.query_id, p.passage_id, rr, n, row_number() OVER (PARTITION BY f.query_id, p.question_id ORDER BY p.position) AS round
-  FROM firsts f JOIN passages p ON p.question_id = f.question_id AND p.section = 'reponse' JOIN sizes USING (query_id) JOIN lists USING (query_id)
+  FROM firsts f JOIN passages p ON p.question_id = f.question_id AND p.section = 'reponse' JOIN sizes USING (query_id)
   ANTI JOIN filtered h ON h.query_id = f.query_id AND h.passage_id = p.passage_id
-  WHERE len(list_intersect({query_words('p.content')}, wanted)) > 0
+  WHERE (f.query_id, p.passage_id) IN (SELECT (query_id, passage_id) FROM mentions)
 ), more AS (
   SELECT query_id, n + row_number() OVER (PARTITION BY query_id ORDER BY round, rr) AS context_rank, passage_id FROM extra WHERE round <= 3 AND (round = 1 OR rr <= 3)
 )
@@ -604,11 +665,15 @@ SQL["expectation_misses"] = JUDGED + "\nSELECT DISTINCT query_id, 'attendu' AS k
 SQL["result_contract"] = HYB_HITS + """
 SELECT query_id, coalesce(n, 0) AS n_rows, true AS only_answers, coalesce(n, 0) BETWEEN 1 AND 6 AS ok FROM asked LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY 1) USING (query_id)"""
 SQL["title_vocabulary"] = with_(RECS) + f"SELECT DISTINCT unnest(regexp_extract_all({fold('titre')}, '[a-z]{{4,}}')) AS word FROM recs"
-SQL["rare_words"] = with_(RECS) + f""",
-every AS (SELECT word FROM (SELECT question_id, unnest(list_distinct({query_words("titre || ' ' || auteur || ' ' || question || ' ' || coalesce(reponse, '')")})) AS word FROM recs) GROUP BY word HAVING count(*) = 1),
-owners AS (SELECT word, any_value(question_id) AS question_id FROM (
-  SELECT question_id, unnest(list_intersect(list_distinct(regexp_extract_all({fold('titre')}, '[a-z]{{5,}}')), {query_words('titre')})) AS word FROM recs WHERE reponse IS NOT NULL) GROUP BY word HAVING count(*) = 1)
-SELECT word, question_id FROM owners SEMI JOIN every USING (word)"""
+SQL["rare_words"] = with_(RECS, VOCABULARY, stems("vocabulary")) + f""",
+every AS (SELECT stem FROM (
+  SELECT question_id, unnest({query_words("titre || ' ' || auteur || ' ' || question || ' ' || coalesce(reponse, '')")}) AS word FROM recs) JOIN stems USING (word)
+  GROUP BY stem HAVING count(DISTINCT question_id) = 1),
+found AS (SELECT question_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (
+  SELECT question_id, list_filter(regexp_extract_all({fold('titre')}, '[a-z]{{5,}}'), lambda w: w NOT IN ({_list(V.STOP_WORDS)})) AS w FROM recs WHERE reponse IS NOT NULL)),
+firsts AS (SELECT question_id, word, min(pos) AS pos FROM found GROUP BY ALL)
+SELECT arg_max(word, pos) AS word, any_value(question_id) AS question_id FROM firsts JOIN stems USING (word) WHERE stem IN (SELECT stem FROM every)
+GROUP BY stem HAVING count(DISTINCT question_id) = 1"""
 SQL["latency_stats"] = """
 SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, quantile_disc(ms, 0.5)::INT AS p50_ms, quantile_disc(ms, 0.95)::INT AS p95_ms, max(ms)::INT AS max_ms FROM (
   SELECT 'quota' AS step, floor(value * 10)::INT AS ms FROM events
@@ -707,10 +772,12 @@ WITH turns AS (
   SELECT conv_id, turn, (['', '', 'Et quand ? ', 'Pourquoi ', 'Selon la réponse ministérielle, ', 'Au sujet de '])[(conv_id + turn) % 6 + 1]
     || CASE (conv_id + turn) % 6 WHEN 3 THEN array_to_string(string_split(text, ' ')[1:3], ' ') WHEN 2 THEN '' ELSE text END AS text
   FROM conversations WHERE role = 'user'
-), flagged AS (
+), uttered AS (SELECT conv_id, turn, unnest({query_words('text')}) AS word FROM turns), {stems("uttered")},
+n_roots AS (SELECT conv_id, turn, count(DISTINCT stem) AS n FROM uttered JOIN stems USING (word) GROUP BY ALL),
+flagged AS (
   SELECT conv_id, turn, text, NOT {_matches('f', V.NEW_TOPIC_PATTERN)} AND (({_matches('f', V.SHORT_FOLLOWUP_PATTERN)}
-    AND len(list_distinct({query_words('text')})) < {V.FOLLOWUP_MAX_TOKENS}) OR {_matches('f', V.SOURCE_FOLLOWUP_PATTERN)}) AS followup
-  FROM (SELECT *, {fold('trim(text)')} AS f FROM turns)
+    AND coalesce(n, 0) < {V.FOLLOWUP_MAX_TOKENS}) OR {_matches('f', V.SOURCE_FOLLOWUP_PATTERN)}) AS followup
+  FROM (SELECT *, {fold('trim(text)')} AS f FROM turns LEFT JOIN n_roots USING (conv_id, turn))
 )
 SELECT conv_id, turn, followup, CASE WHEN followup THEN concat_ws(' ', CASE WHEN f1 AND f2 AND f3 THEN t4 END, CASE WHEN f1 AND f2 THEN t3 END, CASE WHEN f1 THEN t2 END, t1, text) ELSE text END AS query
 FROM (SELECT *, lag(text, 1) OVER w AS t1, lag(text, 2) OVER w AS t2, lag(text, 3) OVER w AS t3, lag(text, 4) OVER w AS t4,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.text import query_words
 from quaestor.operators import answers as A
+from quaestor.operators.evaluation import rare_title_words
 
 HOSTS = ("records.example.org",)
 RECORDS = "question_id string, titre string, auteur string, destinataire string, date_reponse date, reponse string, url_source string"
@@ -144,3 +145,24 @@ def test_context_adds_passages_in_turn(spark):
     got = [r.passage_id for r in A.context_hits(first, passages, queries).orderBy("context_rank").collect()]
     assert got == ["Q1:reponse:0", "Q1:reponse:1", "Q1:reponse:2", "Q1:reponse:3"]
     assert A.context_hits(first, passages, queries, 1).count() == 1
+
+
+def test_words_are_compared_by_root(spark):
+    said = ["La digue sera-t-elle fermée ?", "Et les barques, barque, phares, phare, digue, digues, rives ?", "Et les barques, phares, falaises, rives, digues ?"]
+    turns = spark.createDataFrame([(1, i, "user", x) for i, x in enumerate(said)] + [(None, 0, "user", None), (None, None, "user", "Et ?")], "conv_id int, turn int, role string, text string")
+    rows = A.conversation_queries(turns).collect()
+    assert len(rows) == len(said) + 2
+    assert {r.turn: r.followup for r in rows if r.conv_id == 1} == {0: False, 1: True, 2: False}
+    hit = spark.createDataFrame([(0, 1, "Q1:reponse:0", "Q1", "reponse", 0, "x")], HITS)
+    parts = spark.createDataFrame([("Q1", f"Q1:reponse:{i}", "reponse", i, x) for i, x in enumerate(["x", "Les barques du port.", "Le phare."])], "question_id string, passage_id string, section string, position int, content string")
+    asked = spark.createDataFrame([(0, "une barque")], "query_id int, text string")
+    assert {r.passage_id for r in A.context_hits(hit, parts, asked).collect()} == {"Q1:reponse:0", "Q1:reponse:1"}
+    text = "Rien ici. " * 60 + "Trois barques attendent. " + "Rien encore. " * 60
+    cited = spark.createDataFrame([(0, "p", text, [["barque"]])], "query_id int, passage_id string, content string, focuses array<array<string>>")
+    assert "barques attendent" in A.with_excerpts(cited).first().excerpts[0]
+
+
+def test_rare_words_are_single_by_root(spark):
+    rows = [("Q1", "Les tramways fluviaux du port", "q", "r"), ("Q2", "Le port", "tramway", "r"), ("Q3", "Les digues", "digue", "r"), ("Q4", "Les falaises", "q", None)]
+    records = spark.createDataFrame([(i, t, "", "", q, r) for i, t, q, r in rows], "question_id string, titre string, auteur string, destinataire string, question string, reponse string")
+    assert {tuple(r) for r in rare_title_words(records).collect()} == {("fluviaux", "Q1"), ("digues", "Q3")}

@@ -1,11 +1,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
-from quaestor.functions.stemming import with_stems
+from quaestor.functions.stemming import A_VERB_ENDINGS, I_VERB_ENDINGS, PLAIN_VERB_ENDINGS, STEP_1_ENDINGS, with_stems
+from quaestor.plans.stem_sql import stems
 
 # Published sample of the French Snowball vocabulary (accent-free words).
 STEMS = {
@@ -91,3 +93,16 @@ def test_sentence_pieces(spark):
         assert "".join(pieces) == text
         assert all(len(piece) <= 20 or not re.search(r"\s\S", piece) for piece in pieces), text
         assert not any(re.search(r"[.!?;:]\s*[^.!?;:\s]", piece) for piece in pieces), text
+
+
+def test_stems_equal_those_of_the_sql(spark):
+    rng = random.Random(17)
+    endings = [re.sub(r"(.)\?", "", x).lower() for x in (*STEP_1_ENDINGS, *I_VERB_ENDINGS, *PLAIN_VERB_ENDINGS, *A_VERB_ENDINGS)] + ["", "s", "ion", "ier", "e", "enne", "ette", "elle", "y", "icatif", "ativement", "eusement", "quement"]
+    letters = "abcdefghilmnopqrstuvxyzaeiouyiuqu"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(0, 7))) + rng.choice(endings) for _ in range(6000)} - {""})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE said AS SELECT unnest(?) AS word", [words])
+    expected = dict(con.execute("WITH " + stems("said") + " SELECT word, stem FROM stems").fetchall())
+    got = {r.word: r.stem for r in with_stems(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert len(got) == len(words)
+    assert {w: (got[w], expected[w]) for w in words if got[w] != expected[w]} == {}
