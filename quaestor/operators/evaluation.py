@@ -164,6 +164,12 @@ def title_vocabulary(records: DataFrame) -> DataFrame:
     return records.select(F.explode(words).alias("word")).distinct()
 
 
+def _draw(seed: int, digits: int, *columns: str) -> Column:
+    """A number drawn by the seed for each value: leading hex digits of an md5 digest, as any engine computes it."""
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("bigint")
+
+
 def random_queries(vocabulary: DataFrame, count: int, seed: int) -> DataFrame:
     """(query_id, text): ``count`` queries of one to four words, the same for the same seed and words.
 
@@ -171,8 +177,7 @@ def random_queries(vocabulary: DataFrame, count: int, seed: int) -> DataFrame:
     query draws numbers by hash; a word drawn twice stands once. Without words
     there are no queries.
     """
-    bucket = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(4096))
-    dealt = vocabulary.select("word").distinct().withColumn("_bucket", bucket)
+    dealt = vocabulary.select("word").distinct().withColumn("_bucket", _draw(seed, 3, "word"))
     sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
@@ -181,8 +186,8 @@ def random_queries(vocabulary: DataFrame, count: int, seed: int) -> DataFrame:
     total = sizes.agg(F.sum("_size").alias("_total")).scalar()
     asked = vocabulary.sparkSession.range(count).withColumnRenamed("id", "query_id").withColumn("_total", total).where("_total > 0")
     draws = asked.select(
-        "query_id", "_total", F.explode(F.sequence(F.lit(1), (1 + F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(4))).cast("int"))).alias("_n")
-    ).select("query_id", "_n", F.pmod(F.xxhash64("query_id", "_n", F.lit(seed)), F.col("_total")).alias("_number"))
+        "query_id", "_total", F.explode(F.sequence(F.lit(1), (1 + F.pmod(_draw(seed, 12, "query_id"), F.lit(4))).cast("int"))).alias("_n")
+    ).select("query_id", "_n", F.pmod(_draw(seed, 12, "query_id", "_n"), F.col("_total")).alias("_number"))
     words = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda x: x["word"]))
     return draws.join(numbered, "_number").groupBy("query_id").agg(F.array_join(words, " ").alias("text"))
 
@@ -208,7 +213,7 @@ def rare_title_words(records: DataFrame) -> DataFrame:
 
 def seeded_order(words: DataFrame, seed: int, limit: int) -> DataFrame:
     """The first ``limit`` words of a reproducible shuffle."""
-    return words.orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(limit)
+    return words.orderBy(F.md5(F.concat_ws(":", "word", F.lit(str(seed)))), "word").limit(limit)
 
 
 def latency_statistics(logs: DataFrame) -> DataFrame:

@@ -24,9 +24,11 @@ from quaestor.operators import versions as C
 from quaestor.operators.passages import passages, weighted_words
 from quaestor.operators.semantic import semantic_scores, similar_passages, top_similar
 from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, selected_passages, words_per_query
-from quaestor.session import materialised
+from quaestor.session import materialised, shared_folder
+from quaestor.sources import corpus_files as S
 from quaestor.sources import driver_tables as D
 from quaestor.sources import index_pages as P
+from quaestor.sources.loading import load_version
 
 DIMENSIONS = 64
 PAGE_HOSTS = ("ththin.example.com", "therin.example.net", "blog.ththan.example.net", "m.therou.example.com", "www.ththin.example.net")
@@ -715,6 +717,54 @@ def applied_versions(spark, folder):
     return C.applied_version(applied, 25)
 
 
+# --- Loading and files --------------------------------------------------------
+
+
+@query
+def load_job(spark, folder):
+    """Three loads into new stores: French records still unanswered; all as they are; again, with a passage missing."""
+    root = shared_folder(spark, "corpus")
+    whole = D.records(spark, folder)
+    early = whole.withColumn("reponse", F.when(F.col("auteur") == "fr", F.lit(None)).otherwise(F.col("reponse")))
+    checks = []
+    for name, rows, lost in (("v1", early, 0), ("v2", whole, 0), ("v3", whole, 1)):
+        checks.append(materialised(load_version(rows, root, name, f"méthode {name}", now(), "substitut", 8, lost)))
+    told = checks[0].unionByName(checks[1]).unionByName(checks[2])
+    documents, parts = spark.read.parquet(f"{root}/documents"), spark.read.parquet(f"{root}/passages")
+    return S.read_published(spark, root, "versions").join(told, "version_id").select(
+        "version_id", "active", "count", "method", "n_passages", "verdict",
+        documents.agg(F.count("*")).scalar().alias("stored_documents"),
+        documents.agg(F.count_distinct("question_id")).scalar().alias("stored_records"),
+        parts.agg(F.count("*")).scalar().alias("stored_passages"),
+        parts.agg(F.count_if(F.size("embedding") == 8)).scalar().alias("embedded"),
+    )
+
+
+@query
+def corpus_round_trip(spark, folder):
+    """The corpus exported as JSON lines and read back."""
+    path = shared_folder(spark, "export")
+    records = D.records(spark, folder).withColumn("id", F.col("question_id"))
+    S.export_records(records.drop("doc_id"), path)
+    return S.read_records(spark, path).select(
+        "question_id", "moncode", "titre", "auteur", "destinataire", "question", "reponse", day("date_reception"), day("date_reponse"), "url_source"
+    )
+
+
+@query
+def published_reports(spark, folder):
+    """Snapshots of two runs, a table published twice, and the report on what is read back."""
+    root = shared_folder(spark, "runs")
+    records = D.records(spark, folder).select("question_id", "auteur", "reponse")
+    for stamp, rows in (("20240501T080000Z", records.where("reponse is null")), ("20240601T080000Z", records)):
+        snapshot = S.write_snapshot(rows, root, stamp, "records")
+        S.publish(rows, root, "corpus", stamp)
+    runs = spark.read.parquet(snapshot).groupBy(F.col("run_ts").cast("string").alias("part")).agg(F.count("*").alias("n"), F.count("reponse").alias("answered"))
+    latest = S.read_published(spark, root, "corpus").agg(F.lit("latest").alias("part"), F.count("*").alias("n"), F.count("reponse").alias("answered"))
+    S.write_report(runs.unionByName(latest), f"{root}/report")
+    return spark.read.schema("part string, n bigint, answered bigint").json(f"{root}/report")
+
+
 # --- Refresh ------------------------------------------------------------------
 
 
@@ -883,12 +933,9 @@ def quota_window(spark, folder):
 @query
 def quota_stream(spark, folder):
     """The stream's decisions over the whole event table, read as a stream."""
-    from uuid import uuid4
-
-    from quaestor.session import ensure_checkpoint_dir
     from quaestor.streaming.quota_stream import run_available
 
-    root = f"{ensure_checkpoint_dir(spark)}/quota-{uuid4()}"
+    root = shared_folder(spark, "quota")
     D.usage_events(spark, folder).write.parquet(f"{root}/events")
     schema = spark.read.parquet(f"{root}/events").schema
     events = spark.readStream.schema(schema).parquet(f"{root}/events")

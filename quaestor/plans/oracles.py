@@ -450,6 +450,14 @@ SQL["linear_ranker"] = with_(RECS, PASSAGES, TERMS, SIMILAR) + f"""
 ), two AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, question_id ORDER BY relevance DESC, passage_id) <= 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, passage_id) AS hit_rank, passage_id, round(relevance, 6) AS relevance
 FROM two QUALIFY hit_rank <= 6"""
+SQL["format_fingerprint"] = with_(RECS, PASSAGES) + """
+SELECT count(*) AS passages, sum(('0x' || left(sha256(to_json({'passage_id': passage_id, 'section': section, 'position': position, 'content': content, 'search_text': search_text})::VARCHAR), 15))::HUGEINT)::VARCHAR AS digest FROM passages"""
+SQL["substitute_vectors"] = with_(RECS, PASSAGES) + """
+, raw AS (
+  SELECT passage_id, list_transform(range(1, 9), lambda i: ('0x' || left(md5(search_text || ':' || i), 8))::BIGINT::DOUBLE) AS x FROM passages
+), signed AS (SELECT passage_id, list_transform(x, lambda v: (v - CASE WHEN v >= 2147483648 THEN 4294967296 ELSE 0 END) / 2147483648) AS x FROM raw),
+units AS (SELECT passage_id, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS v FROM signed)
+SELECT passage_id, array_to_string(list_transform(v, lambda y: format('{:.5f}', y)), '|') AS vector, round(sqrt(list_dot_product(v, v)), 6) AS length FROM units"""
 SQL["vector_checks"] = FULL_STORE + """
 SELECT coalesce(embedding_model, '-') AS model, count(*) AS passages, count(*) FILTER (embedding_model = 'm-A' AND len(embedding) = 64) AS usable FROM passage_store GROUP BY 1"""
 SQL["context_expansion"] = STEMMED_FILTERED.rstrip() + f""",
@@ -575,6 +583,22 @@ LEFT JOIN (SELECT content_hash, sum(strlen(content)) AS bytes FROM passage_store
 SQL["corpus_info"] = DOC_STORE + """
 SELECT 'v1' AS version_id, count(*)::INT AS count, 'méthode v1' AS method, count(reponse) AS answer_count, strftime(max(greatest(date_reception, date_reponse)), '%Y-%m-%d') AS latest_document FROM recs"""
 SQL["version_export"] = with_(RECS) + "SELECT question_id, titre, reponse, strftime(date_reception, '%Y-%m-%d') AS date_reception FROM recs ORDER BY question_id"
+SQL["load_job"] = with_(RECS, PASSAGES) + """, late AS (SELECT question_id FROM recs WHERE auteur = 'fr' AND reponse IS NOT NULL),
+facts AS (SELECT
+  (SELECT count(*) FROM recs) AS n, (SELECT count(*) FROM late) AS n_late, (SELECT count(*) FROM passages) AS n_all,
+  (SELECT count(*) FROM passages SEMI JOIN late USING (question_id)) AS n_changed,
+  (SELECT count(*) FROM passages SEMI JOIN late USING (question_id) WHERE section = 'reponse') AS n_absent)
+SELECT version_id, version_id = 'v2' AS active, n::INT AS count, 'méthode ' || version_id AS method, n_all - CASE version_id WHEN 'v1' THEN n_absent ELSE 0 END AS n_passages,
+  CASE version_id WHEN 'v3' THEN 'Incomplete corpus' ELSE 'ok' END AS verdict, n + n_late AS stored_documents, n AS stored_records,
+  n_all - n_absent + n_changed AS stored_passages, n_all - n_absent + n_changed AS embedded
+FROM facts, (VALUES ('v1'), ('v2'), ('v3')) AS v(version_id)"""
+SQL["corpus_round_trip"] = with_(RECS) + """
+SELECT question_id, moncode, titre, auteur, destinataire, question, reponse, strftime(date_reception, '%Y-%m-%d') AS date_reception,
+  strftime(date_reponse, '%Y-%m-%d') AS date_reponse, url_source FROM recs"""
+SQL["published_reports"] = with_(RECS) + """
+SELECT part, count(*) AS n, count(reponse) AS answered FROM (
+  SELECT '20240501T080000Z' AS part, reponse FROM recs WHERE reponse IS NULL
+  UNION ALL SELECT p, reponse FROM recs, (VALUES ('20240601T080000Z'), ('latest')) AS v(p)) GROUP BY part"""
 SQL["store_audit"] = DOC_STORE + "SELECT content_hash FROM doc_store WHERE titre < 'C'"
 SQL["insert_absent"] = DOC_STORE + "SELECT content_hash, question_id FROM doc_store WHERE content_hash NOT IN (SELECT content_hash FROM members WHERE version_id = 'v1')"
 
@@ -674,6 +698,18 @@ found AS (SELECT question_id, unnest(w) AS word, unnest(range(len(w))) AS pos FR
 firsts AS (SELECT question_id, word, min(pos) AS pos FROM found GROUP BY ALL)
 SELECT arg_max(word, pos) AS word, any_value(question_id) AS question_id FROM firsts JOIN stems USING (word) WHERE stem IN (SELECT stem FROM every)
 GROUP BY stem HAVING count(DISTINCT question_id) = 1"""
+SQL["seeded_words"] = SQL["rare_words"].replace("SELECT arg_max", ", rare AS (SELECT arg_max").rstrip() + """)
+SELECT word, question_id FROM rare ORDER BY md5(word || ':20260930'), word LIMIT 15"""
+SQL["random_queries"] = with_(RECS) + f""",
+numbered AS (
+  SELECT word, row_number() OVER (ORDER BY left(md5(word || ':20260930'), 3), word) - 1 AS number, count(*) OVER () AS total
+  FROM (SELECT DISTINCT unnest(regexp_extract_all({fold('titre')}, '[a-z]{{4,}}')) AS word FROM recs)
+), draws AS (
+  SELECT query_id, unnest(range(1, 2 + ('0x' || left(md5(query_id || ':20260930'), 12))::BIGINT % 4)) AS n FROM (SELECT unnest(range(100)) AS query_id)
+), drawn AS (
+  SELECT query_id, word, min(n) AS n FROM draws JOIN numbered ON number = ('0x' || left(md5(query_id || ':' || n || ':20260930'), 12))::BIGINT % total GROUP BY query_id, word
+)
+SELECT query_id, string_agg(word, ' ' ORDER BY n) AS text FROM drawn GROUP BY query_id"""
 SQL["latency_stats"] = """
 SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, quantile_disc(ms, 0.5)::INT AS p50_ms, quantile_disc(ms, 0.95)::INT AS p95_ms, max(ms)::INT AS max_ms FROM (
   SELECT 'quota' AS step, floor(value * 10)::INT AS ms FROM events

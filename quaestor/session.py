@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the folder that driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid4()}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once to the checkpoint folder.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,18 +61,23 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/{latest[0]}")
 
 
-def append_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose key the store at ``path`` lacks; stored rows are never rewritten."""
-    spark = rows.sparkSession
+def store_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store at ``path``, None if there is none yet."""
     try:
-        store = spark.read.parquet(path)
-    except Exception as error:  # the store does not exist yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        rows.dropDuplicates(keys).write.parquet(path)
-        return
-    insert_absent(rows, store, keys).write.mode("append").parquet(path)
+        return None
+
+
+def append_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends the rows whose key the store at ``path`` lacks; stored rows are never rewritten."""
+    store = store_at(rows.sparkSession, path)
+    absent = rows.dropDuplicates(keys) if store is None else insert_absent(rows, store, keys)
+    absent.write.mode("append").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
+    """A report of a few rows (counts of a run) as one JSON file."""
     report.coalesce(1).write.mode("overwrite").json(path)

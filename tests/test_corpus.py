@@ -211,7 +211,7 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r.moncode, r.titre) for r in P.index_rows(P.read_index(spark, str(index))).collect()] == [("7", "T & U")]
 
 
-@pytest.mark.parametrize("name", ["lexical_topk", "recheck_plan", "version_weight", "page_extract"])
+@pytest.mark.parametrize("name", ["lexical_topk", "recheck_plan", "version_weight", "page_extract", "corpus_round_trip", "published_reports", "random_queries", "seeded_words", "vocabulary_stems", "followup_context"])
 def test_registered_queries_match_their_sql(spark, name):
     from __spark_entry__ import oracle_sql, queries
     from tests.compare import compare, duck
@@ -247,3 +247,18 @@ def test_a_long_secret_stands_as_its_digest(spark):
     for secret in ("short", "x" * 64, "long secret " * 20):
         got = spark.range(1).select(pseudonym(F.lit("visitor"), secret)).first()[0]
         assert got == hmac.new(secret.encode(), b"visitor", "sha256").hexdigest()
+
+
+def test_a_load_may_run_again(spark, tmp_path):
+    from quaestor.sources.loading import load_version
+
+    schema = "question_id string, titre string, auteur string, destinataire string, question string, reponse string"
+    records = spark.createDataFrame([("R-1", "T", None, "M", "Quoi ?", "Ceci."), ("R-2", None, "A", None, "Qui ?", None)], schema)
+    root, at = str(tmp_path), F.lit(T0)
+    assert [load_version(records, root, "a", "m", at, "substitut", 4).first().verdict for _ in range(2)] == ["ok", "ok"]
+    assert load_version(records.limit(0), root, "none", "m", at).count() == 1
+    assert load_version(records, root, "b", "m", at, "substitut", 4, passages_lost=1).first().verdict == "Incomplete corpus"
+    assert spark.read.parquet(f"{root}/documents").count() == 2 and spark.read.parquet(f"{root}/passages").count() == 3
+    assert spark.read.parquet(f"{root}/members").where("version_id = 'a'").count() == 2
+    versions = {r.version_id: r.active for r in S.read_published(spark, root, "versions").collect()}
+    assert set(versions) == {"a", "none", "b"} and not versions["b"]
