@@ -7,9 +7,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
-from quaestor.llm import language_mixture, line_rules, simhash, suffix_dedup, toxic_segments, warc
+from quaestor.llm import language_mixture, line_crf, line_rules, simhash, suffix_dedup, toxic_segments, warc
+from quaestor.llm.common import remainder
 from quaestor.llm.queries import QUERIES, SQL, public_vocabulary
 from tests.compare import canonical, rows_of
 
@@ -44,7 +46,8 @@ def test_query_has_a_row_for_each_row_and_none_for_none(spark, odd_tables, empty
             assert 0 <= row.score <= 1
 
 
-def removed_by_hand(rows, length):
+def covered_by_hand(rows, length):
+    """For each different row the bytes of its text that a string covers which began earlier."""
     keys = sorted({(d is None, d or 0, t is not None, t or "") for d, t in rows})
     seen, out = set(), {}
     for key in keys:
@@ -54,6 +57,25 @@ def removed_by_hand(rows, length):
             if text[at : at + length] in seen:
                 gone[at : at + length] = b"\1" * length
             seen.add(text[at : at + length])
+        out[key] = gone
+    return out
+
+
+def cut_by_hand(rows, length):
+    """The rows without repeats; a character goes with any of its bytes that are left incomplete."""
+    covered = covered_by_hand(rows, length)
+    out = []
+    for d, t in rows:
+        gone = covered[d is None, d or 0, t is not None, t or ""]
+        kept = bytes(x for x, g in zip((t or "").encode(), gone) if not g)
+        out.append((d, t if not any(gone) else kept.decode("utf-8", "ignore")))
+    return out
+
+
+def removed_by_hand(rows, length):
+    out = {}
+    for key, gone in covered_by_hand(rows, length).items():
+        text = key[3].encode()
         kept = bytes(x for x, g in zip(text, gone) if not g)
         out[key] = (len(text), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())
     return Counter((canonical(d), *out[d is None, d or 0, t is not None, t or ""]) for d, t in rows)
@@ -88,16 +110,21 @@ def test_longest_previous_factors():
         assert got[i] == best
 
 
-def test_op5_equals_brute_force(spark, odd_tables):
-    rows = QUERIES["op5_simhash"](spark, odd_tables).collect()
-    texts = documents(spark, odd_tables)
-    prints = [simhash.fingerprint(t) for _, t in texts]
+def components_by_hand(prints):
     label = list(range(len(prints)))
     for i in range(len(prints)):
         for j in range(i):
             if (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE:
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_op5_equals_brute_force(spark, odd_tables):
+    rows = QUERIES["op5_simhash"](spark, odd_tables).collect()
+    texts = documents(spark, odd_tables)
+    prints = [simhash.fingerprint(t) for _, t in texts]
+    label = components_by_hand(prints)
     least = {}
     for (d, _), x in zip(texts, label):
         if d is not None:
@@ -187,6 +214,72 @@ def test_archives_round_trip_and_damage_is_noticed(spark, odd_tables, tmp_path):
         warc.parsed(warc.record(1, "u", b"x" * 10, "0", None, False))
 
 
+def shingles_of(text):
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_equals_brute_force(spark, odd_tables):
+    """Each stage by hand on what the stage before it left; only the fitted chain is shared."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    labels = spark.read.parquet(f"{odd_tables}/labels.parquet").where(remainder(5) != 0)
+    chain = line_crf.fitted(docs, labels)
+    rows = [(d, t) for d, t in documents(spark, odd_tables) if score_by_hand(t, chain) >= 0.3]
+
+    label = components_by_hand([simhash.fingerprint(t) for _, t in rows])
+    least = {}
+    for (d, _), x in zip(rows, label):
+        if d is not None:
+            least[x] = min(d, least.get(x, d))
+    rows = [(d, t) for (d, t), x in zip(rows, label) if x not in least or d == least[x]]
+
+    rows = cut_by_hand(rows, suffix_dedup.LENGTH)
+    items = items_of_one_id(spark, odd_tables)
+    same_id = {}
+    for d, t in rows:
+        same_id.setdefault(d, set()).update(shingles_of(t))
+    leaks = {d for d, x in same_id.items() if d is not None and any(i and len(i & x) >= 0.8 * len(i) for i in items)}
+    assert leaks
+    rows = [(d, t) for d, t in rows if d not in leaks]
+
+    library = Tokenizer.from_file(public_vocabulary())
+    expected = Counter((canonical(d), *library.encode(t or "", add_special_tokens=False).ids) for d, t in rows)
+    found = corpus_pipeline.run(spark, odd_tables).collect()
+    assert Counter((canonical(r.doc_id), *r.input_ids) for r in found) == expected
+
+
+def items_of_one_id(spark, folder):
+    """Shingles of the benchmark rows of each id, taken together."""
+    out = {}
+    for row in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        if row.item_id is not None:
+            out.setdefault(row.item_id, set()).update(shingles_of(row.text))
+    return list(out.values())
+
+
+def score_by_hand(text, chain):
+    """Marginals of the lines by the forward-backward recursion over probabilities, one line at a time."""
+    features, lengths, _ = line_crf.line_features(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+    odds = features.astype(float) @ chain.weights
+    if not len(odds):
+        return chain.prior
+    step = np.array([[np.exp(chain.bad), 1.0], [1.0, np.exp(chain.good)]])
+    emit = np.stack([np.ones(len(odds)), np.exp(odds)], axis=1)
+    forward, backward = np.zeros_like(emit), np.ones_like(emit)
+    forward[0] = emit[0] / emit[0].sum()
+    for i in range(1, len(odds)):
+        forward[i] = (forward[i - 1] @ step) * emit[i]
+        forward[i] /= forward[i].sum()
+    for i in range(len(odds) - 2, -1, -1):
+        backward[i] = step @ (emit[i + 1] * backward[i + 1])
+        backward[i] /= backward[i].sum()
+    good = forward * backward
+    good = good[:, 1] / good.sum(axis=1)
+    return float((good * lengths).sum() / lengths.sum())
+
+
 def test_pipeline_stages(spark, odd_tables, empty_tables):
     docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
     columns = docs.columns
@@ -201,3 +294,11 @@ def test_pipeline_stages(spark, odd_tables, empty_tables):
     assert 60 not in kept  # it is a benchmark item; the copy of it in 61 was cut out before
     assert len(kept & {7, *range(100, 112)}) <= 1  # copies of one text
     assert corpus_pipeline.run(spark, empty_tables).count() == 0
+
+
+def test_op10_scores_equal_the_recursion_by_hand(spark, odd_tables):
+    chain = line_crf.fitted(spark.read.parquet(f"{odd_tables}/documents.parquet"), spark.read.parquet(f"{odd_tables}/labels.parquet").where(remainder(5) != 0))
+    expected = sorted((canonical(d), score_by_hand(t, chain)) for d, t in documents(spark, odd_tables))
+    found = sorted((canonical(r.doc_id), r.score) for r in QUERIES["op10_line_crf"](spark, odd_tables).collect())
+    assert [x for x, _ in found] == [x for x, _ in expected]
+    assert [x for _, x in found] == pytest.approx([x for _, x in expected], abs=1e-9)
