@@ -25,6 +25,7 @@ from quaestor.fixed_values import (
     SESSION_HOURLY_MAX,
 )
 from quaestor.functions.records import day_stamp, hour_stamp
+from quaestor.operators.linking import linked_groups
 from quaestor.operators.running import ordered_fold
 
 EARLIEST_RELEASE = "INTERVAL 10 MINUTES"
@@ -90,23 +91,19 @@ def timely(events: DataFrame) -> DataFrame:
 def _components(events: DataFrame, period: Column) -> DataFrame:
     """Adds ``period`` and ``component``: groups of events of a period that share no counter.
 
-    A component is one address, except that all addresses reached by a session
-    that uses several in the period form one component.
+    A component is one address, or the addresses that sessions which use several in the period join, through any chain.
     """
-    timed = events.withColumn("period", period)
+    address = F.concat_ws("\u0001", "period", "ip")
+    timed = events.withColumn("period", period).withColumn("_address", address)
     roaming = (
         timed.groupBy("period", "session")
         .agg(F.min("ip").alias("_a"), F.max("ip").alias("_b"))
         .where(F.col("_a") != F.col("_b"))
+        .select("period", "session", F.concat_ws("\u0001", "period", "_a").alias("a"))
     )
-    shared = (
-        timed.select("period", "session", "ip").distinct()
-        .join(roaming.select("period", "session"), ["period", "session"], "left_semi")
-        .select("period", "ip").distinct().withColumn("_shared", F.lit(True))
-    )
-    return timed.join(shared, ["period", "ip"], "left").withColumn(
-        "component", F.when(F.col("_shared"), F.lit("shared")).otherwise(F.concat(F.lit("ip:"), "ip"))
-    ).drop("_shared")
+    links = timed.join(roaming, ["period", "session"]).select("a", F.col("_address").alias("b")).distinct()
+    groups = linked_groups(links).withColumnRenamed("key", "_address")
+    return timed.join(groups, "_address", "left").withColumn("component", F.coalesce("root", "_address")).drop("root", "_address")
 
 
 HOURLY_COLUMNS = "event_id bigint, micros bigint, session string, ip string, paid boolean, kind string, reservation_id bigint, period string, counted boolean"
@@ -198,16 +195,16 @@ def counter_uses(events: DataFrame, granted: DataFrame) -> DataFrame:
 def window_quota(events: DataFrame, session_limit: int, ip_limit: int, window_seconds: int) -> DataFrame:
     """(event_id, accepted) when a counter's window starts at its first use instead of on the hour.
 
-    Both counters are checked before either is incremented.
+    Both counters are checked before either is incremented. Windows are equally long, so they end in the
+    order in which they began: those that ended are dropped from the front, and the state holds one window's uses.
     """
     span = window_seconds * 1_000_000
 
     def step(buckets: dict, row: tuple) -> list[tuple]:
         _, _, micros, event_id, session, ip = row
         names = {f"session:{session}": session_limit, f"ip:{ip}": ip_limit}
-        for name in names:
-            if name in buckets and buckets[name][1] <= micros:
-                del buckets[name]
+        while buckets and next(iter(buckets.values()))[1] <= micros:
+            del buckets[next(iter(buckets))]
         accepted = all(buckets.get(name, (0, 0))[0] < limit for name, limit in names.items())
         if accepted:
             for name in names:

@@ -116,3 +116,33 @@ def test_stream_takes_the_decisions_of_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(source)
     out = run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"), limits)
     assert {r.event_id: r.grant for r in out.collect()} == by_hand(rows, limits)
+
+
+def test_only_linked_addresses_are_replayed_together(spark):
+    from quaestor.operators.quota import _components
+
+    pairs = [(f"s{i}", f"i{i}") for i in range(12)] + [(f"s{i}", f"i{i + 1}") for i in range(5)] + [("s8", "i9"), (None, "i0"), ("s11", None)]
+    rows = [(i, START + timedelta(seconds=i), s, ip, True, "reserve", None, None) for i, (s, ip) in enumerate(pairs)]
+    found = _components(spark.createDataFrame(rows, SCHEMA), F.lit("p")).collect()
+    assert len(found) == len(rows)
+    groups = {}
+    for r in found:
+        groups.setdefault(r.component, set()).add(r.ip)
+    assert sorted(sorted(x) for x in groups.values() if None not in x) == sorted([[f"i{i}" for i in range(6)], ["i6"], ["i7"], ["i8", "i9"], ["i10"], ["i11"]])
+
+
+def test_long_windows_of_many_sessions(spark):
+    rng = random.Random(8)
+    rows = [(i, START + timedelta(seconds=40 * i + rng.randint(0, 39)), f"s{rng.randint(0, 9)}", f"i{rng.randint(0, 3)}", False, "reserve", None, None) for i in range(400)]
+    counters, expected = {}, {}
+    for event, at, session, ip, *_ in rows:
+        caps = {session: 3, ip: 8}
+        for name in caps:
+            if name in counters and counters[name][1] <= at:
+                del counters[name]
+        expected[event] = all(counters.get(name, (0,))[0] < cap for name, cap in caps.items())
+        for name in caps if expected[event] else ():
+            used, end = counters.get(name, (0, at + timedelta(hours=1)))
+            counters[name] = used + 1, end
+    got = {r.event_id: r.accepted for r in window_quota(spark.createDataFrame(rows, SCHEMA), 3, 8, 3600).collect()}
+    assert got == expected
