@@ -17,9 +17,9 @@ from quaestor.operators.sizing import fits_broadcast
 SIMILAR_SCHEMA = "query_id bigint, question_id string, passage_id string, similarity double"
 # Rows of passage vectors multiplied at a time.
 BLOCK_ROWS = 1024
-# Size of the tiles the product is cut into when the queries cannot be broadcast.
-TILE_PASSAGES = 20_000
-TILE_QUERIES = 2_000
+# Size of the tiles the product is cut into when the queries cannot be broadcast: a task holds their pairs.
+TILE_PASSAGES = 4_000
+TILE_QUERIES = 1_000
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -102,11 +102,12 @@ def similar_passages(
     """(query_id, question_id, passage_id, similarity) at or above the threshold.
 
     ``vectors``: question_id, passage_id, embedding. ``queries``: query_id, qvec.
-    Rows without a vector of the right size take no part. ``n_queries`` decides
-    how the product is spread: broadcast queries when they fit, tiles otherwise.
+    Rows without a vector of the right size take no part. The queries are counted, whatever ``n_queries`` says,
+    which decides how the product is spread: broadcast queries when they fit, tiles otherwise.
     """
     usable = vectors.where(F.size("embedding") == dimensions).select("question_id", "passage_id", "embedding")
     asked = queries.where(F.size("qvec") == dimensions).select(F.col("query_id").cast("bigint"), "qvec")
+    n_queries = max(n_queries, asked.count())
     limit = {} if budget is None else {"budget": budget}
     if fits_broadcast(n_queries, 8 * dimensions + 16, **limit):
         return _broadcast_product(usable, asked, threshold)

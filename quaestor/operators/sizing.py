@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.session import materialised
+
 # Upper size of a side sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Slices a side is cut into when the other one is too large to broadcast.
@@ -43,3 +45,9 @@ def hot_join(
 def small_side(df: DataFrame, rows: int, row_bytes: int, budget: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint when its proven bound fits, as it is otherwise."""
     return F.broadcast(df) if fits_broadcast(rows, row_bytes, budget) else df
+
+
+def counted_side(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` computed once and counted, with a broadcast hint when what was counted fits."""
+    kept = materialised(df)
+    return small_side(kept, kept.count(), row_bytes, budget)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quaestor.fixed_values import NO_EMBEDDINGS, SECTIONS
 from quaestor.functions.records import latest_date, present
 from quaestor.operators.running import ordered_fold, running
+from quaestor.operators.sizing import counted_side
 
 HOUR = "INTERVAL 1 HOUR"
 
@@ -227,8 +228,8 @@ def activation_checks(
     ``expected``: version_id, passage_count. The verdict is the first failing
     check, or 'ok'.
     """
-    asked = versions.join(expected, "version_id").select(
-        "version_id", "count", "index_config", "passage_count"
+    asked = counted_side(
+        versions.join(expected, "version_id").select("version_id", "count", "index_config", "passage_count"), 256
     )
     own = members.join(asked.select("version_id"), "version_id", "left_semi")
     n_members = own.groupBy("version_id").agg(F.count("*").alias("n_members"))
@@ -308,7 +309,7 @@ def retention(versions: DataFrame, keep: int, now: Column) -> DataFrame:
 
 def removable_contents(doc_store: DataFrame, members: DataFrame, kept: DataFrame, now: Column) -> DataFrame:
     """Contents over an hour old that no kept version refers to."""
-    referred = members.join(kept.where("kept").select("version_id"), "version_id", "left_semi")
+    referred = members.join(counted_side(kept.where("kept").select("version_id"), 64), "version_id", "left_semi")
     return doc_store.where(F.col("created_at") < now - F.expr(HOUR)).join(
         referred.select("content_hash"), "content_hash", "left_anti"
     )
@@ -372,7 +373,7 @@ def version_weights(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def corpus_info(versions: DataFrame, members: DataFrame, doc_store: DataFrame) -> DataFrame:
     """Figures of the active version: count, answered records, most recent date."""
-    active = versions.where("active")
+    active = counted_side(versions.where("active"), 512)
     documents = members.join(active.select("version_id"), "version_id", "left_semi").join(
         doc_store, "content_hash"
     )

@@ -160,6 +160,10 @@ def search(
     (``filtered`` overrides this).
     """
     n_queries = queries.count() if n_queries is None else n_queries
+    if vectors is not None:
+        # Only vectors of these queries are sent anywhere.
+        own = vectors.queries.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+        vectors = Vectors(vectors.passages, own, vectors.dimensions)
     words = materialised(vocabulary(records)) if stemmed else None
     terms = materialised(query_terms(queries, stemmed))
     best = ranked_documents(records, queries, terms, n_queries, words, vectors)
