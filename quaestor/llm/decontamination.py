@@ -82,9 +82,15 @@ def contained_items(documents: DataFrame, items: DataFrame, containment: float =
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``documents`` that contain no item; rows with a null doc_id stay."""
-    leaks = contained_items(documents, items, containment).select("doc_id").distinct()
-    return documents.join(_checked(stored(leaks, "leaks")), "doc_id", "left_anti").select(*documents.columns)
+    """The rows of ``documents`` whose own text contains no item; neither needs an id, and rows of one doc_id are apart.
+
+    Items of one item_id are taken together, an item without an id stands for itself.
+    """
+    of_text = documents.select(F.md5("text").alias("doc_id"), "text")
+    named = items.select(F.coalesce(F.concat(F.lit("id "), F.col("item_id").cast("string")), F.md5("text")).alias("item_id"), "text")
+    leaks = contained_items(of_text, named, containment).select(F.col("doc_id").alias("leak")).distinct()
+    leaks = _checked(stored(leaks, "leaks"))
+    return documents.join(leaks, F.md5(documents["text"]) == leaks["leak"], "left_anti").select(*[F.col(f"`{x}`") for x in documents.columns])
 
 
 SQL = f"""
