@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaestor.llm.common import slices, text_bytes
 
@@ -52,8 +54,8 @@ def line_fails(line: str) -> bool:
     return any(x in low for x in PHRASES)
 
 
-def measured(text: str | None) -> tuple[int, ...]:
-    """The values of ``COLUMNS`` for a whole text."""
+def measured(text: str | None) -> tuple:
+    """The values of ``COLUMNS`` for a whole text, and the text without its failing lines; lines without a word stay."""
     text = text or ""
     words = _WORDS.findall(text)
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -65,9 +67,11 @@ def measured(text: str | None) -> tuple[int, ...]:
                 covered[i : i + 3] = b"\1\1\1"
         repeated = sum(covered)
     seen: set[str] = set()
+    left: list[str] = []
     lines = duplicates = failed = lost = 0
     for line in text.split("\n"):
         if not line.strip(WHITE):
+            left.append(line)
             continue
         lines += 1
         duplicates += line in seen
@@ -75,7 +79,9 @@ def measured(text: str | None) -> tuple[int, ...]:
         if line_fails(line):
             failed += 1
             lost += sum(map(len, _WORDS.findall(line)))
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicates, repeated, lines, failed, lost
+        else:
+            left.append(line)
+    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicates, repeated, lines, failed, lost, "\n".join(left)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,23 +89,38 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in slices(text_bytes(batch.column("text"))[1]):
             part = batch.slice(low, high - low)
             found = [measured(x) for x in part.column("text").to_pylist()]
-            columns = dict(zip(COLUMNS, zip(*found, strict=True), strict=True))
+            columns = dict(zip((*COLUMNS, "clean_text"), zip(*found, strict=True), strict=True))
             failed = [n < LEAST_WORDS or 100 * r > MOST_REPEATED * n for n, r in zip(columns["n_words"], columns["n_repeat_words"], strict=True)]
             kept = [not f and 100 * lost <= MOST_LOST * chars for f, lost, chars in zip(failed, columns["chars_lost"], columns["word_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[x], pa.int64()) for x in COLUMNS), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=["doc_id", *COLUMNS, "base_failed", "kept"])
+            texts = pa.array([None if x is None else y for x, y in zip(part.column("text").to_pylist(), columns["clean_text"], strict=True)], pa.string())
+            counts = [pa.array(columns[x], pa.int64()) for x in COLUMNS]
+            yield pa.RecordBatch.from_arrays([part.column("row"), *counts, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), texts], names=["row", *COLUMNS, "base_failed", "kept", "clean_text"])
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """Counts and verdict of every row: base_failed, and kept (neither failed nor stripped of too much text).
+def with_clean_text(documents: DataFrame) -> DataFrame:
+    """``row`` (all columns of the row), the counts, base_failed, kept (neither failed nor stripped of too much text) and clean_text.
 
-    A null or empty text has no word, so it fails. Repeated rows give repeated results. Only doc_id and text are read.
+    clean_text is the text without its failing lines, also where the document is not kept; null for a null text. A null or
+    empty text has no word, so it fails. Repeated rows give repeated results.
     """
-    return documents.select("doc_id", "text").mapInArrow(_judged, "doc_id long, " + ", ".join(f"{x} long" for x in COLUMNS) + ", base_failed boolean, kept boolean")
+    return _with_clean_text(documents, documents.columns)
+
+
+def _with_clean_text(documents: DataFrame, carried: list[str]) -> DataFrame:
+    rows = documents.select(F.struct(*[F.col(f"`{x}`") for x in carried]).alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], *(T.StructField(x, T.LongType()) for x in COLUMNS)])
+    return rows.mapInArrow(_judged, schema.add("base_failed", "boolean").add("kept", "boolean").add("clean_text", "string"))
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """doc_id, counts, verdict and clean_text of every row, as ``with_clean_text`` has them. Only doc_id and text are read."""
+    found = _with_clean_text(documents, ["doc_id"])
+    return found.select("row.doc_id", *COLUMNS, "base_failed", "kept", "clean_text")
 
 
 def cleaned(text: str | None) -> str:
     """The text without its failing lines; lines without a word stay."""
-    return "\n".join(x for x in (text or "").split("\n") if not x.strip(WHITE) or not line_fails(x))
+    return measured(text)[-1]
 
 
 def _quoted(text: str) -> str:
