@@ -63,20 +63,21 @@ def contained_items(documents: DataFrame, items: DataFrame, containment: float =
     """(doc_id, item_id, n_shingles, n_shared, containment) of every item contained in a document.
 
     Null or wordless texts contain nothing and are contained in nothing; texts under five words are one shingle. Rows of
-    one doc_id (or item_id) are taken together; rows with a null id are left out.
+    one doc_id (or item_id) are taken together, those without a doc_id too; items with a null id are left out.
     """
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
-    documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    documents = documents.where("text is not null").select("doc_id", "text")
     sketch = _checked(stored(sketches(items, containment), "sketches"))
     looked_up = _hashed_words(documents.select("doc_id", words_of("text").alias("words"))).select("doc_id", F.explode(_hashes("hashed")).alias("hash"))
     candidates = stored(looked_up.join(sketch, "hash").select("doc_id", "item_id").distinct(), "candidates")
-    asked = _checked(stored(candidates.select("doc_id").distinct(), "candidate-ids"))
-    shingled = documents.join(asked, "doc_id", "left_semi").select("doc_id", words_of("text").alias("words")).select("doc_id", F.explode(_shingles("words")).alias("shingle"))
+    asked = _checked(stored(candidates.select(F.col("doc_id").alias("asked_id")).distinct(), "candidate-ids"))
+    shingled = documents.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi").select("doc_id", words_of("text").alias("words")).select("doc_id", F.explode(_shingles("words")).alias("shingle"))
     of_items = items.select("item_id", words_of("text").alias("words")).select("item_id", F.explode(_shingles("words")).alias("shingle")).distinct()
     of_items = stored(of_items, "item-shingles")
     sizes = of_items.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     shared = shingled.join(_checked(of_items), "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    verified = shared.join(candidates, ["doc_id", "item_id"]).join(_checked(sizes), "item_id")
+    found = candidates.select(F.col("doc_id").alias("found_id"), F.col("item_id").alias("found_item"))
+    verified = shared.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("item_id") == F.col("found_item"))).join(_checked(sizes), "item_id")
     verified = verified.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment - 1e-9))
     return verified.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 

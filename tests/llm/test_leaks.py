@@ -2,7 +2,10 @@
 
 import random
 
+import duckdb
+
 from quaestor.llm import decontamination
+from quaestor.llm.queries import QUERIES
 from tests.llm.conftest import sentence
 
 
@@ -19,3 +22,17 @@ def test_leaks_are_found_by_row(spark):
     assert kept.columns == docs.columns
     expected = [(None, clean[0]), (None, None), (None, ""), (1, clean[1]), (2, first), (2, second), (4, clean[3])]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_the_query_finds_items_in_rows_without_an_id_as_its_sql_does(spark, tmp_path):
+    rng = random.Random(7)
+    passage = sentence(rng, 30)
+    docs = spark.createDataFrame([(None, f"{sentence(rng, 9)} {passage}"), (None, sentence(rng, 20)), (1, sentence(rng, 20))], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    expected = con.execute(decontamination.SQL).fetchall()
+    assert len(expected) == 1 and expected[0][0] is None
+    assert [tuple(r) for r in QUERIES["op4_decontamination"](spark, str(tmp_path)).collect()] == expected
