@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import backoff_lm, bpe, decontamination, language_mixture, line_crf, line_rules, simhash, suffix_dedup, toxic_segments, warc
+from quaestor.llm import backoff_lm, bpe, decontamination, language_mixture, line_crf, line_rules, ranked_search, simhash, suffix_dedup, toxic_segments, url_rules, warc, whitening
 from quaestor.llm.common import remainder, table
 
 
@@ -73,6 +73,18 @@ def op10_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= line_crf.REJECTED).cast("int").alias("predicted"))
 
 
+def op11_best_positions(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(table(spark, folder, "pages"), url_rules.entries(spark))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -84,10 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_line_crf": op10_line_crf,
+    "op11_best_positions": op11_best_positions,
+    "op12_url_rules": op12_url_rules,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
     "op3_line_rules": line_rules.SQL,
     "op4_decontamination": decontamination.SQL,
     "op8_warc": warc.SQL,
+    "op11_best_positions": ranked_search.SQL,
+    "op12_url_rules": url_rules.SQL,
 }
