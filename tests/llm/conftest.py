@@ -28,13 +28,20 @@ def odd_tables(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     pages = [(i, f"http://x/{i}", x, "d") for i, x in enumerate([None, "", "short", "short", "p" * 99, "p" * 100, "p" * 100, "é" * 50, "é" * 50, "q" * 70000])]
     pages += [pages[6], (None, None, "p" * 100, "d"), (None, "u\r\nInjected: x", "r" * 200, "d"), (40, "", "r\r\n\r\n" * 40, "d"), (-3, None, "é" * 50, "d")]
+    urls = ["https://ORG/", "http://a.example.org/es/x?y#z", "http://a.example.org/es?y", "x://example.org/en/123#/es/", "http://notexample.org/es/", "https://www.com/de/1", "//com/de/", "http://com", "ftp://u:p@x.com:80/fr/", "a://b://com/de/"]
+    urls += ["http://casino-win.example.net/x", "https://www.SPAM-FARM.example.com/fr/1", "http://xcasino-win.example.net/", "http://é.org\n/en/1", "http://org./", "http://.org/", "http:///de/", "", "http://a.b.c.d.example.org/en/1/" + "s/" * 3000]
+    pages += [(100 + i, x, "h", "d") for i, x in enumerate(urls)] + [(100, urls[0], "h", "d")]
     spark.createDataFrame(pages, "page_id long, url string, html string, digest string").repartition(2).write.parquet(f"{folder}/pages.parquet")
+    vectors = [[rng.gauss(0, 1 + j) for j in range(6)] for _ in range(80)]
+    vectors += [vectors[0], None, [], [1.0] * 5, [1.0] * 7, [None] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] + [0.0] * 5, [1e30] * 6, [0.0] * 6, [-0.01] * 6]
+    rows = [(i, x, i % 2, "c", 0.5) for i, x in enumerate(vectors)] + [(None, vectors[1], 0, "c", 0.5), (3, vectors[3], 1, "c", 0.5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, component int, vector string, whitened double").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty_tables(spark, odd_tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{odd_tables}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -8,12 +8,14 @@ import duckdb
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quaestor.llm import language_mixture, line_crf, line_rules, simhash, suffix_dedup, toxic_segments, warc
 from quaestor.llm.common import remainder
 from quaestor.llm.queries import QUERIES, SQL, public_vocabulary
 from tests.compare import canonical, rows_of
+from tests.llm.test_near_copies import groups_by_hand
 
 
 def documents(spark, folder):
@@ -33,7 +35,7 @@ def test_query_equals_its_sql(spark, odd_tables, empty_tables, name, tables):
     assert rows_of(result.columns, result.collect()) == rows_of([x[0] for x in expected.description], expected.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op13_whitening"}))
 def test_query_has_a_row_for_each_row_and_none_for_none(spark, odd_tables, empty_tables, name):
     expected = Counter(canonical(x) for x, _ in documents(spark, odd_tables))
     rows = QUERIES[name](spark, odd_tables).collect()
@@ -228,21 +230,17 @@ def test_pipeline_equals_brute_force(spark, odd_tables):
     chain = line_crf.fitted(docs, labels)
     rows = [(d, t) for d, t in documents(spark, odd_tables) if score_by_hand(t, chain) >= 0.3]
 
-    label = components_by_hand([simhash.fingerprint(t) for _, t in rows])
-    least = {}
-    for (d, _), x in zip(rows, label):
-        if d is not None:
-            least[x] = min(d, least.get(x, d))
-    rows = [(d, t) for (d, t), x in zip(rows, label) if x not in least or d == least[x]]
+    groups = groups_by_hand(rows)
+    rows = [min(group, key=lambda x: (x[0] is None, x[0] or 0)) for group in groups]
+    for group, (least, text) in zip(groups, rows):  # no tie of an id with two texts, so the order says which row stays
+        assert {t for d, t in group if d == least} == {text} or not (text or "").strip()
 
     rows = cut_by_hand(rows, suffix_dedup.LENGTH)
     items = items_of_one_id(spark, odd_tables)
-    same_id = {}
-    for d, t in rows:
-        same_id.setdefault(d, set()).update(shingles_of(t))
-    leaks = {d for d, x in same_id.items() if d is not None and any(i and len(i & x) >= 0.8 * len(i) for i in items)}
-    assert leaks
-    rows = [(d, t) for d, t in rows if d not in leaks]
+    items += [shingles_of(r.text) for r in spark.read.parquet(f"{odd_tables}/benchmark.parquet").where("item_id is null").collect()]
+    leaks = [any(i and len(i & shingles_of(t)) >= 0.8 * len(i) for i in items) for _, t in rows]
+    assert 0 < sum(leaks) < len(rows)
+    rows = [row for row, leak in zip(rows, leaks) if not leak]
 
     library = Tokenizer.from_file(public_vocabulary())
     expected = Counter((canonical(d), *library.encode(t or "", add_special_tokens=False).ids) for d, t in rows)
@@ -280,8 +278,9 @@ def score_by_hand(text, chain):
     return float((good * lengths).sum() / lengths.sum())
 
 
-def test_pipeline_stages(spark, odd_tables, empty_tables):
-    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+@pytest.mark.parametrize("names", [["repeats", "row", "rest"], ["kept", "label", "n"]])
+def test_pipeline_stages(spark, odd_tables, empty_tables, names):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").select("*", *[F.lit(i).alias(x) for i, x in enumerate(names)])
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before = docs
