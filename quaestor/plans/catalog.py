@@ -20,10 +20,11 @@ from quaestor.operators import quality as Q
 from quaestor.operators import quota as U
 from quaestor.operators import ranking as K
 from quaestor.operators import refresh as N
+from quaestor.operators import stored_index as I
 from quaestor.operators import versions as C
 from quaestor.operators.passages import passages, weighted_words
 from quaestor.operators.semantic import semantic_scores, similar_passages, top_similar
-from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, selected_passages, words_per_query
+from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, search_index, selected_passages, words_per_query
 from quaestor.session import materialised, shared_folder
 from quaestor.sources import corpus_files as S
 from quaestor.sources import driver_tables as D
@@ -356,6 +357,33 @@ def lexical_search_stemmed(spark, folder):
     return search(records, queries, n_queries=n).select("query_id", "hit_rank", "passage_id", six("score"))
 
 
+@query
+def indexed_search(spark, folder):
+    """The stemmed search from a stored index, written by this job."""
+    records, queries, n = _search_inputs(spark, folder)
+    index = I.build_index(records, shared_folder(spark, "index"), "v1")
+    return search_index(index, queries, n).select("query_id", "hit_rank", "passage_id", six("score"))
+
+
+def _changed_records(records):
+    """Records as a later version has them: a seventh left, an eleventh has a longer answer, a thirteenth none, a few are new."""
+    n = F.col("doc_id")
+    answer = F.when(n % 13 == 0, F.lit(None)).when(n % 11 == 0, F.concat("reponse", F.lit("\nComplément publié plus tard."))).otherwise(F.col("reponse"))
+    kept = records.where(n % 7 != 0).withColumn("reponse", answer)
+    new = records.where(n % 17 == 0).withColumn("question_id", F.concat(F.lit("N-"), n))
+    return kept.unionByName(new)
+
+
+@query
+def index_after_refresh(spark, folder):
+    """Records of each term after the index of one version was brought to the next by their difference."""
+    records, root = D.records(spark, folder), shared_folder(spark, "index")
+    I.build_index(records, root, "v1")
+    index = I.refresh_index(_changed_records(records), root, "v2")
+    found = index.entries().groupBy("term").agg(F.count("*").alias("entries"), F.sum(F.col("in_title").cast("long")).alias("in_titles"))
+    return index.frequencies().join(found, "term", "full").select("term", "df", "entries", "in_titles", F.lit(index.n_records).cast("long").alias("n_records"))
+
+
 @query
 def occurrence_rank(spark, folder):
     records, queries, n = _search_inputs(spark, folder)

@@ -434,6 +434,19 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, question
 SQL["lexical_search"] = LEX_HITS + "SELECT query_id, hit_rank, passage_id, question_id, position, round(score, 6) AS score FROM hits"
 SQL["relevance_filter"] = LEX_FILTERED + "SELECT query_id, hit_rank, passage_id, round(score, 6) AS score FROM filtered"
 SQL["lexical_search_stemmed"] = STEMMED_FILTERED + "SELECT query_id, hit_rank, passage_id, round(score, 6) AS score FROM filtered"
+SQL["indexed_search"] = SQL["lexical_search_stemmed"]
+CHANGED_RECS = RECS.replace("recs AS MATERIALIZED", "first_recs AS MATERIALIZED") + f""",
+recs AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN reponse || {NL} || 'Complément publié plus tard.' ELSE reponse END AS reponse)
+  FROM first_recs WHERE doc_id % 7 <> 0
+  UNION ALL SELECT * REPLACE ('N-' || doc_id AS question_id) FROM first_recs WHERE doc_id % 17 = 0
+)"""
+SQL["index_after_refresh"] = with_(CHANGED_RECS, VOCABULARY, stems("vocabulary")) + f"""
+, roots AS (
+  SELECT DISTINCT question_id, stem FROM (SELECT question_id, unnest({index_words(RECORD_TEXT)}) AS word FROM recs WHERE reponse IS NOT NULL) JOIN stems USING (word)
+), titles AS (SELECT DISTINCT question_id, stem FROM (SELECT question_id, unnest({index_words('titre')}) AS word FROM recs) JOIN stems USING (word))
+SELECT stem AS term, count(*) AS df, count(*) AS entries, count(*) FILTER (t.stem IS NOT NULL) AS in_titles, (SELECT count(*) FROM recs WHERE reponse IS NOT NULL) AS n_records
+FROM roots LEFT JOIN titles t USING (question_id, stem) GROUP BY stem"""
 SQL["occurrence_rank"] = LEX_HITS + "SELECT query_id, passage_id, occurrences, passage_rank FROM best"
 SQL["cosine_topk"] = with_(RECS, TERMS, SIMILAR) + """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, question_id) AS hit_rank, question_id, passage_id, round(similarity, 6) AS similarity

@@ -28,6 +28,7 @@ from quaestor.operators.ranking import (
 )
 from quaestor.operators.semantic import semantic_scores, similar_passages
 from quaestor.operators.sizing import small_side
+from quaestor.operators.stored_index import StoredIndex, indexed_scores, records_of, written_forms
 from quaestor.session import materialised
 
 
@@ -46,6 +47,11 @@ def words_per_query(terms: DataFrame, words: DataFrame | None, name: str) -> Dat
     return forms.groupBy("query_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "term"))).alias(name))
 
 
+def _spread(records: DataFrame) -> DataFrame:
+    """Few but long texts on all cores: a scan or a join leaves them where they were found."""
+    return records.repartition(records.sparkSession.sparkContext.defaultParallelism, "question_id")
+
+
 def selected_passages(
     selected: DataFrame,
     records: DataFrame,
@@ -61,17 +67,14 @@ def selected_passages(
     n_rows = n_queries * MAX_RESULTS
     chosen = small_side(selected, n_rows, 64)
     asked = small_side(wanted, n_queries, 64 * MAX_QUERY_TERMS) if words_bounded else wanted
-    found = answered(records).join(chosen, "question_id").join(asked, "query_id")
-    parts = found.select(
-        "query_id",
-        "question_id",
-        "score",
-        "document_rank",
-        "_limit",
-        "wanted",
-        F.posexplode_outer(split_passages(F.col("reponse"))).alias("position", "content"),
+    # A record that many queries select is split once.
+    texts = answered(records).join(chosen.select("question_id").distinct(), "question_id", "left_semi")
+    parts = _spread(texts.select("question_id", "reponse")).select(
+        "question_id", F.posexplode_outer(split_passages(F.col("reponse"))).alias("position", "content")
     )
-    hits = parts.select(
+    parts = materialised(parts.withColumn("words", index_words(F.col("content"))))
+    found = parts.join(chosen, "question_id").join(asked, "query_id")
+    hits = found.select(
         "query_id",
         "question_id",
         "score",
@@ -80,7 +83,7 @@ def selected_passages(
         F.concat_ws(":", "question_id", F.lit("reponse"), F.col("position").cast("string")).alias("passage_id"),
         "position",
         "content",
-        F.size(F.filter(index_words(F.col("content")), lambda w: F.map_contains_key("wanted", w))).alias("occurrences"),
+        F.size(F.filter("words", lambda w: F.map_contains_key("wanted", w))).alias("occurrences"),
     )
     if vectors is None:
         return hits.withColumn("similarity", F.lit(0.0))
@@ -95,16 +98,18 @@ def selected_passages(
     )
 
 
-def relevant(hits: DataFrame, records: DataFrame, queries: DataFrame, words: DataFrame | None, n_queries: int) -> DataFrame:
-    """Hits whose record holds at least 60 % of the query's own words; none when the query has none left."""
-    forms = words_per_query(filter_terms(queries, FILTER_GENERIC_WORDS, words is not None), words, "forms")
-    totals = filter_terms(queries, FILTER_GENERIC_WORDS, words is not None).groupBy("query_id").agg(
-        F.count("*").alias("n_filter")
-    )
+def relevant(hits: DataFrame, records: DataFrame, own: DataFrame, words: DataFrame | None, n_queries: int) -> DataFrame:
+    """Hits whose record holds at least 60 % of the query's own words (query_id, term); none when the query has none."""
+    own = materialised(own)
+    forms = words_per_query(own, words, "forms")
+    totals = own.groupBy("query_id").agg(F.count("*").alias("n_filter"))
     pairs = small_side(hits.select("query_id", "question_id").distinct(), n_queries * MAX_RESULTS, 32)
     text = F.concat_ws(" ", "titre", "question", "reponse")
+    ids = small_side(hits.select("question_id").distinct(), n_queries * MAX_RESULTS, 32)
+    texts = _spread(records.join(ids, "question_id", "left_semi").select("question_id", text.alias("text")))
+    said = materialised(texts.select("question_id", F.array_distinct(query_words(F.col("text"))).alias("said")))
     checked = (
-        records.join(pairs, "question_id")
+        said.join(pairs, "question_id")
         .join(forms, "query_id")
         .join(small_side(totals, n_queries, 16), "query_id")
         .select(
@@ -112,10 +117,7 @@ def relevant(hits: DataFrame, records: DataFrame, queries: DataFrame, words: Dat
             "question_id",
             F.size(
                 F.array_distinct(
-                    F.transform(
-                        F.filter(F.array_distinct(query_words(text)), lambda w: F.map_contains_key("forms", w)),
-                        lambda w: F.element_at("forms", w),
-                    )
+                    F.transform(F.filter("said", lambda w: F.map_contains_key("forms", w)), lambda w: F.element_at("forms", w))
                 )
             ).alias("matched"),
             "n_filter",
@@ -168,6 +170,24 @@ def search(
     terms = materialised(query_terms(queries, stemmed))
     best = ranked_documents(records, queries, terms, n_queries, words, vectors)
     selected = materialised(select_documents(best, queries))
+    return _hits(selected, records, queries, terms, words, vectors, n_queries, vectors is None if filtered is None else filtered)
+
+
+def _hits(
+    selected: DataFrame,
+    records: DataFrame,
+    queries: DataFrame,
+    terms: DataFrame,
+    words: DataFrame | None,
+    vectors: Vectors | None,
+    n_queries: int,
+    filtered: bool,
+    own: DataFrame | None = None,
+) -> DataFrame:
+    """The hits of the selected records, which ``records`` holds.
+
+    ``words``: the written forms of the queries' terms, None unstemmed. ``own``: the queries' own terms, if they are known.
+    """
     wanted = words_per_query(terms, words, "wanted")
     rows = interleave(best_passages(selected_passages(selected, records, wanted, vectors, n_queries, words is None)))
     hits = rows.select(
@@ -180,13 +200,28 @@ def search(
         "position",
         "score",
     )
-    if filtered if filtered is not None else vectors is None:
-        hits = relevant(hits, records, queries, words, n_queries)
+    if filtered:
+        own = filter_terms(queries, FILTER_GENERIC_WORDS, words is not None) if own is None else own
+        # Read for the pairs and again for their rows.
+        hits = relevant(materialised(hits), records, own, words, n_queries)
         again = F.row_number().over(W.partitionBy("query_id").orderBy("hit_rank"))
         hits = hits.withColumn("hit_rank", again)
     return hits
 
 
+def search_index(index: StoredIndex, queries: DataFrame, n_queries: int | None = None, filtered: bool = True) -> DataFrame:
+    """The hits of ``search`` without vectors, from a stored index: no text is split but those of the selected records."""
+    n_queries = queries.count() if n_queries is None else n_queries
+    stemmed = index.state["stemmed"]
+    terms = materialised(query_terms(queries, stemmed))
+    best = top_lexical(indexed_scores(index, terms, n_queries))
+    selected = materialised(select_documents(best, queries))
+    records = materialised(records_of(index, selected))
+    own = materialised(filter_terms(queries, FILTER_GENERIC_WORDS, stemmed))
+    words = materialised(written_forms(index, terms.select("term").unionByName(own.select("term")))) if stemmed else None
+    return _hits(selected, records, queries, terms, words, None, n_queries, filtered, own)
+
+
 def mixed_search(
     records: DataFrame, queries: DataFrame, vectors: Vectors, stemmed: bool = True, n_queries: int | None = None
 ) -> DataFrame:
