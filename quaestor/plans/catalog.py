@@ -29,7 +29,8 @@ from quaestor.session import materialised, shared_folder
 from quaestor.sources import corpus_files as S
 from quaestor.sources import driver_tables as D
 from quaestor.sources import index_pages as P
-from quaestor.sources.loading import load_version
+from quaestor.sources.commit_log import CommitLog
+from quaestor.sources.loading import active_records, load_version
 
 DIMENSIONS = 64
 PAGE_HOSTS = ("ththin.example.com", "therin.example.net", "blog.ththan.example.net", "m.therou.example.com", "www.ththin.example.net")
@@ -748,17 +749,33 @@ def applied_versions(spark, folder):
 # --- Loading and files --------------------------------------------------------
 
 
+def _without_a_passage(spark, root):
+    """The passage store under ``root`` after the loss of one passage, as a damaged disk would leave it."""
+    log = CommitLog(spark, root)
+
+    def change(_, state):
+        rows = S.store_in(log, state, "passages")
+        lost = rows.agg(F.min(F.struct("passage_id", "content_hash")).alias("x")).select("x.*")
+        folder = log.folder("data/passages")
+        rows.join(F.broadcast(lost), ["passage_id", "content_hash"], "left_anti").write.parquet(f"{log.root}/{folder}")
+        return {**state, "stores": {**state["stores"], "passages": {**state["stores"]["passages"], "folders": [folder]}}}
+
+    log.commit(change)
+
+
 @query
 def load_job(spark, folder):
-    """Three loads into new stores: French records still unanswered; all as they are; again, with a passage missing."""
+    """Three loads into new stores: French records still unanswered; all as they are; again, after the store lost a passage."""
     root = shared_folder(spark, "corpus")
     whole = D.records(spark, folder)
     early = whole.withColumn("reponse", F.when(F.col("auteur") == "fr", F.lit(None)).otherwise(F.col("reponse")))
     checks = []
-    for name, rows, lost in (("v1", early, 0), ("v2", whole, 0), ("v3", whole, 1)):
-        checks.append(materialised(load_version(rows, root, name, f"méthode {name}", now(), "substitut", 8, lost)))
+    for name, rows in (("v1", early), ("v2", whole), ("v3", whole)):
+        if name == "v3":
+            _without_a_passage(spark, root)
+        checks.append(load_version(rows, root, name, f"méthode {name}", now(), "substitut", 8))
     told = checks[0].unionByName(checks[1]).unionByName(checks[2])
-    documents, parts = spark.read.parquet(f"{root}/documents"), spark.read.parquet(f"{root}/passages")
+    documents, parts = S.read_store(spark, root, "documents"), S.read_store(spark, root, "passages")
     return S.read_published(spark, root, "versions").join(told, "version_id").select(
         "version_id", "active", "count", "method", "n_passages", "verdict",
         documents.agg(F.count("*")).scalar().alias("stored_documents"),
@@ -768,6 +785,45 @@ def load_job(spark, folder):
     )
 
 
+@query
+def concurrent_loads(spark, folder):
+    """Two writers whose rows overlap: the second commits between the first one's reading and its commit, which is tried again."""
+    root = shared_folder(spark, "corpus")
+    log = CommitLog(spark, root)
+    rows = D.records(spark, folder).select("question_id", "titre")
+    first, second = rows.where(F.col("question_id") < "D-7"), rows.where(F.col("question_id") >= "D-4")
+    S.append_absent(rows.where(F.col("question_id") < "D-2"), root, "contents", ["question_id"])
+    change, attempts = S.absent_appended(log, first, "contents", ["question_id"]), []
+
+    def overtaken(number, state):
+        new = change(number, state)
+        if not attempts:
+            S.append_absent(second, root, "contents", ["question_id"])
+            S.publish(second, root, "report", "second")
+        attempts.append(number)
+        return new
+
+    log.commit(overtaken)
+    S.publish(first, root, "report", "first")
+    latest = S.read_published(spark, root, "report")
+    copies = S.read_store(spark, root, "contents").groupBy("question_id").agg(F.count("*").alias("copies"))
+    reported = latest.select("question_id", F.lit(True).alias("reported"))
+    return copies.join(reported, "question_id", "left").select("question_id", "copies", F.coalesce("reported", F.lit(False)).alias("reported"), F.lit(len(attempts)).alias("attempts"))
+
+
+@query
+def active_search(spark, folder):
+    """Search in the active version: the first load is active, the second is refused, the index is of the first."""
+    root, queries = shared_folder(spark, "corpus"), D.queries(spark, folder)
+    whole = D.records(spark, folder)
+    load_version(_changed_records(whole), root, "v1", "méthode v1", now())
+    _without_a_passage(spark, root)
+    load_version(_changed_records(whole), root, "v2", "méthode v2", now())
+    version, records = active_records(spark, root)
+    index = I.build_index(records, f"{root}/index", version, stemmed=False)
+    return search_index(index, queries, queries.count()).select("query_id", "hit_rank", "passage_id", six("score"), F.lit(index.state["version"]).alias("version_id"))
+
+
 @query
 def corpus_round_trip(spark, folder):
     """The corpus exported as JSON lines and read back."""

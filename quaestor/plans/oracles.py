@@ -601,10 +601,12 @@ facts AS (SELECT
   (SELECT count(*) FROM recs) AS n, (SELECT count(*) FROM late) AS n_late, (SELECT count(*) FROM passages) AS n_all,
   (SELECT count(*) FROM passages SEMI JOIN late USING (question_id)) AS n_changed,
   (SELECT count(*) FROM passages SEMI JOIN late USING (question_id) WHERE section = 'reponse') AS n_absent)
-SELECT version_id, version_id = 'v2' AS active, n::INT AS count, 'méthode ' || version_id AS method, n_all - CASE version_id WHEN 'v1' THEN n_absent ELSE 0 END AS n_passages,
+SELECT version_id, version_id = 'v2' AS active, n::INT AS count, 'méthode ' || version_id AS method, n_all - CASE version_id WHEN 'v1' THEN n_absent WHEN 'v3' THEN 1 ELSE 0 END AS n_passages,
   CASE version_id WHEN 'v3' THEN 'Incomplete corpus' ELSE 'ok' END AS verdict, n + n_late AS stored_documents, n AS stored_records,
-  n_all - n_absent + n_changed AS stored_passages, n_all - n_absent + n_changed AS embedded
+  n_all - n_absent + n_changed - 1 AS stored_passages, n_all - n_absent + n_changed - 1 AS embedded
 FROM facts, (VALUES ('v1'), ('v2'), ('v3')) AS v(version_id)"""
+SQL["concurrent_loads"] = with_(RECS) + "SELECT question_id, 1 AS copies, question_id < 'D-7' AS reported, 2 AS attempts FROM recs"
+SQL["active_search"] = SQL["relevance_filter"].replace(RECS.strip(), CHANGED_RECS.strip()).replace("round(score, 6) AS score", "round(score, 6) AS score, 'v1' AS version_id")
 SQL["corpus_round_trip"] = with_(RECS) + """
 SELECT question_id, moncode, titre, auteur, destinataire, question, reponse, strftime(date_reception, '%Y-%m-%d') AS date_reception,
   strftime(date_reponse, '%Y-%m-%d') AS date_reponse, url_source FROM recs"""

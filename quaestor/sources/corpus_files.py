@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.operators.versions import insert_absent
+from quaestor.sources.commit_log import CommitLog
 
 RECORD_SCHEMA = (
     "id string, moncode string, base int, assemblee string, legislature string, session string, type string, "
@@ -44,38 +47,68 @@ def write_snapshot(rows: DataFrame, root: str, run_stamp: str, name: str) -> str
 
 
 def publish(rows: DataFrame, root: str, name: str, version: str) -> None:
-    """Writes a new version in full, then a pointer row: readers see the old or the new one, never a mixture."""
-    path = f"{root}/{name}/{version}"
-    rows.write.mode("errorifexists").parquet(path)
-    pointer = rows.sparkSession.createDataFrame([(name, version)], "name string, version string").withColumn(
-        "published_at", F.current_timestamp()
-    )
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-
-
-def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The latest published version of a table."""
-    latest = (
-        spark.read.parquet(f"{root}/pointers").where(F.col("name") == name).agg(F.max_by("version", "published_at")).first()
-    )
-    return spark.read.parquet(f"{root}/{name}/{latest[0]}")
-
-
-def store_at(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store at ``path``, None if there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
-def append_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose key the store at ``path`` lacks; stored rows are never rewritten."""
-    store = store_at(rows.sparkSession, path)
-    absent = rows.dropDuplicates(keys) if store is None else insert_absent(rows, store, keys)
-    absent.write.mode("append").parquet(path)
+    """Writes a new version in full, then commits it: readers see the old or the new one, never a mixture.
+
+    Of two publishers the one whose commit comes later is the latest, whatever their clocks say.
+    """
+    log = CommitLog(rows.sparkSession, root)
+    folder = log.folder(f"data/{name}")
+    rows.write.mode("errorifexists").parquet(f"{log.root}/{folder}")
+    log.commit(lambda _, state: published_state(state, name, version, folder, rows))
+
+
+def published_state(state: dict[str, Any], name: str, version: str, folder: str, rows: DataFrame) -> dict[str, Any]:
+    """The state after publishing ``rows``, which were written to ``folder``."""
+    entry = {"version": version, "folder": folder, "schema": schema_of(rows)}
+    return {**state, "published": {**state.get("published", {}), name: entry}}
+
+
+def schema_of(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def read_published(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    """The latest published version of a table, or that of a numbered commit."""
+    log = CommitLog(spark, root)
+    entry = log.state(number)[1]["published"][name]
+    return log.read([entry["folder"]], entry["schema"])
+
+
+def store_in(log: CommitLog, state: dict[str, Any], name: str) -> DataFrame | None:
+    """The rows of a store as of ``state``, None if there is none yet."""
+    entry = state.get("stores", {}).get(name)
+    return entry and log.read(entry["folders"], entry["schema"])
+
+
+def read_store(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame | None:
+    """The rows of a store as of the last commit, or of a numbered one; None if there is none yet."""
+    log = CommitLog(spark, root)
+    return store_in(log, log.state(number)[1], name)
+
+
+def absent_appended(log: CommitLog, rows: DataFrame, name: str, keys: list[str]) -> Callable[[int, dict[str, Any]], dict[str, Any] | None]:
+    """A change that appends the rows whose key the store lacks, as of the state it is applied to.
+
+    Applied again after another writer's commit, it sees that writer's rows, so no key is stored twice.
+    """
+
+    def change(_: int, state: dict[str, Any]) -> dict[str, Any] | None:
+        store = store_in(log, state, name)
+        absent = rows.dropDuplicates(keys) if store is None else insert_absent(rows, store, keys)
+        folder = log.folder(f"data/{name}")
+        absent.write.parquet(f"{log.root}/{folder}")
+        if store is not None and log.read([folder], schema_of(rows)).isEmpty():
+            return None
+        folders = [*state.get("stores", {}).get(name, {}).get("folders", []), folder]
+        return {**state, "stores": {**state.get("stores", {}), name: {"folders": folders, "schema": schema_of(rows)}}}
+
+    return change
+
+
+def append_absent(rows: DataFrame, root: str, name: str, keys: list[str]) -> int:
+    """Appends the rows whose key the store lacks; stored rows are never rewritten. The number of the commit."""
+    log = CommitLog(rows.sparkSession, root)
+    return log.commit(absent_appended(log, rows, name, keys))
 
 
 def write_report(report: DataFrame, path: str) -> None:

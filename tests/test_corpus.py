@@ -1,6 +1,7 @@
 import datetime as dt
 import html
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quaestor.operators import refresh as N
 from quaestor.operators import versions as C
 from quaestor.sources import corpus_files as S
 from quaestor.sources import index_pages as P
+from quaestor.sources.commit_log import CommitLog, Conflict
 
 HOSTS = ("records.example.org", "www.records.example.org")
 STORE = "content_hash string, passage_id string, section string, embedding array<float>, embedding_model string"
@@ -197,10 +199,11 @@ def test_files_round_trip(spark, tmp_path):
     S.publish(records.select("id"), root, "corpus", "a")
     S.publish(records.select("id").limit(1), root, "corpus", "b")
     assert S.read_published(spark, root, "corpus").count() == 1
-    store = str(tmp_path / "store")
-    S.append_absent(records.select("id", "titre"), store, ["id"])
-    S.append_absent(records.select("id", F.lit("autre").alias("titre")), store, ["id"])
-    assert {tuple(r) for r in spark.read.parquet(store).collect()} == {("R-1", "T"), ("R-2", "T")}
+    assert S.read_store(spark, root, "store") is None
+    S.append_absent(records.select("id", "titre"), root, "store", ["id"])
+    S.append_absent(records.select("id", F.lit("autre").alias("titre")), root, "store", ["id"])
+    assert {tuple(r) for r in S.read_store(spark, root, "store").collect()} == {("R-1", "T"), ("R-2", "T")}
+    assert S.read_published(spark, root, "corpus", 1).count() == 2  # what the first commit saw
     S.export_records(records, str(tmp_path / "export"))
     assert S.read_records(spark, str(tmp_path / "export")).count() == 2
     snapshot = S.write_snapshot(records.select("moncode"), root, "20260924T121228Z", "missing")
@@ -250,15 +253,40 @@ def test_a_long_secret_stands_as_its_digest(spark):
 
 
 def test_a_load_may_run_again(spark, tmp_path):
-    from quaestor.sources.loading import load_version
+    from quaestor.sources.loading import load_version, version_members
 
     schema = "question_id string, titre string, auteur string, destinataire string, question string, reponse string"
     records = spark.createDataFrame([("R-1", "T", None, "M", "Quoi ?", "Ceci."), ("R-2", None, "A", None, "Qui ?", None)], schema)
     root, at = str(tmp_path), F.lit(T0)
     assert [load_version(records, root, "a", "m", at, "substitut", 4).first().verdict for _ in range(2)] == ["ok", "ok"]
     assert load_version(records.limit(0), root, "none", "m", at).count() == 1
-    assert load_version(records, root, "b", "m", at, "substitut", 4, passages_lost=1).first().verdict == "Incomplete corpus"
-    assert spark.read.parquet(f"{root}/documents").count() == 2 and spark.read.parquet(f"{root}/passages").count() == 3
-    assert spark.read.parquet(f"{root}/members").where("version_id = 'a'").count() == 2
+    log = CommitLog(spark, root)
+    folder = log.folder("data/passages")
+    S.read_store(spark, root, "passages").where("section = 'question'").write.parquet(f"{root}/{folder}")
+    log.commit(lambda _, state: {**state, "stores": {**state["stores"], "passages": {**state["stores"]["passages"], "folders": [folder]}}})
+    refused = load_version(records, root, "b", "m", at, "substitut", 4).first()
+    assert (refused.verdict, refused.n_passages) == ("Incomplete corpus", 2)
+    assert S.read_store(spark, root, "documents").count() == 2
+    assert version_members(spark, root).where("version_id = 'a'").count() == 2
     versions = {r.version_id: r.active for r in S.read_published(spark, root, "versions").collect()}
     assert set(versions) == {"a", "none", "b"} and not versions["b"]
+
+
+def test_writers_that_meet_lose_nothing(spark, tmp_path):
+    """Eight writers at once, each with keys of its own and keys of all; every commit sees those before it."""
+    root = str(tmp_path)
+    log = CommitLog(spark, root)
+
+    def write(i):
+        rows = spark.range(40).where(F.col("id") < 5).unionByName(spark.range(100 * i + 100, 100 * i + 110)).withColumn("writer", F.lit(i))
+        return S.append_absent(rows, root, "rows", ["id"])
+
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(write, range(8)))
+    assert sorted(numbers) == list(range(1, 9)) and log.latest() == 8
+    ids = [r.id for r in S.read_store(spark, root, "rows").collect()]
+    assert len(ids) == len(set(ids)) == 85
+    assert S.read_store(spark, root, "rows", 3).count() == 35
+    with pytest.raises(Conflict):
+        log.create(8, {})
+    assert log.commit(lambda number, state: None) == 8
