@@ -148,8 +148,8 @@ def idf(df: Column, n_records: Column) -> Column:
     return F.log(1 + n_records / (1 + df))
 
 
-def matched_terms(records: DataFrame, forms: DataFrame, n_terms: int) -> DataFrame:
-    """(question_id, term, in_title) for the wanted terms only, one row each, partitioned by record.
+def matched_records(records: DataFrame, forms: DataFrame, n_terms: int) -> DataFrame:
+    """(question_id, entries): the wanted terms of each record (term, in_title), a row for each record.
 
     Written once: the only pass over the texts serves the frequencies and the scores.
     """
@@ -159,7 +159,23 @@ def matched_terms(records: DataFrame, forms: DataFrame, n_terms: int) -> DataFra
     flagged = found.select(
         "question_id", "term", F.array_contains("title_words", F.col("word")).alias("in_title")
     ).repartition("question_id")
-    return materialised(flagged.groupBy("question_id", "term").agg(F.max("in_title").alias("in_title")))
+    each = flagged.groupBy("question_id", "term").agg(F.max("in_title").alias("in_title"))
+    return materialised(each.groupBy("question_id").agg(F.collect_list(F.struct("term", "in_title")).alias("entries")))
+
+
+def matched_and_weights(
+    records: DataFrame, terms: DataFrame, n_queries: int, words: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The matched records, and (term, query_id, weight) of the queries' terms."""
+    n_terms = n_queries * MAX_QUERY_TERMS
+    forms = word_forms(terms, words)
+    # A root has any number of written forms: they are counted before they are sent anywhere.
+    n_forms = n_terms if words is None else forms.count()
+    matched = matched_records(records, forms, n_forms)
+    frequency = matched.select(F.inline("entries")).groupBy("term").agg(F.count("*").alias("df"))
+    n_records = frequency.where(F.col("term") == EVERY_RECORD).select("df").scalar()
+    weight = idf(F.col("df"), n_records) / F.sqrt("n_terms")
+    return matched, terms.join(frequency, "term").select("term", "query_id", weight.alias("weight"))
 
 
 def lexical_scores(
@@ -171,16 +187,9 @@ def lexical_scores(
     per query, which decides between broadcast and salted shuffle.
     """
     n_terms = n_queries * MAX_QUERY_TERMS
-    forms = word_forms(terms, words)
-    # A root has any number of written forms: they are counted before they are sent anywhere.
-    n_forms = n_terms if words is None else forms.count()
-    matched = matched_terms(records, forms, n_forms)
-    frequency = matched.groupBy("term").agg(F.count("*").alias("df"))
-    n_records = frequency.where(F.col("term") == EVERY_RECORD).select("df").scalar()
-    weights = terms.join(frequency, "term").select(
-        "term", "query_id", (idf(F.col("df"), n_records) / F.sqrt("n_terms")).alias("weight")
-    )
-    scored = hot_join(matched, weights, ["term"], "question_id", n_terms, TERM_ROW_BYTES)
+    matched, weights = matched_and_weights(records, terms, n_queries, words)
+    each = matched.select("question_id", F.inline("entries"))
+    scored = hot_join(each, weights, ["term"], "question_id", n_terms, TERM_ROW_BYTES)
     return scored.groupBy("query_id", "question_id").agg(
         F.sum(F.col("weight") * F.when(F.col("in_title"), TITLE_WEIGHT).otherwise(1)).alias("lexical")
     )

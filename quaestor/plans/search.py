@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 from quaestor.fixed_values import FILTER_GENERIC_WORDS, MAX_QUERY_TERMS, MAX_RESULTS, RELEVANCE_SHARE
 from quaestor.functions.text import index_words, query_words, split_passages
 from quaestor.functions.vectors import cosine
+from quaestor.operators.bounded_fusion import fused
 from quaestor.operators.lexical import (
     answered,
     filter_terms,
     lexical_scores,
+    matched_and_weights,
     query_terms,
     vocabulary,
     word_forms,
 )
 from quaestor.operators.ranking import (
     best_passages,
-    fuse,
     interleave,
     select_documents,
     top_lexical,
 )
-from quaestor.operators.semantic import semantic_scores, similar_passages
 from quaestor.operators.sizing import small_side
 from quaestor.operators.stored_index import StoredIndex, indexed_scores, records_of, written_forms
 from quaestor.session import materialised
@@ -137,14 +137,11 @@ def ranked_documents(
     vectors: Vectors | None = None,
 ) -> DataFrame:
     """Best records of each query: rank fusion with vectors, lexical ranks without."""
-    lexical = lexical_scores(records, terms, n_queries, words)
     if vectors is None:
-        return top_lexical(lexical)
-    # Read by both prefixes of the fusion and by the counts of deep ranks.
-    lexical = materialised(lexical)
+        return top_lexical(lexical_scores(records, terms, n_queries, words))
+    matched, weights = matched_and_weights(records, terms, n_queries, words)
     searched = vectors.passages.join(answered(records).select("question_id"), "question_id", "left_semi")
-    similar = similar_passages(searched, vectors.queries, n_queries, vectors.dimensions)
-    return fuse(lexical, materialised(semantic_scores(similar)), n_queries)
+    return fused(matched, materialised(weights), searched, vectors.queries, vectors.dimensions)
 
 
 def search(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.operators import evaluation as E
 from quaestor.operators import ranking as K
+from quaestor.operators.bounded_fusion import ScoreList, fused_block
 from quaestor.operators.lexical import filter_terms, lexical_query, lexical_scores, query_terms, vocabulary
 from quaestor.operators.semantic import semantic_scores, similar_passages
 from quaestor.operators.sizing import hot_join
@@ -98,6 +99,34 @@ def test_fusion_is_exact_with_ties_and_deep_ranks(spark, seed):
         assert got[q] == {(d, round(s, 12)) for d, s in fused_by_hand(lexical[q], semantic[q])}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bounded_fusion_equals_the_fusion_of_all_pairs(spark, seed):
+    """Lists given as arrays of scores; seeds 0 and 1 have ties far beyond the cut."""
+    rng = random.Random(seed)
+    ids = np.array([3, 5, 8])
+    docs = [f"D{i:04d}" for i in range(700)]
+    values = [1.0, 2.0] if seed == 0 else [round(rng.random() * 5, 2) + 0.01 for _ in range(60 if seed == 1 else 600)]
+    lexical = {q: {d: rng.choice(values) for d in docs if rng.random() < 0.9} for q in range(3)}
+    semantic = {q: {d: rng.choice([0.4, 0.5]) if seed < 2 else 0.35 + rng.random() for d in docs if rng.random() < 0.5} for q in range(3)}
+
+    def scored(lists):
+        rows = [(d, [lists[q].get(d, 0.0) for q in range(3)]) for d in docs]
+        frame = spark.createDataFrame(rows, "question_id string, s array<double>").repartition(3)
+
+        def scores(batches):
+            for batch in batches:
+                if len(batch):
+                    yield batch.column("question_id"), np.array(batch.column("s").to_pylist())
+
+        return ScoreList(frame, scores)
+
+    got = {}
+    for r in fused_block(scored(lexical), scored(semantic), ids).collect():
+        got.setdefault(r.query_id, set()).add((r.question_id, round(r.score, 12)))
+    for i, q in enumerate(ids):
+        assert got[q] == {(d, round(s, 12)) for d, s in fused_by_hand(lexical[i], semantic[i])}
+
+
 def test_similar_passages_broadcast_and_tiled_agree(spark):
     rng = np.random.default_rng(3)
     vectors = spark.createDataFrame(
