@@ -28,16 +28,22 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of ``df``, written once as Parquet to the shared folder and read from there.
+def stored(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """The rows of ``df``, written once as Parquet to the shared folder (or ``folder`` in it) and read from there.
 
     Cuts the lineage: a lost executor costs the tasks that were running, not the work before them.
     """
-    path = shared_path(df.sparkSession, label)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of stored tables that no result reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(divisor: int) -> Column:
     """crc32 of doc_id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % divisor
