@@ -9,6 +9,9 @@ embedding, embedding_model).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +21,7 @@ from quaestor.fixed_values import NO_EMBEDDINGS, SECTIONS
 from quaestor.functions.records import latest_date, present
 from quaestor.operators.running import ordered_fold, running
 from quaestor.operators.sizing import counted_side
+from quaestor.session import materialised
 
 HOUR = "INTERVAL 1 HOUR"
 
@@ -196,28 +200,48 @@ def first_overflow(requests: DataFrame, keys: list[str], chunk: Column, order: l
 def budget_replay(requests: DataFrame, keys: list[str], order: list[str], max_calls: int, max_bytes: int) -> DataFrame:
     """Replays reservations in order: a refused one changes nothing, a later smaller one may pass.
 
-    ``requests``: key columns, order columns, request_id, n_bytes. A request larger than the
-    whole budget is refused at once and does not enter the replay.
+    ``requests``: key columns, order columns, request_id, n_bytes. A run accepts at most ``max_calls`` requests, so
+    it is replayed in as many rounds at most: the next request accepted is the first after the last one that still
+    fits, a minimum over all requests of the run, wherever they are stored. No task holds a run or reads it in order.
     """
-    columns = [*keys, *order, "request_id", "n_bytes"]
-    at = {name: i for i, name in enumerate(columns)}
+    place = F.struct(*order, "request_id")
+    marks = [f"_k{i}" for i in range(len(keys))]
+    rows = materialised(requests.select(*[F.col(k).alias(m) for k, m in zip(keys, marks, strict=True)], place.alias("_at"), "request_id", "n_bytes"))
+
+    steps, left = None, rows.withColumn("_used", F.lit(0).cast("long"))
+    for call in range(1, max_calls + 1):
+        fitting = left.where(F.col("_used") + F.col("n_bytes") <= max_bytes)
+        first = fitting.groupBy(*marks).agg(F.min(F.struct("_at", (F.col("_used") + F.col("n_bytes")).alias("bytes"))).alias("x"))
+        taken = counted_side(first.select(*marks, F.col("x._at").alias("_last"), F.lit(call).cast("long").alias("calls"), F.col("x.bytes").alias("bytes")), 96)
+        if taken.isEmpty():
+            break
+        steps = taken if steps is None else steps.unionByName(taken)
+        left = _after(rows, taken, marks)
+    if steps is None:
+        return rows.select("request_id", F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("used_calls"), F.lit(0).cast("long").alias("used_bytes"))
+    # At most ``max_calls`` acceptances a run.
+    accepted = steps.groupBy(*marks).agg(F.array_sort(F.collect_list(F.struct("_last", "calls", "bytes"))).alias("_taken"))
+    told = _beside(rows, accepted, marks, "left")
+    until = F.filter(F.coalesce("_taken", F.array().cast(accepted.schema["_taken"].dataType)), lambda x: x["_last"] <= F.col("_at"))
+    now = F.when(F.size(until) > 0, F.element_at(until, -1))
+    return told.select(
+        "request_id",
+        F.coalesce(now["_last"] == F.col("_at"), F.lit(False)).alias("accepted"),
+        F.coalesce(now["calls"], F.lit(0).cast("long")).alias("used_calls"),
+        F.coalesce(now["bytes"], F.lit(0).cast("long")).alias("used_bytes"),
+    )
 
-    def start() -> dict:
-        return {"calls": 0, "bytes": 0}
 
-    def step(state: dict, row: tuple) -> list[tuple]:
-        size = row[at["n_bytes"]]
-        accepted = state["calls"] + 1 <= max_calls and state["bytes"] + size <= max_bytes
-        if accepted:
-            state["calls"] += 1
-            state["bytes"] += size
-        return [(row[at["request_id"]], accepted, state["calls"], state["bytes"])]
-
-    narrow = requests.select(*columns)
-    replayed = ordered_fold(
-        narrow, keys, order, start, step, "request_id bigint, accepted boolean, used_calls bigint, used_bytes bigint"
-    )
-    return replayed
+def _beside(rows: DataFrame, states: DataFrame, marks: list[str], how: str = "inner") -> DataFrame:
+    """Each row with the state of its run; a null key is one like any other."""
+    other = states.select(*[F.col(m).alias(f"_s{m}") for m in marks], *[c for c in states.columns if c not in marks])
+    same = reduce(and_, [F.col(m).eqNullSafe(F.col(f"_s{m}")) for m in marks], F.lit(True))
+    return rows.join(other, same, how).drop(*[f"_s{m}" for m in marks])
+
+
+def _after(rows: DataFrame, taken: DataFrame, marks: list[str]) -> DataFrame:
+    """The requests after the last accepted one of their run, with the bytes used until then."""
+    return _beside(rows, taken.withColumnRenamed("bytes", "_used"), marks).where(F.col("_at") > F.col("_last")).drop("_last", "calls")
 
 
 def activation_checks(

@@ -23,7 +23,7 @@ from quaestor.operators import refresh as N
 from quaestor.operators import stored_index as I
 from quaestor.operators import versions as C
 from quaestor.operators.passages import passages, weighted_words
-from quaestor.operators.semantic import semantic_scores, similar_passages, top_similar
+from quaestor.operators.semantic import nearest_passages, similar_passages
 from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, search_index, selected_passages, words_per_query
 from quaestor.session import materialised, shared_folder
 from quaestor.sources import corpus_files as S
@@ -403,7 +403,11 @@ def _similar(spark, folder):
 
 @query
 def cosine_topk(spark, folder):
-    return top_similar(_similar(spark, folder)).select("query_id", "hit_rank", "question_id", "passage_id", six("similarity"))
+    records, queries, n = _search_inputs(spark, folder)
+    vectors = _vectors(spark, folder, queries)
+    searched = vectors.passages.join(L.answered(records).select("question_id"), "question_id", "left_semi")
+    best, _ = nearest_passages(searched, vectors.queries, n, DIMENSIONS)
+    return best.select("query_id", "hit_rank", "question_id", "passage_id", six("similarity"))
 
 
 @query

@@ -290,3 +290,21 @@ def test_writers_that_meet_lose_nothing(spark, tmp_path):
     with pytest.raises(Conflict):
         log.create(8, {})
     assert log.commit(lambda number, state: None) == 8
+
+
+def test_replay_in_rounds_equals_one_request_after_the_other(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 40), i, rng.choice([5, 20, 60, 150])) for i in range(300)] + [("large", 1, 900, 500), ("one", 1, 901, 100)]
+    requests = spark.createDataFrame(rows, "run string, seq long, request_id long, n_bytes long").repartition(4)
+    expected, state = {}, {}
+    for run, seq, request, size in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        calls, used = state.get(run, (0, 0))
+        fits = calls < 7 and used + size <= 200
+        state[run] = (calls + fits, used + size * fits)
+        expected[request] = (fits, *state[run])
+    got = {r.request_id: (r.accepted, r.used_calls, r.used_bytes) for r in C.budget_replay(requests, ["run"], ["seq"], 7, 200).collect()}
+    assert got == expected
+    assert C.budget_replay(requests.limit(0), ["run"], ["seq"], 7, 200).count() == 0
+    assert not any(r.accepted for r in C.budget_replay(requests, ["run"], ["seq"], 7, 1).collect())

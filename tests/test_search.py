@@ -9,7 +9,7 @@ from quaestor.operators import evaluation as E
 from quaestor.operators import ranking as K
 from quaestor.operators.bounded_fusion import ScoreList, fused_block
 from quaestor.operators.lexical import filter_terms, lexical_query, lexical_scores, query_terms, vocabulary
-from quaestor.operators.semantic import semantic_scores, similar_passages
+from quaestor.operators.semantic import nearest_passages, semantic_scores, similar_passages, top_similar
 from quaestor.operators.sizing import hot_join
 from quaestor.plans.search import Vectors, search
 
@@ -200,3 +200,25 @@ def test_random_queries_are_reproducible(spark):
     assert first == sorted(map(tuple, E.random_queries(words.repartition(7), 20, 5).collect()))
     assert all(1 <= len(set(text.split())) == len(text.split()) <= 4 for _, text in first)
     assert first != sorted(map(tuple, E.random_queries(words, 20, 6).collect()))
+
+
+def test_cells_leave_out_what_cannot_be_among_the_nearest(spark):
+    """Clustered vectors, several of a record, copies and vectors of no length: the same records as over all pairs."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    points = np.concatenate([c + 0.15 * rng.normal(size=(50, 16)) for c in centres])
+    points[100:130] = points[100]
+    rows = [(f"D{i % 1500:04d}", f"D{i % 1500:04d}:reponse:{i // 1500}", [float(x) for x in p]) for i, p in enumerate(points)]
+    rows += [("Z", "Z:reponse:0", [1.0]), ("Y", "Y:reponse:0", [0.0] * 16), ("X", "X:reponse:0", None)]
+    vectors = spark.createDataFrame(rows, "question_id string, passage_id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, [float(x) for x in points[i * 37] + 0.1 * rng.normal(size=16)]) for i in range(30)] + [(99, [0.0] * 16)], "query_id bigint, qvec array<float>")
+    best, share = nearest_passages(vectors, asked, 31, 16)
+    plain = top_similar(similar_passages(vectors, asked, 31, 16))
+
+    def told(df):
+        return sorted((r.query_id, r.hit_rank, r.question_id, r.passage_id, round(r.similarity, 9)) for r in df.collect())
+
+    assert told(best) == told(plain) and len(told(best)) >= 180
+    assert share < 0.5
+    none, share = nearest_passages(vectors.limit(0), asked, 31, 16)
+    assert none.count() == 0 and share == 0
