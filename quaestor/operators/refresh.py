@@ -6,6 +6,8 @@ corpus records (moncode, legislature, date_reception, date_reponse, reponse, ...
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,15 @@ from quaestor.fixed_values import (
     METHOD_OPENING,
     METHOD_SENTENCE_PATTERN,
 )
+from quaestor.fixed_values import (
+    CONSECUTIVE_FAILURES,
+    MAX_ADDITIONS,
+    MAX_DOWNLOADS,
+    MAX_EMPTY_TEXTS,
+    MAX_MISSING_FROM_INDEX,
+    MAX_NETWORK_FAILURES,
+    MAX_RECORDS,
+)
 from quaestor.functions.records import needs_recheck, title_matches
 from quaestor.operators.running import running
 
@@ -126,6 +137,98 @@ def failure_runs(outcomes: DataFrame, keys: list[str], chunk: Column, order: str
     ).withColumn("stops", failed & ((F.col("failures") > max_failures) | (F.col("in_a_row") >= in_a_row))).drop("last_read")
 
 
+@dataclass(frozen=True)
+class RefreshLimits:
+    """What a run may do before it stops or ends."""
+
+    max_records: int = MAX_RECORDS
+    max_downloads: int = MAX_DOWNLOADS
+    max_network_failures: int = MAX_NETWORK_FAILURES
+    max_empty_texts: int = MAX_EMPTY_TEXTS
+    max_missing: int = MAX_MISSING_FROM_INDEX
+    in_a_row: int = CONSECUTIVE_FAILURES
+    asked: int = MAX_ADDITIONS
+
+    def __post_init__(self) -> None:
+        if min(self.max_records, self.max_downloads) < 1 or min(self.max_network_failures, self.max_empty_texts, self.max_missing) < 0:
+            raise ValueError("limits of records and downloads are positive, the others at least 0")
+        if not 0 <= self.asked <= MAX_ADDITIONS:
+            raise ValueError(f"at most {MAX_ADDITIONS} additions in a run")
+
+
+def early_stop(n_current: Column, n_missing: Column, n_rechecks: Column, limits: RefreshLimits) -> Column:
+    """Why a run may not read a single page, or null."""
+    return (
+        F.when(n_current > limits.max_records, "records")
+        .when(n_missing > limits.max_missing, "missing from index")
+        .when(n_rechecks > limits.max_downloads, "rechecks")
+    )
+
+
+def refresh_run(attempts: DataFrame, n_current: Column, n_missing: Column, limits: RefreshLimits, chunk: int = 1000) -> DataFrame:
+    """What becomes of each planned page of a run: seq, moncode, action, outcome, and its ``state``.
+
+    ``attempts``: seq (rechecks before candidates, from 0 or any number on), moncode, action, outcome. States: 'read' (its outcome
+    counts), 'stops: <reason>' (the page at which the run ends without a new corpus), 'not reached' (the run had
+    stopped, or had enough additions or downloads), or 'refused: <reason>' for all pages of a run that may not begin. The
+    totals are running sums over the whole sequence: up to the first candidate that isn't needed all
+    pages were read, so that they are those of the run itself.
+    """
+    recheck, candidate = F.col("action") == "recheck", F.col("action") == "candidate"
+    network = F.col("outcome") == "network"
+    sums = {
+        "n": F.lit(1),
+        "downloads": (~network).cast("long"),
+        "added": (candidate & (F.col("outcome") == "ok")).cast("long"),
+        "postponed": network.cast("long"),
+        "emptied": (recheck & (F.col("outcome") == "question_text_empty")).cast("long"),
+        "blockless": (candidate & (F.col("outcome") == "question_block_missing")).cast("long"),
+    }
+    slices = F.floor(F.col("seq") / chunk)
+    summed = running(attempts.select("seq", "moncode", "action", "outcome"), [], slices, ["seq"], sums=sums)
+    marked = running(summed, [], slices, ["seq"], maxima={"last_read": F.when(~network, F.col("n"))})
+    in_a_row = F.col("n") - F.coalesce("last_read", F.lit(0))
+    before = {name: F.col(name) - value for name, value in sums.items()}
+    room = F.least(F.lit(limits.asked), F.lit(limits.max_records) - n_current)
+    needless = candidate & ((before["added"] >= room) | (before["downloads"] >= limits.max_downloads))
+    reason = (
+        F.when(network & ((F.col("postponed") > limits.max_network_failures) | (in_a_row >= limits.in_a_row)), "network failures")
+        .when(recheck & (F.col("outcome") == "question_text_empty") & (F.col("emptied") > limits.max_empty_texts), "empty texts")
+        .when(candidate & (F.col("outcome") == "question_block_missing") & (F.col("blockless") > limits.max_empty_texts), "pages without a question")
+        .when(recheck & (F.col("outcome") == "question_block_missing"), "page of another structure")
+    )
+    judged = marked.withColumns({"_needless": needless, "_reason": reason})
+    ends = judged.agg(
+        F.min(F.when(F.col("_needless"), F.col("seq"))).alias("_end"),
+        F.min(F.when(F.col("_reason").isNotNull(), F.col("seq"))).alias("_stop"),
+        early_stop(n_current, n_missing, F.count_if(F.col("action") == "recheck"), limits).alias("_refusal"),
+    )
+    whole = judged.join(F.broadcast(ends), how="cross")  # one row
+    reached = F.coalesce(F.col("seq") < F.col("_end"), F.lit(True)) & F.coalesce(F.col("seq") <= F.col("_stop"), F.lit(True))
+    state = (
+        F.when(F.col("_refusal").isNotNull(), F.concat(F.lit("refused: "), "_refusal"))
+        .when(~reached, "not reached")
+        .when(F.coalesce(F.col("seq") == F.col("_stop"), F.lit(False)), F.concat(F.lit("stops: "), "_reason"))
+        .otherwise("read")
+    )
+    return whole.select("seq", "moncode", "action", "outcome", state.alias("state"))
+
+
+def run_summary(run: DataFrame) -> DataFrame:
+    """One row: why the run has no new corpus (null if it has one), and what it read, added, postponed, emptied and set aside."""
+    read = F.col("state") == "read"
+    counted = {
+        "rechecked": read & (F.col("action") == "recheck") & (F.col("outcome") == "ok"),
+        "added": read & (F.col("action") == "candidate") & (F.col("outcome") == "ok"),
+        "postponed": read & (F.col("outcome") == "network"),
+        "emptied": read & (F.col("action") == "recheck") & (F.col("outcome") == "question_text_empty"),
+        "excluded": read & (F.col("action") == "candidate") & F.col("outcome").isin("question_text_empty", "question_block_missing"),
+        "not_reached": F.col("state") == "not reached",
+    }
+    ended = F.max(F.when(F.col("state").rlike("^(stops|refused): "), F.regexp_replace("state", "^[a-z]+: ", "")))
+    return run.agg(ended.alias("stopped_by"), *[F.count_if(condition).alias(name) for name, condition in counted.items()])
+
+
 def cap_checks(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(cap, value, allowed, ok) from one row of counts."""
     rows = F.array(

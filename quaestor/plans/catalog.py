@@ -224,7 +224,7 @@ def record_violations(spark, folder):
 def query_rules(spark, folder):
     turns = D.table(spark, folder, "conversations")
     asked = turns.groupBy("conv_id").agg(
-        F.max_by("text", "turn").alias("text"), F.collect_list(F.when(F.col("role") == "user", F.substring_index("text", ".", 1))).alias("history")
+        F.max_by("text", "turn").alias("text"), F.collect_list(F.when(F.col("role") == "user", F.col("text"))).alias("history")
     )
     return Q.checked_queries(asked).select("conv_id", joined("violations").alias("violations"))
 
@@ -232,7 +232,7 @@ def query_rules(spark, folder):
 @query
 def pseudonyms(spark, folder):
     events = D.table(spark, folder, "events").select(F.col("user_id").cast("string").alias("session")).distinct()
-    return events.select("session", F.length(R.pseudonym(F.col("session"), "clef")).alias("size"), (R.pseudonym(F.col("session"), "clef") != R.pseudonym(F.col("session"), "autre")).alias("keyed"))
+    return events.select("session", R.pseudonym(F.col("session"), "clef").alias("pseudonym"), R.pseudonym(F.col("session"), "une autre clef").alias("other"))
 
 
 @query
@@ -472,10 +472,12 @@ def _turns(spark, folder):
     """Conversation turns, some of them opened as follow-ups or as questions on a named topic."""
     openings = ("", "", "Et quand ? ", "Pourquoi ", "Selon la réponse ministérielle, ", "Au sujet de ")
     opening = F.element_at(F.array(*[F.lit(o) for o in openings]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) + 1).cast("int"))
-    short = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) == 3, F.substring_index("text", " ", 3)).when(
-        F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) == 2, F.lit("")
-    ).otherwise(F.col("text"))
-    return D.table(spark, folder, "conversations").withColumn("text", F.concat(opening, short))
+    turns = D.table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    whole = turns.withColumn("text", F.concat(opening, "text"))
+    # Beside the whole turns conversations of short and empty ones, under numbers of their own.
+    remainder = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    short = F.when(remainder == 3, F.substring_index("text", " ", 3)).when(remainder == 2, F.lit("")).otherwise(F.col("text"))
+    return whole.unionByName(turns.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", F.concat(opening, short).alias("text")))
 
 
 @query
@@ -523,7 +525,7 @@ def _generated(spark, folder, queries, hits):
     cited = queries.join(hits.groupBy("query_id").agg(ids.alias("ids")), "query_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
     kind = F.pmod("query_id", F.lit(6))
     extra = F.when(kind == 1, F.array(F.lit("inconnu"))).when(kind == 2, F.array().cast("array<string>")).otherwise(F.slice("ids", 1, 1))
-    text = F.when(kind == 3, "  ").otherwise(F.substring_index("text", ".", 1))
+    text = F.when(kind == 3, "  ").otherwise(F.col("text"))
     paragraphs = F.array(
         F.struct(text.alias("text"), F.slice("ids", 1, 2).alias("sourceIds")), F.struct(F.lit("Second point.").alias("text"), extra.alias("sourceIds"))
     )
@@ -870,6 +872,10 @@ def recheck_plan_full(spark, folder):
 
 @query
 def missing_from_index(spark, folder):
+    return _missing(spark, folder)
+
+
+def _missing(spark, folder):
     raw = D.index_file_rows(spark, folder)
     listed = raw.where(F.get("row", P.ASSEMBLY) == V.WRITTEN_QUESTION_ASSEMBLY).select(P.code_of(F.get("row", P.LINK)).alias("moncode"))
     return N.missing_from_index(listed, P.index_rows(raw), D.current_records(spark, folder))
@@ -952,7 +958,60 @@ def refresh_caps(spark, folder):
         F.count("*").alias("downloads"), F.count_if(F.col("outcome") == "network").alias("network failures"),
         F.count_if((F.col("outcome") == "question_text_empty") & (F.col("action") == "recheck")).alias("empty texts"),
     )
-    return N.cap_checks(counts, {"downloads": V.MAX_DOWNLOADS, "network failures": V.MAX_NETWORK_FAILURES, "empty texts": V.MAX_EMPTY_TEXTS})
+    counts = counts.select(
+        "*",
+        D.current_records(spark, folder).agg(F.count("*")).scalar().alias("records"),
+        _missing(spark, folder).agg(F.count("*")).scalar().alias("missing from index"),
+        outcomes.agg(F.count_if(F.col("action") == "recheck")).scalar().alias("rechecks"),
+        outcomes.agg(F.count_if((F.col("action") == "candidate") & (F.col("outcome") == "question_block_missing"))).scalar().alias("pages without a question"),
+        outcomes.agg(F.count_if((F.col("action") == "candidate") & (F.col("outcome") == "ok"))).scalar().alias("additions"),
+    )
+    limits = {"downloads": V.MAX_DOWNLOADS, "network failures": V.MAX_NETWORK_FAILURES, "empty texts": V.MAX_EMPTY_TEXTS, "records": V.MAX_RECORDS}
+    limits |= {"missing from index": V.MAX_MISSING_FROM_INDEX, "rechecks": V.MAX_DOWNLOADS, "pages without a question": V.MAX_EMPTY_TEXTS, "additions": V.MAX_ADDITIONS}
+    return N.cap_checks(counts, limits)
+
+
+def _run(spark, folder, limits, outcomes=None):
+    """A run over the planned pages, rechecks first, their outcomes changed by ``outcomes`` if given."""
+    _, current, _, _, found = _refresh(spark, folder)
+    found = found if outcomes is None else outcomes(found)
+    seq = F.when(F.col("action") == "candidate", F.lit(10_000_000_000)).otherwise(0) + F.col("moncode").cast("bigint")
+    n_current = current.agg(F.count("*")).scalar()
+    n_missing = _missing(spark, folder).agg(F.count("*")).scalar()
+    return N.refresh_run(found.withColumn("seq", seq), n_current, n_missing, limits)
+
+
+def _readable(outcomes):
+    """Rechecked pages keep their structure."""
+    broken = (F.col("action") == "recheck") & (F.col("outcome") == "question_block_missing")
+    return outcomes.withColumn("outcome", F.when(broken, "ok").otherwise(F.col("outcome")))
+
+
+_MANY = 10**9
+REFRESH_RUNS = {
+    "published limits": (N.RefreshLimits(), None),
+    "any number": (N.RefreshLimits(_MANY, _MANY, _MANY, _MANY, _MANY, _MANY, 60), _readable),
+    "downloads": (N.RefreshLimits(_MANY, 5000, _MANY, _MANY, _MANY, _MANY, 800), _readable),
+    "structure": (N.RefreshLimits(_MANY, _MANY, _MANY, _MANY, _MANY, _MANY, 60), None),
+    "in a row": (N.RefreshLimits(_MANY, _MANY, _MANY, _MANY, _MANY, 12, 800), _readable),
+    "empty": (N.RefreshLimits(_MANY, _MANY, _MANY, 30, _MANY, _MANY, 800), _readable),
+}
+
+
+@query
+def refresh_stop(spark, folder):
+    """The same planned pages under several limits: where each run stops or ends, and what it has read until then."""
+    told = None
+    for name, (limits, outcomes) in REFRESH_RUNS.items():
+        row = N.run_summary(_run(spark, folder, limits, outcomes)).select(F.lit(name).alias("run"), "*")
+        told = row if told is None else told.unionByName(row)
+    return told
+
+
+@query
+def refresh_attempts(spark, folder):
+    """Each planned page of a run that runs out of additions, with its state."""
+    return _run(spark, folder, *REFRESH_RUNS["any number"]).select("moncode", "action", "outcome", "state")
 
 
 @query

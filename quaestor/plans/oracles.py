@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from quaestor import fixed_values as V
-from quaestor.plans.catalog import PAGE_HOSTS
+from quaestor.plans.catalog import PAGE_HOSTS, REFRESH_RUNS
 from quaestor.plans.stem_sql import stems
 from quaestor.sources.driver_tables import NOW, TODAY
 
@@ -397,8 +397,18 @@ SQL["record_violations"] = with_(RECS) + "SELECT question_id, array_to_string(li
 SQL["query_rules"] = """
 SELECT conv_id, concat_ws('|', CASE WHEN length(text) NOT BETWEEN 3 AND 1500 THEN 'length' END, CASE WHEN len(h) > 4 THEN 'history' END,
   CASE WHEN len(list_filter(h, lambda x: length(trim(x)) NOT BETWEEN 1 AND 1500)) > 0 THEN 'history texts' END) AS violations
-FROM (SELECT conv_id, trim(arg_max(text, turn)) AS text, list(split_part(text, '.', 1)) FILTER (role = 'user') AS h FROM conversations GROUP BY conv_id)"""
-SQL["pseudonyms"] = "SELECT DISTINCT user_id::VARCHAR AS session, 64 AS size, true AS keyed FROM events"
+FROM (SELECT conv_id, trim(arg_max(text, turn)) AS text, list(text) FILTER (role = 'user') AS h FROM conversations GROUP BY conv_id)"""
+
+
+def _keyed_digest(value: str, key: str) -> str:
+    """The keyed digest as its standard states it: the key, filled up to 64 bytes, with each of the two pads."""
+    inner, outer = ("".join(f"{byte ^ pad:02x}" for byte in key.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value}))))"
+
+
+SQL["pseudonyms"] = f"""
+SELECT session, {_keyed_digest('session', 'clef')} AS pseudonym, {_keyed_digest('session', 'une autre clef')} AS other
+FROM (SELECT DISTINCT user_id::VARCHAR AS session FROM events)"""
 SQL["time_stamps"] = "SELECT event_id, strftime(ts, '%Y-%m-%d-%H') AS hour, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y%m%dT%H%M%SZ') AS run FROM events"
 SQL["failure_codes"] = "SELECT CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'QUOTA_UNAVAILABLE' ELSE 'UNEXPECTED' END AS code, count(*) AS requests FROM events GROUP BY 1"
 SQL["passage_split"] = with_(RECS, PASSAGES) + "SELECT passage_id, question_id, section, position, content FROM passages"
@@ -674,7 +684,48 @@ SQL["refresh_caps"] = with_(INDEX, PLAN, OUTCOMES) + f"""
 SELECT *, value <= allowed AS ok FROM (
   SELECT 'downloads' AS cap, count(*) AS value, {V.MAX_DOWNLOADS} AS allowed FROM outcomes
   UNION ALL SELECT 'network failures', count(*), {V.MAX_NETWORK_FAILURES} FROM outcomes WHERE outcome = 'network'
-  UNION ALL SELECT 'empty texts', count(*), {V.MAX_EMPTY_TEXTS} FROM outcomes WHERE outcome = 'question_text_empty' AND action = 'recheck')"""
+  UNION ALL SELECT 'empty texts', count(*), {V.MAX_EMPTY_TEXTS} FROM outcomes WHERE outcome = 'question_text_empty' AND action = 'recheck'
+  UNION ALL SELECT 'records', count(*), {V.MAX_RECORDS} FROM current
+  UNION ALL SELECT 'missing from index', count(*), {V.MAX_MISSING_FROM_INDEX} FROM current WHERE moncode NOT IN (SELECT moncode FROM rows)
+  UNION ALL SELECT 'rechecks', count(*), {V.MAX_DOWNLOADS} FROM outcomes WHERE action = 'recheck'
+  UNION ALL SELECT 'pages without a question', count(*), {V.MAX_EMPTY_TEXTS} FROM outcomes WHERE outcome = 'question_block_missing' AND action = 'candidate'
+  UNION ALL SELECT 'additions', count(*), {V.MAX_ADDITIONS} FROM outcomes WHERE outcome = 'ok' AND action = 'candidate')"""
+
+
+def _run_states(limits, readable: bool) -> str:
+    """The state of each planned page, by windows over the whole sequence."""
+    outcome = "CASE WHEN action = 'recheck' AND outcome = 'question_block_missing' THEN 'ok' ELSE outcome END" if readable else "outcome"
+    return f"""(
+  WITH pages AS (SELECT CASE action WHEN 'candidate' THEN 10000000000 ELSE 0 END + moncode::BIGINT AS seq, moncode, action, {outcome} AS outcome FROM outcomes),
+  sums AS (SELECT *, outcome = 'network' AS net, count(*) OVER w AS n, count(*) FILTER (outcome <> 'network') OVER w AS downloads,
+    count(*) FILTER (outcome = 'ok' AND action = 'candidate') OVER w AS added, count(*) FILTER (outcome = 'network') OVER w AS postponed,
+    count(*) FILTER (outcome = 'question_text_empty' AND action = 'recheck') OVER w AS emptied,
+    count(*) FILTER (outcome = 'question_block_missing' AND action = 'candidate') OVER w AS blockless FROM pages WINDOW w AS (ORDER BY seq)),
+  rowed AS (SELECT *, n - coalesce(max(CASE WHEN NOT net THEN n END) OVER (ORDER BY seq), 0) AS in_a_row FROM sums),
+  flags AS (SELECT *, action = 'candidate' AND (added - (outcome = 'ok')::INT >= least({limits.asked}, {limits.max_records} - (SELECT count(*) FROM current))
+      OR downloads - (NOT net)::INT >= {limits.max_downloads}) AS needless,
+    CASE WHEN net AND (postponed > {limits.max_network_failures} OR in_a_row >= {limits.in_a_row}) THEN 'network failures'
+      WHEN action = 'recheck' AND outcome = 'question_text_empty' AND emptied > {limits.max_empty_texts} THEN 'empty texts'
+      WHEN action = 'candidate' AND outcome = 'question_block_missing' AND blockless > {limits.max_empty_texts} THEN 'pages without a question'
+      WHEN action = 'recheck' AND outcome = 'question_block_missing' THEN 'page of another structure' END AS reason FROM rowed),
+  ends AS (SELECT min(seq) FILTER (needless) AS last, min(seq) FILTER (reason IS NOT NULL) AS stop,
+    CASE WHEN (SELECT count(*) FROM current) > {limits.max_records} THEN 'records'
+      WHEN (SELECT count(*) FROM current WHERE moncode NOT IN (SELECT moncode FROM rows)) > {limits.max_missing} THEN 'missing from index'
+      WHEN count(*) FILTER (action = 'recheck') > {limits.max_downloads} THEN 'rechecks' END AS refusal FROM flags)
+  SELECT moncode, action, outcome, CASE WHEN refusal IS NOT NULL THEN 'refused: ' || refusal WHEN seq >= last OR seq > stop THEN 'not reached'
+    WHEN seq = stop THEN 'stops: ' || reason ELSE 'read' END AS state FROM flags, ends)"""
+
+
+def _run_told(name: str, limits, readable: bool) -> str:
+    return f"""SELECT '{name}' AS run, max(CASE WHEN state LIKE 'stops: %' OR state LIKE 'refused: %' THEN regexp_replace(state, '^[a-z]+: ', '') END) AS stopped_by,
+  count(*) FILTER (state = 'read' AND action = 'recheck' AND outcome = 'ok') AS rechecked, count(*) FILTER (state = 'read' AND action = 'candidate' AND outcome = 'ok') AS added,
+  count(*) FILTER (state = 'read' AND outcome = 'network') AS postponed, count(*) FILTER (state = 'read' AND action = 'recheck' AND outcome = 'question_text_empty') AS emptied,
+  count(*) FILTER (state = 'read' AND action = 'candidate' AND outcome IN ('question_text_empty', 'question_block_missing')) AS excluded,
+  count(*) FILTER (state = 'not reached') AS not_reached FROM {_run_states(limits, readable)}"""
+
+
+SQL["refresh_stop"] = with_(INDEX, PLAN, OUTCOMES) + " UNION ALL ".join(_run_told(name, limits, change is not None) for name, (limits, change) in REFRESH_RUNS.items())
+SQL["refresh_attempts"] = with_(INDEX, PLAN, OUTCOMES) + "SELECT * FROM " + _run_states(REFRESH_RUNS["any number"][0], True)
 SQL["additions"] = with_(INDEX) + """
 SELECT row_number() OVER (ORDER BY date_reception DESC, moncode::BIGINT DESC) AS rank, moncode, strftime(date_reception, '%Y-%m-%d') AS date_reception
 FROM rows WHERE moncode NOT IN (SELECT moncode FROM current) QUALIFY rank <= 50"""
@@ -821,7 +872,11 @@ def _matches(x: str, pattern: str) -> str:
 SQL["followup_context"] = f"""
 WITH turns AS (
   SELECT conv_id, turn, (['', '', 'Et quand ? ', 'Pourquoi ', 'Selon la réponse ministérielle, ', 'Au sujet de '])[(conv_id + turn) % 6 + 1]
-    || CASE (conv_id + turn) % 6 WHEN 3 THEN array_to_string(string_split(text, ' ')[1:3], ' ') WHEN 2 THEN '' ELSE text END AS text
+    || text AS text
+  FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT -1 - conv_id, turn, (['', '', 'Et quand ? ', 'Pourquoi ', 'Selon la réponse ministérielle, ', 'Au sujet de '])[(conv_id + turn) % 6 + 1]
+    || CASE (conv_id + turn) % 6 WHEN 3 THEN array_to_string(string_split(text, ' ')[1:3], ' ') WHEN 2 THEN '' ELSE text END
   FROM conversations WHERE role = 'user'
 ), uttered AS (SELECT conv_id, turn, unnest({query_words('text')}) AS word FROM turns), {stems("uttered")},
 n_roots AS (SELECT conv_id, turn, count(DISTINCT stem) AS n FROM uttered JOIN stems USING (word) GROUP BY ALL),
