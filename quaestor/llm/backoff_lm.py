@@ -14,6 +14,7 @@ do a part's sums for a run of documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ HELD = 1 << 19
 #: The start of a document, as a word.
 START = np.uint64(0x5DEECE66D)
 _ID = 1 << 16
+#: Words that a task numbers before it begins anew, if no single text has more.
+MEMO = 400_000
 #: Documents whose sums come together are those with equal row numbers but for so many bits.
 RUN_BITS = 10
 
@@ -41,30 +44,33 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class _Words(dict):
-    """Bounded memo of words' hashes."""
+    """Numbers of the words met so far, from 1 on, and their hashes; 0 is the start of a document."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = [int(START)]
 
     def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh64_intdigest(word, 1)
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out
-        return out
+        self[word] = number = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word, 1))
+        return number
+
+    def full(self) -> bool:
+        return len(self.hashes) >= MEMO
 
 
-def _hashed(texts: list[str | None], memo: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, and the number of words of each."""
+def _numbered(texts: list[str | None], memo: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each word of the texts, and the number of words of each text."""
     words = [(x or "").encode().translate(_LOWER).split() for x in texts]
     counts = np.array([len(x) for x in words], np.int64)
-    return np.fromiter((memo[x] for text in words for x in text), np.uint64, int(counts.sum())), counts
+    return np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum())), counts
 
 
-def _pairs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word before and word, for each word."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    before = np.concatenate([[START], hashes[:-1]]).astype(np.uint64)[: len(hashes)]
-    heads = (np.cumsum(counts) - counts)[counts > 0]
-    before[heads] = START
-    return text, before, hashes
+def _before(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The word before each word, 0 at the start of a text."""
+    before = np.concatenate([[0], numbers[:-1]])[: len(numbers)]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+    return before
 
 
 def _summed(*keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -83,22 +89,26 @@ def _summed(*keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[list[
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, held, size = _Words(), [], 0
+    memo, used, followed = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def added(total: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        now = np.bincount(numbers, minlength=len(memo.hashes))
+        now[: len(total)] += total
+        return now
 
     def told() -> pa.RecordBatch:
-        before, word = (np.concatenate(x) for x in zip(*held, strict=True))
-        words, at = np.unique(np.concatenate([word, before]), return_inverse=True)
-        return pa.RecordBatch.from_pydict({"word": words.view(np.int64), "u": np.bincount(at[: len(word)], minlength=len(words)), "h": np.bincount(at[len(word) :], minlength=len(words))})
+        some = np.flatnonzero(used + followed)
+        words = np.array(memo.hashes, np.uint64)[some].view(np.int64)
+        return pa.RecordBatch.from_pydict({"word": words, "u": used[some], "h": followed[some]})
 
     for batch in batches:
         for low, high in slices(text_bytes(batch.column("text"))[1]):
-            _, before, word = _pairs(*_hashed(batch.column("text")[low:high].to_pylist(), memo))
-            held.append((before, word))
-            size += len(word)
-            if size >= HELD:
+            numbers, counts = _numbered(batch.column("text")[low:high].to_pylist(), memo)
+            used, followed = added(used, numbers), added(followed, _before(numbers, counts))
+            if memo.full():
                 yield told()
-                held, size = [], 0
-    if size:
+                memo, used, followed = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if used.any():
         yield told()
 
 
@@ -138,8 +148,17 @@ def _unpacked(block: bytes, count: int) -> dict[str, np.ndarray]:
     return out
 
 
+def _of_runs(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``n`` over the rows of its key; equal keys stand together."""
+    if not len(keys):
+        return n
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys))))
+
+
 def _entries(batches: Iterator[pa.RecordBatch], frequent: _Frequent, total: float, parts: int) -> Iterator[pa.RecordBatch]:
     memo, held, size = _Words(), [], 0
+    hashes, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def told() -> Iterator[pa.RecordBatch]:
         whole = {x: np.concatenate([y[x] for y, _ in held]) for x, _ in _FIELDS}
@@ -160,10 +179,21 @@ def _entries(batches: Iterator[pa.RecordBatch], frequent: _Frequent, total: floa
     for batch in batches:
         rows = batch.column("row").to_numpy().view(np.uint64)
         for low, high in slices(text_bytes(batch.column("text"))[1]):
-            hashes, counts = _hashed(batch.column("text")[low:high].to_pylist(), memo)
-            (text, v, w), n, _ = _summed(*_pairs(hashes, counts))
-            v_own, w_own = (y[z] for y, z in (_summed(text, x, weights=n)[1:] for x in (v, w)))
-            v_at, w_at = frequent.places(v), frequent.places(w)
+            numbers, counts = _numbered(batch.column("text")[low:high].to_pylist(), memo)
+            if len(place) < len(memo.hashes):
+                new = np.array(memo.hashes[len(place) :], np.uint64)
+                hashes, place = np.concatenate([hashes, new]), np.concatenate([place, frequent.places(new)])
+            # One number for text, word before and word: sorted once, a text's words before come together in it. A slice of
+            # more than one text has few words, one of a single text leaves 31 bits for each of the two.
+            bits = len(memo.hashes).bit_length()
+            triples = np.repeat(np.arange(len(counts)) << (2 * bits), counts) | _before(numbers, counts) << bits | numbers
+            triples, n = np.unique(triples, return_counts=True)
+            text, v, w = triples >> (2 * bits), (triples >> bits) & ((1 << bits) - 1), triples & ((1 << bits) - 1)
+            v_own = _of_runs(triples >> bits, n)
+            by_word = np.argsort(text << bits | w, kind="stable")
+            w_own = np.empty_like(n)
+            w_own[by_word] = _of_runs((text << bits | w)[by_word], n[by_word])
+            v_at, w_at, v, w = place[v], place[w], hashes[v], hashes[w]
             # What a frequent word scores without its bigram is known here; a match elsewhere replaces it.
             known = np.flatnonzero(w_at >= 0)
             alone = np.bincount(text[known], n[known] * _alone(frequent.u[w_at[known]] - w_own[known], total), len(counts))
@@ -181,6 +211,8 @@ def _entries(batches: Iterator[pa.RecordBatch], frequent: _Frequent, total: floa
             documents = pa.table([batch.column("row")[low:high], batch.column("doc_id")[low:high], pa.array(counts, pa.int64()), pa.array(alone.astype(np.float64))], names=["row", "doc_id", "n_words", "own"])
             held.append(({x: np.concatenate(y) for x, y in found.items()}, documents))
             size += len(held[-1][0]["key"]) + high - low
+            if memo.full():
+                memo, hashes, place = _Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if size >= HELD:
                 yield from told()
                 held, size = [], 0

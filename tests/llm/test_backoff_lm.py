@@ -73,3 +73,9 @@ def test_blocks_round_trip():
     columns = {x: np.arange(5, dtype=t) * (7 if x != "kind" else 0) for x, t in backoff_lm._FIELDS}
     back = backoff_lm._unpacked(backoff_lm._packed(columns), 5)
     assert all((back[x] == columns[x]).all() for x in columns)
+
+
+def test_a_text_of_more_words_than_a_task_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "MEMO", 50)
+    rows = [(1, " ".join(f"x{i}" for i in range(3000)), None), (2, " ".join(f"x{i}" for i in range(0, 3000, 2)), None), *texts(20)]
+    check(spark, rows, tmp_path)
