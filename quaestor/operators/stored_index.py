@@ -151,7 +151,7 @@ def _hashed(records: DataFrame) -> DataFrame:
 
 def _written(rows: DataFrame, path: str, parts: int, key: str) -> None:
     rows = rows.withColumn("part", part_of(key, parts))
-    spread = rows.repartition(parts * WRITERS_PER_PART, "part", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(WRITERS_PER_PART)))
+    spread = rows.repartition("part", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(WRITERS_PER_PART)))
     spread.sortWithinPartitions("part", key).write.partitionBy("part").parquet(path)
 
 

@@ -308,3 +308,60 @@ def test_replay_in_rounds_equals_one_request_after_the_other(spark):
     assert got == expected
     assert C.budget_replay(requests.limit(0), ["run"], ["seq"], 7, 200).count() == 0
     assert not any(r.accepted for r in C.budget_replay(requests, ["run"], ["seq"], 7, 1).collect())
+
+
+RUN_LIMITS = {"max_records": 100, "max_downloads": 50, "max_network_failures": 4, "max_empty_texts": 2, "max_missing": 3, "in_a_row": 3, "asked": 5}
+
+
+def run_by_hand(attempts, n_current, n_missing, limits):
+    """One page after the other, as a collector reads them."""
+    if n_current > limits.max_records:
+        return ["refused: records"] * len(attempts)
+    if n_missing > limits.max_missing:
+        return ["refused: missing from index"] * len(attempts)
+    if sum(a == "recheck" for a, _ in attempts) > limits.max_downloads:
+        return ["refused: rechecks"] * len(attempts)
+    out, downloads, added, postponed, row, emptied, blockless = [], 0, 0, 0, 0, 0, 0
+    for action, outcome in attempts:
+        if action == "candidate" and (added >= min(limits.asked, limits.max_records - n_current) or downloads >= limits.max_downloads):
+            break
+        stop = None
+        if outcome == "network":
+            postponed, row = postponed + 1, row + 1
+            stop = "network failures" if postponed > limits.max_network_failures or row >= limits.in_a_row else None
+        else:
+            downloads, row = downloads + 1, 0
+            if action == "recheck" and outcome == "question_text_empty":
+                emptied += 1
+                stop = "empty texts" if emptied > limits.max_empty_texts else None
+            elif outcome == "question_block_missing":
+                blockless += action == "candidate"
+                stop = "page of another structure" if action == "recheck" else "pages without a question" if blockless > limits.max_empty_texts else None
+            elif action == "candidate" and outcome == "ok":
+                added += 1
+        out.append(f"stops: {stop}" if stop else "read")
+        if stop:
+            break
+    return out + ["not reached"] * (len(attempts) - len(out))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_refresh_stops_or_ends_as_page_after_page(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    weights = [[20, 1, 1, 1], [40, 1, 0, 0], [6, 3, 0, 0], [10, 0, 4, 0], [10, 0, 0, 4], [10, 1, 1, 0], [30, 0, 0, 0], [9, 1, 0, 2]][seed]
+    kinds = ("ok", "network", "question_text_empty", "question_block_missing")
+    attempts = [("recheck", rng.choices(kinds, [*weights[:3], 0])[0]) for _ in range(rng.randint(0, 30))]
+    attempts += [("candidate", rng.choices(kinds, weights)[0]) for _ in range(rng.randint(0, 40))]
+    limits = N.RefreshLimits(**{**RUN_LIMITS, "max_downloads": [50, 12, 50, 50, 50, 8, 50, 50][seed]})
+    rows = spark.createDataFrame([(3 * i, str(i), a, o) for i, (a, o) in enumerate(attempts)], "seq long, moncode string, action string, outcome string").repartition(3)
+    current = [60, 97, 60, 60, 60, 60, 101, 60][seed]
+    found = N.refresh_run(rows, F.lit(current), F.lit(2), limits, chunk=10)
+    assert [r.state for r in found.orderBy("seq").collect()] == run_by_hand(attempts, current, 2, limits)
+
+
+def test_limits_of_a_refresh_are_checked():
+    for wrong in ({"asked": 801}, {"asked": -1}, {"max_records": 0}, {"max_missing": -1}):
+        with pytest.raises(ValueError):
+            N.RefreshLimits(**wrong)
