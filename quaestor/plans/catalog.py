@@ -358,6 +358,15 @@ def lexical_search_stemmed(spark, folder):
     return search(records, queries, n_queries=n).select("query_id", "hit_rank", "passage_id", six("score"))
 
 
+@query
+def clamped_selection(spark, folder):
+    """Records selected for limits below, within and above what a search returns."""
+    records, queries, n = _search_inputs(spark, folder)
+    asked = queries.withColumn("limit", F.element_at(F.array(*[F.lit(x) for x in (-2, 0, 1, 3, 8, 50)]), (F.pmod("query_id", F.lit(6)) + 1).cast("int")))
+    best = ranked_documents(records, asked, materialised(L.query_terms(asked, stemmed=False)), n)
+    return K.select_documents(best, asked).select("query_id", "question_id", "document_rank", F.col("_limit").alias("allowed"))
+
+
 @query
 def indexed_search(spark, folder):
     """The stemmed search from a stored index, written by this job."""
@@ -557,10 +566,13 @@ def generated_answers(spark, folder):
 
 @query
 def fallback_answers(spark, folder):
-    records, queries, hits = _hits(spark, folder)
-    generated = _generated(spark, folder, queries, hits)
-    again = A.fallback_hits(A.citation_checks(generated, hits), hits, hits)
-    return again.groupBy("query_id").agg(F.count("*").alias("hits"))
+    """Passages that stand in for rejected syntheses of hybrid hits: of a fresh lexical search, and of the filtered hits where there is none."""
+    records, queries, fresh = _hits(spark, folder)
+    hybrid = search(records, queries, _vectors(spark, folder, queries), stemmed=False, n_queries=queries.count(), filtered=True)
+    hybrid = materialised(hybrid)
+    checks = materialised(A.citation_checks(_generated(spark, folder, queries, hybrid), hybrid))
+    with_fresh = A.fallback_hits(checks, fresh, hybrid).select(F.lit("fresh").alias("kind"), "query_id", "passage_id")
+    return with_fresh.unionByName(A.fallback_hits(checks, None, hybrid).select(F.lit("filtered").alias("kind"), "query_id", "passage_id"))
 
 
 @query

@@ -524,7 +524,16 @@ checks AS (
     WHEN len(ids) = 0 THEN 'AI_MISSING_CITATION' WHEN unknown > 0 THEN 'AI_UNKNOWN_CITATION' WHEN uncited > 0 THEN 'AI_MISSING_CITATION' ELSE 'documente' END AS verdict FROM checks
 )"""
 SQL["citation_check"] = LEX_FILTERED.rstrip() + "," + GENERATED + "\nSELECT query_id, verdict, cited, unknown, uncited FROM verdicts"
-SQL["fallback_answers"] = LEX_FILTERED.rstrip() + "," + GENERATED + "\nSELECT query_id, count(*) AS hits FROM filtered JOIN verdicts USING (query_id) WHERE verdict NOT IN ('documente', 'insuffisant') GROUP BY query_id"
+HYB_FILTERED = with_(RECS, PASSAGES, TERMS, LEXICAL, SIMILAR, HYBRID_FUSED, selected(6), hits(HYB_SIMILARITY), RELEVANT)
+_REJECTED = f"({HYB_FILTERED.rstrip()}, {GENERATED} SELECT query_id FROM verdicts WHERE verdict NOT IN ('documente', 'insuffisant'))"
+SQL["fallback_answers"] = f"""
+WITH rejected AS MATERIALIZED {_REJECTED}
+SELECT 'fresh' AS kind, query_id, passage_id FROM ({LEX_FILTERED} SELECT query_id, passage_id FROM filtered) SEMI JOIN rejected USING (query_id)
+UNION ALL SELECT 'filtered', query_id, passage_id FROM ({HYB_FILTERED} SELECT query_id, passage_id FROM filtered) SEMI JOIN rejected USING (query_id)"""
+SQL["clamped_selection"] = with_(RECS, TERMS, LEXICAL, LEX_FUSED) + """
+SELECT query_id, question_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, question_id) AS document_rank, allowed
+FROM (SELECT *, greatest(1, least(8, ([-2, 0, 1, 3, 8, 50])[query_id % 6 + 1])) AS allowed FROM fused
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY leader DESC, round(score, 12) DESC, question_id) <= allowed)"""
 SQL["response_contract"] = LEX_FILTERED.rstrip() + """
 SELECT query_id, CASE query_id % 5 WHEN 1 THEN 'mode' WHEN 2 THEN 'notice' WHEN 3 THEN CASE WHEN s THEN 'source url' ELSE '' END WHEN 4 THEN CASE WHEN s THEN 'source excerpts' ELSE '' END ELSE '' END AS violations
 FROM (SELECT a.query_id, EXISTS (SELECT 1 FROM filtered f WHERE f.query_id = a.query_id) AS s FROM asked a)"""
