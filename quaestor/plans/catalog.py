@@ -77,6 +77,15 @@ def index_scan(spark, folder):
     return rows.select("moncode", day("date_reception"), "titre", "titre_nl", "auteur", "destinataire")
 
 
+@query
+def envelope_scan(spark, folder):
+    """The index written as envelopes of one JSON object each, and read back in byte ranges."""
+    path = shared_folder(spark, "envelopes")
+    S.write_envelopes(D.index_file_rows(spark, folder), path, 2)
+    rows = P.index_rows(P.read_index(spark, path))
+    return rows.select("moncode", day("date_reception"), "titre", "titre_nl", "auteur", "destinataire")
+
+
 @query
 def sample_per_author(spark, folder):
     rows = P.sample_per_author(P.index_rows(D.index_file_rows(spark, folder)), "2000-06-30")

@@ -320,6 +320,7 @@ JUDGED = LEX_FILTERED.rstrip() + "," + CASES
 SQL: dict[str, str] = {}
 
 SQL["index_scan"] = with_(INDEX) + "SELECT moncode, strftime(date_reception, '%Y-%m-%d') AS date_reception, titre, titre_nl, auteur, destinataire FROM rows"
+SQL["envelope_scan"] = SQL["index_scan"]
 SQL["sample_per_author"] = with_(INDEX) + """
 SELECT moncode, strftime(date_reception, '%Y-%m-%d') AS date_reception, auteur FROM (
   SELECT * FROM rows WHERE date_reception <= DATE '2000-06-30' QUALIFY row_number() OVER (PARTITION BY auteur ORDER BY date_reception DESC, moncode::BIGINT DESC) = 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaestor.operators.versions import insert_absent
 from quaestor.sources.commit_log import CommitLog
+from quaestor.sources.envelopes import array_elements, surroundings
 
 RECORD_SCHEMA = (
     "id string, moncode string, base int, assemblee string, legislature string, session string, type string, "
@@ -17,16 +18,24 @@ RECORD_SCHEMA = (
     "date_reception date, date_publication date, date_reponse date, question string, reponse string, "
     "url_source string, empreinte_contenu string"
 )
-ENVELOPE_SCHEMA = (
-    f"extrait_le string, nombre_elements int, methode_echantillonnage string, questions array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in RECORD_SCHEMA.split(','))}>>"
-)
+ENVELOPE_SCHEMA = "extrait_le string, nombre_elements int, methode_echantillonnage string"
 
 
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(envelope, records) of a corpus file: one JSON object holding the records."""
-    envelope = spark.read.schema(ENVELOPE_SCHEMA).json(path, multiLine=True)
-    records = envelope.select(F.inline("questions")).withColumn("question_id", F.col("id"))
-    return envelope.select("extrait_le", "nombre_elements", "methode_echantillonnage"), records
+    """(envelope, records) of a corpus file: one JSON object holding the records, read in byte ranges."""
+    records = array_elements(spark, path, "{", RECORD_SCHEMA).select("value.*").withColumn("question_id", F.col("id"))
+    return surroundings(spark, path, ENVELOPE_SCHEMA), records
+
+
+def write_envelopes(rows: DataFrame, path: str, shards: int) -> None:
+    """Index rows (row array<string>) as ``shards`` files ``{"data": [[...], ...]}``, by hash of the row; the first element is empty."""
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    lines = rows.select(shard.alias("shard"), F.lit(1).alias("part"), F.concat(F.lit(","), F.to_json("row")).alias("value"))
+    edges = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.inline(F.array(
+        F.struct(F.lit(0).alias("part"), F.lit('{"data": [[]').alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")),
+    )))
+    ordered = lines.unionByName(edges).repartition(shards, "shard").sortWithinPartitions("shard", "part")
+    ordered.select("shard", "value").write.mode("errorifexists").partitionBy("shard").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quaestor.fixed_values import WRITTEN_QUESTION_ASSEMBLY, WRITTEN_QUESTION_TYPE
 from quaestor.functions.html import html_text, unescape
 from quaestor.functions.records import parse_day
+from quaestor.sources.envelopes import array_elements
 
 # Positions in an index row.
 ASSEMBLY, LINK, RECEIVED, KIND, TITLE_FR, TITLE_NL, AUTHOR, RECIPIENT, TYPE = 0, 2, 5, 6, 8, 9, 10, 11, 15
@@ -27,8 +28,8 @@ ACT_CELLS = 5
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(row array<string>) of an index file ``{"data": [[...], ...]}``."""
-    return spark.read.schema("data array<array<string>>").json(path, multiLine=True).select(F.explode("data").alias("row"))
+    """(row array<string>) of index files ``{"data": [[...], ...]}``, each read in byte ranges."""
+    return array_elements(spark, path, "[", "array<string>").select(F.col("value").alias("row"))
 
 
 def code_of(link: Column) -> Column:
