@@ -21,6 +21,9 @@ from quaestor.functions.stemming import with_stems
 from quaestor.functions.text import fold_accents, query_words
 from quaestor.operators.lexical import answered
 
+#: Size parameter of the quantile sketches, the error of a rank that it stands for (twice the usual 99 % bound of 1.33 % for one sketch), and the percentiles.
+SKETCH_SIZE, SKETCH_RANK_ERROR, SHARES = 200, 0.0266, (0.5, 0.95)
+
 
 def distinct_records(hits: DataFrame) -> DataFrame:
     """(query_id, question_id, record_rank): records of a result in the order first met."""
@@ -216,9 +219,13 @@ def seeded_order(words: DataFrame, seed: int, limit: int) -> DataFrame:
     return words.orderBy(F.md5(F.concat_ws(":", "word", F.lit(str(seed)))), "word").limit(limit)
 
 
+def _durations(logs: DataFrame, *others: Column) -> DataFrame:
+    return logs.select(*others, F.explode(F.from_json("payload", "ms map<string,int>")["ms"]).alias("step", "ms"))
+
+
 def latency_statistics(logs: DataFrame) -> DataFrame:
     """(step, requests, mean_ms, p50_ms, p95_ms, max_ms) from request logs (payload: JSON with an ``ms`` map)."""
-    steps = logs.select(F.explode(F.from_json("payload", "ms map<string,int>")["ms"]).alias("step", "ms"))
+    steps = _durations(logs)
     # Percentiles keep one count per distinct duration, whole milliseconds.
     return steps.groupBy("step").agg(
         F.count("*").alias("requests"),
@@ -229,6 +236,36 @@ def latency_statistics(logs: DataFrame) -> DataFrame:
     )
 
 
+def hourly_sketches(logs: DataFrame) -> DataFrame:
+    """(hour, step, requests, min_ms, max_ms, sketch) from request logs (ts, payload): quantile sketches of bounded size, which can be merged."""
+    known = _durations(logs, F.date_trunc("hour", "ts").alias("hour")).where(F.col("ms").isNotNull())
+    return known.groupBy("hour", "step").agg(
+        F.count("*").alias("requests"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"),
+        F.kll_sketch_agg_bigint(F.col("ms").cast("long"), SKETCH_SIZE).alias("sketch"),
+    )
+
+
+def sketched_percentiles(sketches: DataFrame, keys: list[str], shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """(keys, requests, min_ms, max_ms, share, ms) of the merged sketches: by step, by step and hour, or by any coarser key."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("requests").alias("requests"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_bigint("sketch", SKETCH_SIZE).alias("sketch"),
+    )
+    found = F.inline(F.array(*[F.struct(F.lit(x).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(x)).alias("ms")) for x in shares]))
+    return merged.select(*keys, "requests", "min_ms", "max_ms", found)
+
+
+def rank_errors(logs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (step, share, ms...) with rank_error: how far its share lies outside the shares of durations below and up to its value."""
+    durations = _durations(logs).where(F.col("ms").isNotNull()).select("step", F.col("ms").alias("own_ms"))
+    # A row for each step and share: few, whatever the logs hold.
+    beside = durations.join(F.broadcast(found.select("step", "share", "ms")), "step").groupBy("step", "share").agg(
+        (F.count_if(F.col("own_ms") < F.col("ms")) / F.count("*")).alias("below"), (F.count_if(F.col("own_ms") <= F.col("ms")) / F.count("*")).alias("up_to")
+    )
+    error = F.greatest(F.col("below") - F.col("share"), F.col("share") - F.col("up_to"), F.lit(0.0))
+    return found.join(beside, ["step", "share"]).withColumn("rank_error", error)
+
+
 def outcome_counts(logs: DataFrame) -> DataFrame:
     """(code, requests) of request logs by normalised failure code."""
     from quaestor.functions.records import failure_code

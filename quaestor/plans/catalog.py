@@ -14,6 +14,7 @@ from quaestor.functions import text as T
 from quaestor.functions import vectors as X
 from quaestor.functions.html import html_text
 from quaestor.operators import answers as A
+from quaestor.operators import digest_tree as M
 from quaestor.operators import evaluation as E
 from quaestor.operators import lexical as L
 from quaestor.operators import quality as Q
@@ -755,6 +756,22 @@ def store_audit(spark, folder):
     return C.rewritten_contents(before, after, ["content_hash"], F.coalesce("reponse", F.lit("")))
 
 
+@query
+def store_differences(spark, folder):
+    """Two states of the store, compared by digest trees that were written with them; the unequal buckets of each level as well."""
+    root = shared_folder(spark, "audit")
+    before = D.doc_store(spark, folder).where("titre >= 'B'")
+    after = D.doc_store(spark, folder).where("titre < 'X'").withColumn("reponse", F.when(F.col("titre") < "C", F.lit("autre")).otherwise(F.col("reponse")))
+    keys, value, trees = ["content_hash"], F.col("reponse"), []
+    for name, store in (("before", before), ("after", after)):
+        M.digest_tree(store, keys, value).write.parquet(f"{root}/{name}")
+        trees.append(spark.read.parquet(f"{root}/{name}"))
+    unequal = materialised(M.unequal_buckets(*trees))
+    rows = M.differences(before, after, keys, value, unequal).select("content_hash", "bucket", "change")
+    counts = unequal.groupBy("level").agg(F.count("*").cast("string").alias("bucket"))
+    return rows.unionByName(counts.select(F.lit(None).cast("string").alias("content_hash"), "bucket", F.concat(F.lit("unequal at level "), "level").alias("change")))
+
+
 @query
 def insert_absent(spark, folder):
     rows = D.doc_store(spark, folder).select("content_hash", "question_id")
@@ -1214,9 +1231,9 @@ def seeded_words(spark, folder):
     return E.seeded_order(E.rare_title_words(D.records(spark, folder)), 20260930, 15).select("word", "question_id")
 
 
-@query
-def latency_stats(spark, folder):
-    logs = D.table(spark, folder, "events").select(
+def _request_logs(spark, folder):
+    return D.table(spark, folder, "events").select(
+        "ts",
         F.to_json(
             F.struct(
                 F.struct(
@@ -1224,6 +1241,19 @@ def latency_stats(spark, folder):
                     F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 100).cast("int")).alias("generation"),
                 ).alias("ms")
             )
-        ).alias("payload")
+        ).alias("payload"),
     )
-    return E.latency_statistics(logs).select("step", "requests", six("mean_ms"), "p50_ms", "p95_ms", "max_ms")
+
+
+@query
+def latency_stats(spark, folder):
+    return E.latency_statistics(_request_logs(spark, folder)).select("step", "requests", six("mean_ms"), "p50_ms", "p95_ms", "max_ms")
+
+
+@query
+def latency_sketch(spark, folder):
+    """Percentiles from hourly sketches that are stored and merged; each with whether its rank is within the stated error."""
+    logs, path = _request_logs(spark, folder), shared_folder(spark, "latency")
+    E.hourly_sketches(logs).write.parquet(path)
+    found = E.sketched_percentiles(spark.read.parquet(path), ["step"])
+    return E.rank_errors(logs, found).select("step", "requests", "share", "min_ms", "max_ms", (F.col("rank_error") <= E.SKETCH_RANK_ERROR).alias("within_error"))

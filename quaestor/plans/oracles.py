@@ -635,6 +635,12 @@ SELECT part, count(*) AS n, count(reponse) AS answered FROM (
   SELECT '20240501T080000Z' AS part, reponse FROM recs WHERE reponse IS NULL
   UNION ALL SELECT p, reponse FROM recs, (VALUES ('20240601T080000Z'), ('latest')) AS v(p)) GROUP BY part"""
 SQL["store_audit"] = DOC_STORE + "SELECT content_hash FROM doc_store WHERE titre < 'C'"
+_CHANGED = DOC_STORE.rstrip() + """, changed AS (
+  SELECT content_hash, left(md5(content_hash), 3) AS bucket, CASE WHEN titre < 'B' THEN 'added' WHEN titre >= 'X' THEN 'removed' ELSE 'rewritten' END AS change
+  FROM doc_store WHERE titre < 'B' OR titre >= 'X' OR (titre < 'C' AND reponse IS DISTINCT FROM 'autre')
+) """
+SQL["store_differences"] = _CHANGED + """SELECT content_hash, bucket, change FROM changed
+UNION ALL SELECT NULL, count(DISTINCT left(bucket, n))::VARCHAR, 'unequal at level ' || n FROM changed, range(4) AS r(n) GROUP BY n"""
 SQL["insert_absent"] = DOC_STORE + "SELECT content_hash, question_id FROM doc_store WHERE content_hash NOT IN (SELECT content_hash FROM members WHERE version_id = 'v1')"
 
 
@@ -786,11 +792,15 @@ numbered AS (
   SELECT query_id, word, min(n) AS n FROM draws JOIN numbered ON number = ('0x' || left(md5(query_id || ':' || n || ':20260930'), 12))::BIGINT % total GROUP BY query_id, word
 )
 SELECT query_id, string_agg(word, ' ' ORDER BY n) AS text FROM drawn GROUP BY query_id"""
-SQL["latency_stats"] = """
-SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, quantile_disc(ms, 0.5)::INT AS p50_ms, quantile_disc(ms, 0.95)::INT AS p95_ms, max(ms)::INT AS max_ms FROM (
+LATENCIES = """(
   SELECT 'quota' AS step, floor(value * 10)::INT AS ms FROM events
   UNION ALL SELECT 'search', (props::JSON->>'k')::INT FROM events
-  UNION ALL SELECT 'generation', floor(value * 100)::INT FROM events WHERE event_type = 'purchase') GROUP BY step"""
+  UNION ALL SELECT 'generation', floor(value * 100)::INT FROM events WHERE event_type = 'purchase')"""
+SQL["latency_stats"] = f"""
+SELECT step, count(*) AS requests, round(avg(ms), 6) AS mean_ms, quantile_disc(ms, 0.5)::INT AS p50_ms, quantile_disc(ms, 0.95)::INT AS p95_ms, max(ms)::INT AS max_ms FROM {LATENCIES} GROUP BY step"""
+SQL["latency_sketch"] = f"""
+SELECT step, count(*) AS requests, share::DOUBLE AS share, min(ms)::INT AS min_ms, max(ms)::INT AS max_ms, true AS within_error
+FROM {LATENCIES}, (VALUES (0.5), (0.95)) AS v(share) WHERE ms IS NOT NULL GROUP BY step, share"""
 
 # Quotas: each hour, then each day, is replayed event by event.
 QUOTA = """
