@@ -160,6 +160,31 @@ METHOD_CLOSING = (
 WRITTEN_QUESTION_ASSEMBLY = "PRB"
 WRITTEN_QUESTION_TYPE = "1"
 
+# --- Fields of a record (fixed values: names and what each must hold) --------
+
+RECORD_FIELDS = (
+    ("id", "non-empty text"),
+    ("moncode", "digits"),
+    ("base", "integer"),
+    ("assemblee", "text"),
+    ("legislature", "text"),
+    ("session", "text or null"),
+    ("type", "text"),
+    ("numero", "integer or null"),
+    ("langue", "language"),
+    ("titre", "non-empty text"),
+    ("titre_nl", "text or missing"),
+    ("auteur", "text"),
+    ("destinataire", "text"),
+    ("date_reception", "date"),
+    ("date_publication", "date or null"),
+    ("date_reponse", "date or null"),
+    ("question", "non-empty text"),
+    ("reponse", "text or null"),
+    ("url_source", "url"),
+)
+LARGEST_INTEGER = 9007199254740991
+
 # --- Import and retention ---------------------------------------------------
 
 BATCH_MAX_INPUTS = 256

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from quaestor.fixed_values import (
     ANSWER_MODES,
     ANSWER_STATUSES,
+    LARGEST_INTEGER,
     MAX_HISTORY,
     MAX_QUESTION_CHARS,
     MIN_QUESTION_CHARS,
     NATURES,
+    RECORD_FIELDS,
     RECORD_LANGUAGE,
 )
 from quaestor.functions.records import official_url
@@ -43,6 +45,34 @@ def validated(records: DataFrame, hosts: Iterable[str]) -> DataFrame:
     return records.withColumn("violations", broken_rules(record_rules(hosts)))
 
 
+def _field_holds(name: str, kind: str) -> Column:
+    """Whether a field of the variant ``_fields`` is of its kind. A field that is missing has no type, a null has type VOID."""
+    path, (base, _, other) = f"$.{name}", kind.partition(" or ")
+    found = F.schema_of_variant(F.variant_get("_fields", path, "variant"))
+    text = F.when(found == "STRING", F.try_variant_get("_fields", path, "string"))
+    number = F.when(found.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get("_fields", path, "double"))
+    holds = {
+        "text": text.isNotNull(),
+        "non-empty text": text != "",
+        "digits": text.rlike(r"^[0-9]+\z"),
+        "language": text == RECORD_LANGUAGE,
+        "integer": (number == F.floor(number)) & (F.abs(number) <= LARGEST_INTEGER),
+        "date": text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(),
+        "url": F.try_parse_url(text, F.lit("PROTOCOL")).isNotNull() & (~text.rlike("^(?i)https?:") | F.try_parse_url(text, F.lit("HOST")).isNotNull()),
+    }[base]
+    holds = F.coalesce(holds, F.lit(False))
+    return holds | found.isNull() if other == "missing" else holds | F.coalesce(found == "VOID", F.lit(False)) if other == "null" else holds
+
+
+def typed_fields(lines: DataFrame) -> DataFrame:
+    """Adds ``violations`` to records as they were written (``line``: one JSON object): the fields of another type or content than they must have.
+
+    A line that is no JSON object breaks all rules but those of fields that may be missing; a null line does too.
+    """
+    parsed = lines.withColumn("_fields", F.try_parse_json("line"))
+    return parsed.withColumn("violations", broken_rules({name: _field_holds(name, kind) for name, kind in RECORD_FIELDS})).drop("_fields")
+
+
 def repeated_keys(records: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once."""
     return records.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)

@@ -230,6 +230,21 @@ def record_violations(spark, folder):
     return Q.validated(records, D.RECORD_HOSTS).select("question_id", joined("violations").alias("violations"))
 
 
+@query
+def record_fields(spark, folder):
+    """Every record as a JSON line, in 19 of 20 of which one field is missing, null or a list; the fields that break their type."""
+    fixed = {"base": F.lit(1), "assemblee": F.lit("PRB"), "legislature": F.lit("2024-2029"), "session": F.lit(None).cast("string"), "type": F.lit("1"),
+             "langue": F.lit("fr"), "titre_nl": F.lit("titel"), "date_publication": F.lit(None).cast("date")}
+    records = D.records(spark, folder).withColumn("id", F.col("question_id")).withColumn("numero", F.col("doc_id") % 1000).withColumns(fixed)
+    fragments = []
+    for number, (name, _) in enumerate(V.RECORD_FIELDS):
+        whole = F.expr(f"substring(to_json(struct({name}), map('ignoreNullFields', 'false')), 2)")
+        spoiled = F.when(F.floor(F.col("doc_id") / 20) % 3 == 1, F.lit(f'"{name}":null')).when(F.floor(F.col("doc_id") / 20) % 3 == 2, F.lit(f'"{name}":[1]'))
+        fragments.append(F.when(F.col("doc_id") % 20 == number, spoiled).otherwise(F.regexp_replace(whole, r"\}$", "")))
+    line = F.concat(F.lit("{"), F.concat_ws(",", *fragments), F.lit("}"))
+    return Q.typed_fields(records.select("question_id", line.alias("line"))).select("question_id", joined("violations").alias("violations"))
+
+
 @query
 def query_rules(spark, folder):
     turns = D.table(spark, folder, "conversations")

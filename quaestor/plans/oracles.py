@@ -395,6 +395,12 @@ UNION ALL SELECT 'url_source', count(*) FILTER (NOT starts_with(url_source, 'htt
 UNION ALL SELECT 'repeated id', count(*) - count(DISTINCT question_id) FROM recs
 UNION ALL SELECT 'repeated natural key', count(*) - count(DISTINCT moncode || auteur) FROM recs"""
 SQL["record_violations"] = with_(RECS) + "SELECT question_id, array_to_string(list_filter([CASE WHEN auteur <> 'fr' THEN 'langue' END, CASE WHEN titre = '' THEN 'titre' END, CASE WHEN question = '' THEN 'question' END], lambda x: x IS NOT NULL), '|') AS violations FROM recs"
+_OWN = {"titre": "titre = ''", "question": "question = ''", "auteur": "auteur IS NULL", "destinataire": "destinataire IS NULL"}
+SQL["record_fields"] = with_(RECS) + "SELECT question_id, concat_ws('|', " + ", ".join(
+    f"CASE WHEN CASE WHEN doc_id % 20 <> {number} THEN {_OWN.get(name, 'false')} WHEN doc_id // 20 % 3 = 0 THEN {not kind.endswith('missing')} "
+    f"WHEN doc_id // 20 % 3 = 1 THEN {not kind.endswith('null')} ELSE true END THEN '{name}' END"
+    for number, (name, kind) in enumerate(V.RECORD_FIELDS)
+) + ") AS violations FROM recs"
 SQL["query_rules"] = """
 SELECT conv_id, concat_ws('|', CASE WHEN length(text) NOT BETWEEN 3 AND 1500 THEN 'length' END, CASE WHEN len(h) > 4 THEN 'history' END,
   CASE WHEN len(list_filter(h, lambda x: length(trim(x)) NOT BETWEEN 1 AND 1500)) > 0 THEN 'history texts' END) AS violations
