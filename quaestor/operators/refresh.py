@@ -29,6 +29,8 @@ from quaestor.fixed_values import (
 )
 from quaestor.functions.records import needs_recheck, title_matches
 from quaestor.operators.running import running
+from quaestor.operators.sizing import counted_side
+from quaestor.session import materialised
 
 
 def recheck_plan(rows: DataFrame, current: DataFrame, today: Column, full: bool = False) -> DataFrame:
@@ -59,17 +61,41 @@ def missing_from_index(listed_codes: DataFrame, rows: DataFrame, current: DataFr
     )
 
 
+def _folded(text: Column) -> Column:
+    """One form of all letters that a pattern takes for the same one, whatever the case."""
+    return F.lower(F.upper(F.translate(text, "İıſ", "iis")))
+
+
+def pattern_keys(selections: DataFrame) -> DataFrame:
+    """(name, pattern, key) of selections: three characters that every title a pattern matches contains, of which few patterns have the same.
+
+    They are taken from the plain text between wildcards, classes and repeated characters. A pattern without such text, or with
+    alternatives, groups or bounds, has an empty key.
+    """
+    simple = F.regexp_replace("pattern", r"\\[bBdDsSwW]", ".")
+    simple = F.regexp_replace(simple, r"\[\^?[^\[\]&^\\]+\]", ".")
+    unsafe = simple.rlike(r"[|\\(){\[\]]")
+    plain = F.regexp_replace(simple, r"(?s).[*+?]+", ".")
+    runs = F.regexp_extract_all(plain, F.lit(r"(?=([A-Za-z0-9 À-ÖØ-Ýà-öø-ý]{3}))"), F.lit(1))
+    grams = F.when(unsafe, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(runs, _folded)))
+    numbered = selections.where("pattern is not null").select("name", "pattern", F.monotonically_increasing_id().alias("number"), grams.alias("grams"))
+    numbered = materialised(numbered)
+    spread = numbered.select("number", F.explode("grams").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("patterns"))
+    rarest = spread.join(shared, "key").groupBy("number").agg(F.min(F.struct("patterns", "key"))["key"].alias("key"))
+    return numbered.join(rarest, "number", "left").select("name", "pattern", F.coalesce("key", F.lit("")).alias("key"))
+
+
 def selected_titles(rows: DataFrame, selections: DataFrame) -> DataFrame:
     """Rows × named selections (name, pattern, label) whose pattern a title matches.
 
-    Selections are a short table kept by hand; each becomes one condition, so
-    that rows are read once and no pairs are formed before the match.
+    A title meets the patterns whose key it contains, and those without a key; only these are tried. Each pattern has one key, so
+    no row and selection meet twice. The keys are broadcast if they are few.
     """
-    names = [(r["name"], r["pattern"]) for r in selections.select("name", "pattern").collect()]
-    hits = [
-        F.when(title_matches(pattern, F.col("titre"), F.col("titre_nl")), F.lit(name)) for name, pattern in names
-    ]
-    return rows.select("*", F.explode(F.array_compact(F.array(*hits))).alias("selection"))
+    keys = counted_side(pattern_keys(selections).select(F.col("name").alias("selection"), F.col("pattern").alias("_pattern"), F.col("key").alias("_key")), 1024)
+    grams = [F.regexp_extract_all(_folded(F.coalesce(F.col(x), F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)) for x in ("titre", "titre_nl")]
+    met = rows.select("*", F.explode(F.array_distinct(F.concat(*grams, F.array(F.lit(""))))).alias("_key")).join(keys, "_key")
+    return met.where(title_matches(F.col("_pattern"), F.col("titre"), F.col("titre_nl"))).drop("_key", "_pattern")
 
 
 def fetch_outcomes(planned: DataFrame, fetched: DataFrame) -> DataFrame:

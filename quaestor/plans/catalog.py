@@ -940,6 +940,14 @@ def title_selection(spark, folder):
     return N.selected_titles(P.index_rows(D.index_file_rows(spark, folder)), selections).select("moncode", "selection")
 
 
+@query
+def many_selections(spark, folder):
+    """A selection for every part, all tried on the titles of the index at once."""
+    number = F.col("p_partkey").cast("string")
+    selections = D.table(spark, folder, "part").select(F.concat(F.lit("p"), number).alias("name"), F.concat(F.lit(r"\bDossier "), number, F.lit("[0-9]* ?[^0-9]")).alias("pattern"))
+    return N.selected_titles(P.index_rows(D.index_file_rows(spark, folder)), selections).select("moncode", "selection")
+
+
 @query
 def legislature_split(spark, folder):
     current = D.current_records(spark, folder)

@@ -684,6 +684,11 @@ SELECT moncode, CASE WHEN moncode IN (SELECT moncode FROM raw WHERE assembly = '
 SQL["title_selection"] = with_(INDEX) + """
 SELECT moncode, 'dossiers 1' AS selection FROM rows WHERE regexp_matches(lower(titre), 'dossier 1[0-9]* ') OR regexp_matches(lower(titre_nl), 'dossier 1[0-9]* ')
 UNION ALL SELECT moncode, 'vraag 99' FROM rows WHERE regexp_matches(lower(titre), 'vraag over dossier .*99') OR regexp_matches(lower(titre_nl), 'vraag over dossier .*99')"""
+SQL["many_selections"] = with_(INDEX) + r"""
+SELECT DISTINCT moncode, 'p' || p_partkey AS selection FROM (
+  SELECT moncode, unnest(range(1, 1 + length(number))) AS n, number FROM (
+    SELECT moncode, unnest(regexp_extract_all(lower(coalesce(titre, '')) || chr(10) || lower(coalesce(titre_nl, '')) , '\bdossier ([0-9]+) ?[^0-9\n]', 1)) AS number FROM rows))
+JOIN part ON p_partkey::VARCHAR = left(number, n)"""
 SQL["legislature_split"] = with_(INDEX) + "SELECT moncode, coalesce(legislature, '2024-2029') = '2024-2029' AS collected FROM current"
 SQL["per_legislature"] = with_(INDEX) + "SELECT coalesce(legislature, '2024-2029') AS legislature, count(*) AS records FROM current GROUP BY 1"
 SQL["method_text"] = with_(INDEX) + f"""
