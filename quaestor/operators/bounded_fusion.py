@@ -88,7 +88,8 @@ def _unit(vectors: list) -> np.ndarray:
 def by_record(vectors: DataFrame, dimensions: int) -> DataFrame:
     """(question_id, embedding) of the usable vectors, those of a record one after the other in one task."""
     usable = vectors.where(F.size("embedding") == dimensions).select("question_id", "embedding")
-    return materialised(usable.repartition("question_id").sortWithinPartitions("question_id"))
+    # By a hash of the id: a shuffle by the id itself would be taken for that of a join before it, which may become a broadcast.
+    return materialised(usable.repartition(F.xxhash64("question_id")).sortWithinPartitions("question_id"))
 
 
 def semantic_list(vectors: DataFrame, queries: DataFrame, ids: np.ndarray) -> ScoreList:

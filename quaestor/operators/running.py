@@ -74,7 +74,9 @@ def ordered_fold(
     """Replays ``step(state, row)`` over the rows of each key in order and emits what it returns.
 
     Rows are read batch by batch from sorted partitions; a key is never held in
-    memory as a whole, only its state is.
+    memory as a whole, only its state is. Rows are dealt by a hash of the keys, not by
+    the keys: where these are a join's, that shuffle would be taken for the join's own,
+    and a join that turns into a broadcast at run time leaves its rows where they were.
     """
     columns = df.columns
     key_at = [columns.index(k) for k in keys]
@@ -90,4 +92,4 @@ def ordered_fold(
                 out.extend(step(state, row))
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(replay, schema)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(replay, schema)

@@ -165,6 +165,28 @@ def test_embedding_batches_and_budget(spark):
     assert [r.batch for r in C.embedding_batches(big, 10, 10).orderBy("seq").collect()] == [0, 1]
 
 
+def test_folds_are_whole_where_a_join_on_their_key_becomes_a_broadcast_at_run_time(spark):
+    from quaestor.operators.running import ordered_fold
+
+    def step(state, row):
+        state["n"] += 1
+        return [(row[0], row[1], state["n"])]
+
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {x: spark.conf.get(x, None) for x in names}
+    left = spark.range(0, 400, 1, 4).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 400).alias("at"))
+    right = spark.range(3).select(F.col("id").alias("k"), F.lit("x").alias("other"))
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        folded = ordered_fold(left.join(right, "k"), ["k"], ["at"], lambda: {"n": 0}, step, "k bigint, at bigint, place bigint").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    expected = [(k, at, place) for k in range(3) for place, at in enumerate(sorted(i * 7 % 400 for i in range(400) if i % 3 == k), 1)]
+    assert sorted(map(tuple, folded)) == expected
+
+
 def test_embedding_batches_are_the_same_for_any_shard_size(spark):
     sizes = [(i, f"Q{i}", 1 + i * i % 7, 10 + i * 37 % 90) for i in range(300)] + [(300, "Q300", 40, 1), (302, "Q302", 1, 5000)]
     items = spark.createDataFrame(sizes, "seq bigint, question_id string, n_inputs bigint, n_bytes bigint")
