@@ -31,7 +31,7 @@ from quaestor.sources import corpus_files as S
 from quaestor.sources import driver_tables as D
 from quaestor.sources import index_pages as P
 from quaestor.sources.commit_log import CommitLog
-from quaestor.sources.loading import active_records, load_version
+from quaestor.sources.loading import active_records, load_version, version_members
 
 DIMENSIONS = 64
 PAGE_HOSTS = ("ththin.example.com", "therin.example.net", "blog.ththan.example.net", "m.therou.example.com", "www.ththin.example.net")
@@ -809,12 +809,14 @@ def applied_versions(spark, folder):
 
 
 def _without_a_passage(spark, root):
-    """The passage store under ``root`` after the loss of one passage, as a damaged disk would leave it."""
+    """The passage store under ``root`` after the loss of one passage of the active version, as a damaged disk would leave it."""
     log = CommitLog(spark, root)
 
-    def change(_, state):
+    def change(number, state):
         rows = S.store_in(log, state, "passages")
-        lost = rows.agg(F.min(F.struct("passage_id", "content_hash")).alias("x")).select("x.*")
+        active = S.read_published(spark, root, "versions", number).where("active").select("version_id")
+        own = version_members(spark, root, number).join(F.broadcast(active), "version_id", "left_semi")
+        lost = rows.join(own, "content_hash", "left_semi").agg(F.min(F.struct("passage_id", "content_hash")).alias("x")).select("x.*")
         folder = log.folder("data/passages")
         rows.join(F.broadcast(lost), ["passage_id", "content_hash"], "left_anti").write.parquet(f"{log.root}/{folder}")
         return {**state, "stores": {**state["stores"], "passages": {**state["stores"]["passages"], "folders": [folder]}}}

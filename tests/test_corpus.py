@@ -274,6 +274,23 @@ def test_a_long_secret_stands_as_its_digest(spark):
         assert got == hmac.new(secret.encode(), b"visitor", "sha256").hexdigest()
 
 
+def test_the_lost_passage_is_one_of_the_active_version(spark, tmp_path):
+    from quaestor.plans.catalog import _without_a_passage
+    from quaestor.sources.loading import load_version
+
+    schema = "question_id string, titre string, auteur string, destinataire string, question string, reponse string"
+    texts = ("Ceci.", "Cela.")
+    # Whichever text has the smaller hash, it is the former one in one of the two orders.
+    for i, order in enumerate((texts, texts[::-1])):
+        root, verdicts = str(tmp_path / str(i)), []
+        for name, text in (("a", order[0]), ("b", order[1]), ("c", order[1])):
+            if name == "c":
+                _without_a_passage(spark, root)
+            rows = spark.createDataFrame([("R-1", "T", None, "M", "Quoi ?", text)], schema)
+            verdicts.append(load_version(rows, root, name, "m", F.lit(T0), "substitut", 4).first().verdict)
+        assert verdicts == ["ok", "ok", "Incomplete corpus"]
+
+
 def test_a_load_may_run_again(spark, tmp_path):
     from quaestor.sources.loading import load_version, version_members
 
