@@ -29,7 +29,7 @@ from quaestor.fixed_values import (
 )
 from quaestor.functions.records import needs_recheck, title_matches
 from quaestor.operators.running import running
-from quaestor.operators.sizing import counted_side
+from quaestor.operators.sizing import counted_side, fits_broadcast, small_side
 from quaestor.session import materialised
 
 
@@ -66,36 +66,58 @@ def _folded(text: Column) -> Column:
     return F.lower(F.upper(F.translate(text, "İıſ", "iis")))
 
 
+#: Characters of a key. The longer it is, the fewer titles hold it: three digits would stand in most titles with a number.
+KEY_LENGTHS = (12, 6, 3)
+
+
+def _grams(text: Column, letter: str) -> Column:
+    """The runs of so many letters as there are in a key, from each position of a text."""
+    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=({letter}{{{n}}}))"), F.lit(1)) for n in KEY_LENGTHS]))
+
+
 def pattern_keys(selections: DataFrame) -> DataFrame:
-    """(name, pattern, key) of selections: three characters that every title a pattern matches contains, of which few patterns have the same.
+    """(name, pattern, key) of selections: a run of characters that every title a pattern matches contains, of which few patterns have the same.
 
-    They are taken from the plain text between wildcards, classes and repeated characters. A pattern without such text, or with
-    alternatives, groups or bounds, has an empty key.
+    It is taken from the plain text between wildcards, classes and repeated characters, and is as long as one of ``KEY_LENGTHS``. A
+    pattern without such text, or with alternatives, groups or bounds, has an empty key.
     """
     simple = F.regexp_replace("pattern", r"\\[bBdDsSwW]", ".")
     simple = F.regexp_replace(simple, r"\[\^?[^\[\]&^\\]+\]", ".")
     unsafe = simple.rlike(r"[|\\(){\[\]]")
     plain = F.regexp_replace(simple, r"(?s).[*+?]+", ".")
-    runs = F.regexp_extract_all(plain, F.lit(r"(?=([A-Za-z0-9 À-ÖØ-Ýà-öø-ý]{3}))"), F.lit(1))
+    runs = _grams(plain, "[A-Za-z0-9 À-ÖØ-Ýà-öø-ý]")
     grams = F.when(unsafe, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(runs, _folded)))
     numbered = selections.where("pattern is not null").select("name", "pattern", F.monotonically_increasing_id().alias("number"), grams.alias("grams"))
     numbered = materialised(numbered)
     spread = numbered.select("number", F.explode("grams").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("patterns"))
-    rarest = spread.join(shared, "key").groupBy("number").agg(F.min(F.struct("patterns", "key"))["key"].alias("key"))
+    # Of keys that as many patterns have, the longest.
+    rarest = spread.join(shared, "key").groupBy("number").agg(F.min(F.struct("patterns", (-F.length("key")).alias("n"), "key"))["key"].alias("key"))
     return numbered.join(rarest, "number", "left").select("name", "pattern", F.coalesce("key", F.lit("")).alias("key"))
 
 
 def selected_titles(rows: DataFrame, selections: DataFrame) -> DataFrame:
     """Rows × named selections (name, pattern, label) whose pattern a title matches.
 
-    A title meets the patterns whose key it contains, and those without a key; only these are tried. Each pattern has one key, so
-    no row and selection meet twice. The keys are broadcast if they are few.
+    A title meets the patterns whose key it contains, and those without a key; only these are tried, once for all rows of equal
+    titles. Each pattern has one key, so no title and selection meet twice. The keys are broadcast if they are few; if they are
+    more, their hashes, which leave only those parts of the titles that some pattern has; beyond that both sides are shuffled.
     """
-    keys = counted_side(pattern_keys(selections).select(F.col("name").alias("selection"), F.col("pattern").alias("_pattern"), F.col("key").alias("_key")), 1024)
-    grams = [F.regexp_extract_all(_folded(F.coalesce(F.col(x), F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)) for x in ("titre", "titre_nl")]
-    met = rows.select("*", F.explode(F.array_distinct(F.concat(*grams, F.array(F.lit(""))))).alias("_key")).join(keys, "_key")
-    return met.where(title_matches(F.col("_pattern"), F.col("titre"), F.col("titre_nl"))).drop("_key", "_pattern")
+    keys = materialised(pattern_keys(selections).select(F.col("name").alias("selection"), F.col("pattern").alias("_pattern"), F.col("key").alias("_key")))
+    n_keys = keys.count()
+    titles = rows.select("titre", "titre_nl").distinct()
+    folded = [_grams(_folded(F.coalesce(F.col(x), F.lit(""))), ".") for x in ("titre", "titre_nl")]
+    parts = titles.select("*", F.explode(F.array_distinct(F.concat(*folded))).alias("_key"))
+    if not fits_broadcast(n_keys, 1024) and fits_broadcast(n_keys, 32):
+        hashes = keys.select(F.xxhash64("_key").alias("_hash")).distinct()
+        parts = parts.withColumn("_hash", F.xxhash64("_key")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    met = parts.join(small_side(keys.where("_key <> ''"), n_keys, 1024), "_key").drop("_key")
+    # Patterns without a key are tried on every title.
+    met = met.unionByName(titles.crossJoin(small_side(keys.where("_key = ''").drop("_key"), n_keys, 1024)))
+    found = met.where(title_matches(F.col("_pattern"), F.col("titre"), F.col("titre_nl")))
+    found = found.select(F.col("titre").alias("_titre"), F.col("titre_nl").alias("_titre_nl"), "selection")
+    same = F.col("titre").eqNullSafe(F.col("_titre")) & F.col("titre_nl").eqNullSafe(F.col("_titre_nl"))
+    return rows.join(found, same).drop("_titre", "_titre_nl")
 
 
 def fetch_outcomes(planned: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from quaestor.operators import refresh
 from quaestor.operators.refresh import pattern_keys, selected_titles
 
 
@@ -39,3 +42,21 @@ def test_no_rows_and_no_selections(spark):
     none = spark.createDataFrame([], "name string, pattern string")
     assert selected_titles(rows, none).collect() == []
     assert selected_titles(rows.limit(0), none.union(spark.createDataFrame([("n", "a")], none.schema))).collect() == []
+
+
+def test_numbered_patterns_have_keys_of_their_own(spark):
+    numbers = spark.range(5000).select(F.col("id").cast("string").alias("name"), F.concat(F.lit(r"\bDossier "), F.col("id").cast("string"), F.lit("[0-9]* ?[^0-9]")).alias("pattern"))
+    assert pattern_keys(numbers).groupBy("key").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_more_keys_than_can_be_broadcast(spark, monkeypatch):
+    titles = [(i, f"Dossier {i} clos" if i % 3 else None, f"vraag {i}" if i % 2 else None) for i in range(60)]
+    rows = spark.createDataFrame([*titles, titles[1]], "id int, titre string, titre_nl string")
+    patterns = [(str(n), rf"dossier {n}[0-9]* ?[^0-9]") for n in range(60)] + [("all", "clos|vraag"), ("nl", "vraag 1")]
+    selections = spark.createDataFrame(patterns, "name string, pattern string")
+    expected = sorted(map(tuple, selected_titles(rows, selections).select("id", "selection").collect()))
+    assert expected
+    for budget in (62 * 32, 1):
+        monkeypatch.setattr(refresh, "fits_broadcast", lambda rows, size, budget=budget: rows * size <= budget)
+        monkeypatch.setattr(refresh, "small_side", lambda df, rows, size, budget=budget: df)
+        assert sorted(map(tuple, selected_titles(rows, selections).select("id", "selection").collect())) == expected
