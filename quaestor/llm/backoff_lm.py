@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,7 +226,7 @@ _SUMS = "run long, row long, doc_id long, n_words long, total double, n int, sum
 
 def _joined(rows: pa.Table, frequent: _Frequent, total: float) -> pa.Table:
     """Sums per document of what the entries of one part score; and the documents' own rows."""
-    own = rows.filter(pa.compute.is_null(rows.column("n")))
+    own = rows.filter(pc.is_null(rows.column("n")))
     run = own.column("row").to_numpy() >> RUN_BITS
     own = pa.table([pa.array(run), *(own.column(x) for x in ("row", "doc_id", "n_words", "own")), pa.nulls(len(run), pa.int32()), pa.nulls(len(run), pa.binary())], names=_SUM_NAMES)
     blocks = [(x.as_py(), y.as_py()) for x, y in zip(rows.column("block"), rows.column("n"), strict=True) if y.is_valid]
@@ -270,7 +271,7 @@ _SUM_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
 
 def _whole(rows: pa.Table) -> pa.Table:
     """Documents of one run with the sums of all parts."""
-    own = rows.filter(pa.compute.is_null(rows.column("n")))
+    own = rows.filter(pc.is_null(rows.column("n")))
     place = np.full(1 << RUN_BITS, 0, np.int64)
     place[own.column("row").to_numpy() & ((1 << RUN_BITS) - 1)] = np.arange(len(own))
     total = own.column("total").to_numpy().copy()
