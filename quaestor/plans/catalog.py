@@ -80,7 +80,7 @@ def index_scan(spark, folder):
 
 @query
 def envelope_scan(spark, folder):
-    """The index written as envelopes of one JSON object each, and read back in byte ranges."""
+    """The index written as envelopes of one JSON object each, two or more as the index grows, and read back in byte ranges."""
     path = shared_folder(spark, "envelopes")
     S.write_envelopes(D.index_file_rows(spark, folder), path, 2)
     rows = P.index_rows(P.read_index(spark, path))

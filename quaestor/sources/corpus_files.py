@@ -27,8 +27,16 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return surroundings(spark, path, ENVELOPE_SCHEMA), records
 
 
+#: Rows of an envelope that a task puts in order before it writes them.
+ENVELOPE_ROWS = 100_000
+
+
 def write_envelopes(rows: DataFrame, path: str, shards: int) -> None:
-    """Index rows (row array<string>) as ``shards`` files ``{"data": [[...], ...]}``, by hash of the row; the first element is empty."""
+    """Index rows (row array<string>) as files ``{"data": [[...], ...]}``, by hash of the row; the first element is empty.
+
+    There are at least ``shards`` files, and more where they would have over ``ENVELOPE_ROWS`` rows each: a task orders whole files.
+    """
+    shards = max(shards, -(-rows.count() // ENVELOPE_ROWS))
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     lines = rows.select(shard.alias("shard"), F.lit(1).alias("part"), F.concat(F.lit(","), F.to_json("row")).alias("value"))
     edges = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.inline(F.array(

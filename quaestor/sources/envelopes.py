@@ -19,6 +19,8 @@ CLOSING = {"[": "]", "{": "}"}
 STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 RANGE = ("file", "start")
+#: Tasks that the ranges are ordered in, for each task that reads them: files may be far smaller than what one task reads.
+TASKS_PER_SCAN = 4
 
 
 def _count(text: Column, character: str) -> Column:
@@ -36,7 +38,9 @@ def pieces(spark: SparkSession, path: str, opening: str) -> DataFrame:
         F.monotonically_increasing_id().alias("place"),
         F.col("value").alias("piece"),
     )
-    counted = raw.withColumn("quotes", _count(F.regexp_replace("piece", r"(?s)\\.", ""), '"'))
+    # As many tasks as there is text for, whatever the session's partitions: a task orders the ranges it has.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_SCAN * raw.rdd.getNumPartitions())
+    counted = raw.withColumn("quotes", _count(F.regexp_replace("piece", r"(?s)\\.", ""), '"')).repartition(tasks, *RANGE)
     earlier = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     so_far = W.partitionBy(*RANGE).orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy(*RANGE).orderBy("place").rowsBetween(W.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quaestor.sources.corpus_files import read_corpus
 from quaestor.sources.envelopes import array_elements, elements, pieces
@@ -55,3 +56,16 @@ def test_corpus_without_records(spark, tmp_path):
     envelope, found = read_corpus(spark, str(path))
     assert [tuple(r) for r in envelope.collect()] == [("2026", 0, None)]
     assert found.collect() == []
+
+
+def test_as_many_envelopes_as_the_rows_need(spark, tmp_path, monkeypatch):
+    from quaestor.sources import corpus_files
+    from quaestor.sources.index_pages import read_index
+
+    monkeypatch.setattr(corpus_files, "ENVELOPE_ROWS", 10)
+    rows = spark.range(95).select(F.array(F.col("id").cast("string"), F.lit("a]b")).alias("row"))
+    corpus_files.write_envelopes(rows, f"{tmp_path}/index", 2)
+    files = list((tmp_path / "index").glob("shard=*/*.txt"))
+    assert len(files) == 10 and max(len(json.loads(x.read_text())["data"]) for x in files) <= 30
+    found = [tuple(r.row) for r in read_index(spark, f"{tmp_path}/index").collect() if r.row]
+    assert sorted(found) == sorted((str(i), "a]b") for i in range(95))
