@@ -24,6 +24,8 @@ from quaestor.operators.sizing import hot_join
 from quaestor.session import materialised
 
 TERM_ROW_BYTES = 64
+#: Terms up to which a pass over the texts is told them by value.
+LITERAL_TERMS = 1 << 14
 # A term every record has: its document frequency is the number of records.
 EVERY_RECORD = ""
 
@@ -148,11 +150,30 @@ def idf(df: Column, n_records: Column) -> Column:
     return F.log(1 + n_records / (1 + df))
 
 
-def matched_records(records: DataFrame, forms: DataFrame, n_terms: int) -> DataFrame:
+def _matched_in_place(records: DataFrame, terms: list[str]) -> DataFrame:
+    """``matched_records`` of words that are terms themselves, and of records that are rows: narrow."""
+    wanted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in [EVERY_RECORD, *terms])
+    prepared = answered(records).select(
+        "question_id",
+        F.coalesce(index_words(F.col("titre")), F.array().cast("array<string>")).alias("title_words"),
+        F.array_append(F.array_distinct(index_words(indexed_text())), F.lit(EVERY_RECORD)).alias("words"),
+    )
+    # The title's words are looked up once a record: what a lambda refers to may be computed for each of its elements.
+    found = prepared.select("question_id", "title_words", F.expr(f"filter(words, w -> w IN ({wanted}))").alias("found"))
+    titled = F.transform(F.array_intersect("found", "title_words"), lambda w: F.struct(w.alias("term"), F.lit(True).alias("in_title")))
+    others = F.transform(F.array_except("found", "title_words"), lambda w: F.struct(w.alias("term"), F.lit(False).alias("in_title")))
+    return found.select("question_id", F.concat(titled, others).alias("entries"))
+
+
+def matched_records(records: DataFrame, forms: DataFrame, n_terms: int, stemmed: bool = True) -> DataFrame:
     """(question_id, entries): the wanted terms of each record (term, in_title), a row for each record.
 
-    Written once: the only pass over the texts serves the frequencies and the scores.
+    Written once: the only pass over the texts serves the frequencies and the scores. Terms that are words, up to
+    ``LITERAL_TERMS`` of them, are told by value, so that a record's entries stay where its text is; roots, more terms and
+    records of several rows are joined and grouped.
     """
+    if not stemmed and n_terms <= LITERAL_TERMS and records.groupBy("question_id").count().where("count > 1").isEmpty():
+        return materialised(_matched_in_place(records, [r.word for r in forms.select("word").distinct().collect()]))
     every = forms.sparkSession.createDataFrame([(EVERY_RECORD, EVERY_RECORD)], "term string, word string")
     wanted = forms.select("term", "word").unionByName(every)
     found = hot_join(document_words(records), wanted, ["word"], "question_id", n_terms + 1, TERM_ROW_BYTES)
@@ -171,7 +192,7 @@ def matched_and_weights(
     forms = word_forms(terms, words)
     # A root has any number of written forms: they are counted before they are sent anywhere.
     n_forms = n_terms if words is None else forms.count()
-    matched = matched_records(records, forms, n_forms)
+    matched = matched_records(records, forms, n_forms, words is not None)
     frequency = matched.select(F.inline("entries")).groupBy("term").agg(F.count("*").alias("df"))
     n_records = frequency.where(F.col("term") == EVERY_RECORD).select("df").scalar()
     weight = idf(F.col("df"), n_records) / F.sqrt("n_terms")

@@ -62,6 +62,27 @@ def test_scores_do_not_depend_on_how_the_terms_are_spread(spark, corpus):
     assert few == many and few
 
 
+def test_records_are_matched_in_place_as_by_a_join(spark, corpus, monkeypatch):
+    from quaestor.operators import lexical
+
+    terms = query_terms(queries(spark, "pêcheurs permis phare barques location"), stemmed=False)
+    forms = lexical.word_forms(terms, None)
+    # Two rows of one id are one record, which only the join sees.
+    twice = corpus.unionByName(corpus.limit(1).withColumn("question", F.lit("phare et barques")))
+
+    def found(records):
+        rows = lexical.matched_records(records, forms, 40, stemmed=False)
+        return sorted((r.question_id, sorted((e.term, bool(e.in_title)) for e in r.entries)) for r in rows.collect())
+
+    in_place, of_two = found(corpus), found(twice)
+    plans = []
+    monkeypatch.setattr(lexical, "_matched_in_place", lambda *x: plans.append(x))
+    found(twice)
+    assert not plans  # no record is taken for two
+    monkeypatch.setattr(lexical, "LITERAL_TERMS", 0)
+    assert in_place == found(corpus) and of_two == found(twice) and any(entries[1:] for _, entries in in_place)
+
+
 def test_hot_join_salted_equals_plain(spark):
     left = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k bigint, w string")
