@@ -58,16 +58,43 @@ def part_of(key: str | Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def record_terms(records: DataFrame, forms: DataFrame) -> DataFrame:
-    """(term, question_id, in_title): the distinct roots of each answered record by the given written forms (word, term)."""
+def _said(records: DataFrame) -> DataFrame:
+    """(question_id, word, in_title): the distinct words of each answered record."""
     prepared = answered(records).select(
         "question_id",
         index_words(F.col("titre")).alias("title_words"),
         F.array_distinct(index_words(indexed_text())).alias("words"),
     )
     words = prepared.select("question_id", "title_words", F.explode_outer("words").alias("word")).where("word is not null")
-    flagged = words.select("question_id", "word", F.array_contains("title_words", F.col("word")).alias("in_title"))
-    return flagged.join(forms, "word").groupBy("question_id", "term").agg(F.max("in_title").alias("in_title"))
+    return words.select("question_id", "word", F.array_contains("title_words", F.col("word")).alias("in_title"))
+
+
+def record_terms(records: DataFrame, forms: DataFrame) -> DataFrame:
+    """(term, question_id, in_title): the distinct roots of each answered record by the given written forms (word, term)."""
+    return _said(records).join(forms, "word").groupBy("question_id", "term").agg(F.max("in_title").alias("in_title"))
+
+
+def term_blocks(records: DataFrame, forms: DataFrame | None, slots: int) -> DataFrame:
+    """(term, slot, titled, n, entries) of the answered records, by written forms (word, term); None: words are terms.
+
+    Words are shuffled once, to their blocks; a record that has a root in several forms is one entry there.
+    """
+    said = _said(records)
+    if forms is None:
+        rooted = said.withColumnRenamed("word", "term")
+    else:
+        rooted = hot_join(said, forms, ["word"], "question_id", forms.count(), TERM_ROW_BYTES)
+    entry = F.struct("question_id", "in_title")
+    found = rooted.withColumn("slot", part_of("question_id", slots)).groupBy("term", "slot").agg(F.collect_list(entry).alias("found"))
+    titled = F.array_distinct(F.transform(F.filter("found", lambda e: e["in_title"]), lambda e: e["question_id"]))
+    sides = found.select("term", "slot", F.transform("found", lambda e: e["question_id"]).alias("all"), titled.alias("titled"))
+
+    def entries(ids: Column, in_title: bool) -> Column:
+        return F.transform(ids, lambda x: F.struct(x.alias("question_id"), F.lit(in_title).alias("in_title")))
+
+    both = F.concat(entries(F.col("titled"), True), entries(F.array_except("all", "titled"), False))
+    blocks = sides.select("term", "slot", (F.size("titled") > 0).alias("titled"), both.alias("entries"))
+    return blocks.select("term", "slot", "titled", F.size("entries").alias("n"), "entries")
 
 
 @dataclass(frozen=True)
@@ -155,8 +182,8 @@ def _written(rows: DataFrame, path: str, parts: int, key: str) -> None:
     spread.sortWithinPartitions("part", key).write.partitionBy("part").parquet(path)
 
 
-def _segment(log: CommitLog, records: DataFrame, removed: DataFrame, negative: DataFrame | None, parts: int, slots: int, stemmed: bool) -> tuple[str, int]:
-    """Writes a segment of ``records`` (with content_hash); its folder and the number of its answered records.
+def _segment(log: CommitLog, records: DataFrame, removed: DataFrame, negative: DataFrame | None, parts: int, slots: int, stemmed: bool) -> str:
+    """Writes a segment of ``records`` (with content_hash); its folder.
 
     ``negative``: (term, df) of records that leave.
     """
@@ -166,19 +193,19 @@ def _segment(log: CommitLog, records: DataFrame, removed: DataFrame, negative: D
     records.select("question_id", "content_hash").write.parquet(f"{path}/members")
     removed.select("question_id").write.parquet(f"{path}/removed")
     kept = answered(records)
-    words = vocabulary(kept).select("word", F.col("stem").alias("term") if stemmed else F.col("word").alias("term"))
-    _written(words.select("term", "word"), f"{path}/forms", parts, "term")
-    forms = log.read([f"{folder}/forms"], FORMS).select("word", "term")
-    entry = F.struct("question_id", "in_title")
-    blocks = record_terms(kept, forms).withColumn("slot", part_of("question_id", slots)).groupBy("term", "slot").agg(
-        F.max("in_title").alias("titled"), F.count("*").cast("int").alias("n"), F.collect_list(entry).alias("entries")
-    )
-    _written(blocks, f"{path}/postings", parts, "term")
+    forms = None
+    if stemmed:
+        _written(vocabulary(kept).select(F.col("stem").alias("term"), "word"), f"{path}/forms", parts, "term")
+        forms = log.read([f"{folder}/forms"], FORMS).select("word", "term")
+    _written(term_blocks(kept, forms, slots), f"{path}/postings", parts, "term")
+    if not stemmed:
+        said = log.read([f"{folder}/postings"], POSTINGS).select("term").distinct()
+        _written(said.select("term", F.col("term").alias("word")), f"{path}/forms", parts, "term")
     counted = log.read([f"{folder}/postings"], POSTINGS).groupBy("term").agg(F.sum("n").alias("df"))
     if negative is not None:
         counted = counted.unionByName(negative.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
     _written(counted, f"{path}/frequencies", parts, "term")
-    return folder, kept.count()
+    return folder
 
 
 def _schema_of(records: DataFrame) -> str:
@@ -189,8 +216,9 @@ def build_index(records: DataFrame, root: str, version: str, stemmed: bool = Tru
     """Writes the index of ``records`` (question_id once each) as the new state under ``root``."""
     log = CommitLog(records.sparkSession, root)
     hashed = _hashed(records)
-    slots = max(1, -(-answered(records).count() // SLOT_RECORDS))
-    folder, n = _segment(log, hashed, hashed.limit(0), None, parts, slots, stemmed)
+    n = answered(records).count()
+    slots = max(1, -(-n // SLOT_RECORDS))
+    folder = _segment(log, hashed, hashed.limit(0), None, parts, slots, stemmed)
     state = {"version": version, "stemmed": stemmed, "parts": parts, "slots": slots, "n_records": n, "contents": _schema_of(records), "segments": [folder]}
     number = log.commit(lambda _, before: state)
     return StoredIndex(log, number, state)
@@ -225,12 +253,13 @@ def refresh_index(records: DataFrame, root: str, version: str) -> StoredIndex:
         said = gone.select(F.explode(F.array_distinct(index_words(indexed_text()))).alias("word")).distinct()
         own = with_stems(said, "word", "term") if state["stemmed"] else said.withColumn("term", F.col("word"))
         negative = record_terms(gone, own).groupBy("term").agg(F.count("*").alias("df"))
-        folder, n = _segment(log, changed, removed, negative, index.parts, index.slots, state["stemmed"])
+        n = answered(changed).count()
+        folder = _segment(log, changed, removed, negative, index.parts, index.slots, state["stemmed"])
         new = {**state, "version": version, "n_records": state["n_records"] + n - gone.count(), "segments": [*state["segments"], folder]}
         if len(new["segments"]) > MOST_SEGMENTS or new["n_records"] > 2 * SLOT_RECORDS * index.slots:
             slots = max(1, -(-new["n_records"] // SLOT_RECORDS))
-            folder, n = _segment(log, hashed, hashed.limit(0), None, index.parts, slots, state["stemmed"])
-            new = {**new, "slots": slots, "n_records": n, "segments": [folder]}
+            folder = _segment(log, hashed, hashed.limit(0), None, index.parts, slots, state["stemmed"])
+            new = {**new, "slots": slots, "segments": [folder]}
         return new
 
     number = log.commit(change)

@@ -107,3 +107,19 @@ def test_nothing_changed_and_no_records(spark, corpus, tmp_path):
     same_postings(I.refresh_index(rows.limit(20), str(tmp_path / "b"), "v2"), rows.limit(20), False)
     with pytest.raises(FileNotFoundError):
         I.open_index(spark, str(tmp_path / "c"))
+
+
+def test_blocks_take_one_shuffle_and_one_entry_a_record(spark):
+    """Roots said in several forms, in the title and outside of it; a record without an answer has none."""
+    rows = [("a", "chats", "chat noir", "chats"), ("b", "x", "noire", "chat"), ("c", "chat", "x", None)]
+    records = spark.createDataFrame([(i, t, "", "", q, r) for i, t, q, r in rows], "question_id string, titre string, auteur string, destinataire string, question string, reponse string")
+    forms = spark.createDataFrame([("chat", "chat"), ("chats", "chat"), ("noir", "noir"), ("noire", "noir")], "word string, term string")
+    blocks = I.term_blocks(records, forms, 1)
+    assert {(b.term, b.titled, b.n, tuple(sorted((e.question_id, e.in_title) for e in b.entries))) for b in blocks.collect()} == {
+        ("chat", True, 2, (("a", True), ("b", False))),
+        ("noir", False, 2, (("a", False), ("b", False))),
+    }
+    assert blocks._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    for known in (forms, None):
+        plan = I.term_blocks(records, known, 4)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
