@@ -207,8 +207,13 @@ def lexical_scores(
     ``n_queries`` bounds the query side: it has at most ``MAX_QUERY_TERMS`` rows
     per query, which decides between broadcast and salted shuffle.
     """
-    n_terms = n_queries * MAX_QUERY_TERMS
     matched, weights = matched_and_weights(records, terms, n_queries, words)
+    return scores_of(matched, weights, n_queries)
+
+
+def scores_of(matched: DataFrame, weights: DataFrame, n_queries: int) -> DataFrame:
+    """(query_id, question_id, lexical) of the matched records by the weights (term, query_id, weight) of at most ``n_queries`` queries."""
+    n_terms = n_queries * MAX_QUERY_TERMS
     each = matched.select("question_id", F.inline("entries"))
     scored = hot_join(each, weights, ["term"], "question_id", n_terms, TERM_ROW_BYTES)
     return scored.groupBy("query_id", "question_id").agg(

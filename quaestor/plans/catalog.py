@@ -25,7 +25,7 @@ from quaestor.operators import stored_index as I
 from quaestor.operators import versions as C
 from quaestor.operators.passages import passages, weighted_words
 from quaestor.operators.semantic import nearest_passages, similar_passages
-from quaestor.plans.search import Vectors, mixed_search, ranked_documents, search, search_index, selected_passages, words_per_query
+from quaestor.plans.search import Vectors, match, mixed_search, ranked_documents, search, search_index, selected_passages, words_per_query
 from quaestor.session import materialised, shared_folder
 from quaestor.sources import corpus_files as S
 from quaestor.sources import driver_tables as D
@@ -1213,8 +1213,9 @@ def answer_judgement(spark, folder):
 def ranking_diff(spark, folder):
     """Lexical hits before and after the relevance filter, as two rankings of the same queries."""
     records, queries, n = _search_inputs(spark, folder)
-    local = search(records, queries, stemmed=False, n_queries=n)
-    other = search(records, queries, _vectors(spark, folder, queries), stemmed=False, n_queries=n)
+    found = match(records, queries, stemmed=False, n_queries=n)
+    local = search(records, queries, stemmed=False, n_queries=n, matched=found)
+    other = search(records, queries, _vectors(spark, folder, queries), stemmed=False, n_queries=n, matched=found)
     return E.ranking_differences(local, other).select("query_id", "kind")
 
 

@@ -15,9 +15,9 @@ from quaestor.operators.bounded_fusion import fused
 from quaestor.operators.lexical import (
     answered,
     filter_terms,
-    lexical_scores,
     matched_and_weights,
     query_terms,
+    scores_of,
     vocabulary,
     word_forms,
 )
@@ -41,6 +41,30 @@ class Vectors:
     dimensions: int
 
 
+@dataclass(frozen=True)
+class Match:
+    """One pass over the texts for several searches: the queries' terms, the vocabulary (None unstemmed), the matched records and the weights."""
+
+    terms: DataFrame
+    words: DataFrame | None
+    matched: DataFrame
+    weights: DataFrame
+
+    def of(self, queries: DataFrame) -> Match:
+        """The same match for some of its queries."""
+        own = queries.select("query_id").distinct()
+        return Match(self.terms.join(own, "query_id", "left_semi"), self.words, self.matched, self.weights.join(own, "query_id", "left_semi"))
+
+
+def match(records: DataFrame, queries: DataFrame, stemmed: bool = True, n_queries: int | None = None) -> Match:
+    """The terms of all ``queries`` matched with the records, for searches that each answer some of them or all."""
+    n_queries = queries.count() if n_queries is None else n_queries
+    words = materialised(vocabulary(records)) if stemmed else None
+    terms = materialised(query_terms(queries, stemmed))
+    matched, weights = matched_and_weights(records, terms, n_queries, words)
+    return Match(terms, words, matched, materialised(weights))
+
+
 def words_per_query(terms: DataFrame, words: DataFrame | None, name: str) -> DataFrame:
     """(query_id, name): map from each written form to its root."""
     forms = terms.select("query_id", "term").join(word_forms(terms, words), "term")
@@ -137,11 +161,15 @@ def ranked_documents(
     vectors: Vectors | None = None,
 ) -> DataFrame:
     """Best records of each query: rank fusion with vectors, lexical ranks without."""
-    if vectors is None:
-        return top_lexical(lexical_scores(records, terms, n_queries, words))
     matched, weights = matched_and_weights(records, terms, n_queries, words)
+    return _ranked(matched, weights if vectors is None else materialised(weights), records, n_queries, vectors)
+
+
+def _ranked(matched: DataFrame, weights: DataFrame, records: DataFrame, n_queries: int, vectors: Vectors | None) -> DataFrame:
+    if vectors is None:
+        return top_lexical(scores_of(matched, weights, n_queries))
     searched = vectors.passages.join(answered(records).select("question_id"), "question_id", "left_semi")
-    return fused(matched, materialised(weights), searched, vectors.queries, vectors.dimensions)
+    return fused(matched, weights, searched, vectors.queries, vectors.dimensions)
 
 
 def search(
@@ -151,23 +179,23 @@ def search(
     stemmed: bool = True,
     n_queries: int | None = None,
     filtered: bool | None = None,
+    matched: Match | None = None,
 ) -> DataFrame:
     """Hits of every query: query_id, hit_rank, passage_id, question_id, section, content, position, score.
 
     ``queries``: query_id, text, limit. With vectors the two rankings are fused
     and all hits are kept; without, hits must share enough words with the query
-    (``filtered`` overrides this).
+    (``filtered`` overrides this). ``matched``: the match of these queries, if another search needs it too.
     """
     n_queries = queries.count() if n_queries is None else n_queries
     if vectors is not None:
         # Only vectors of these queries are sent anywhere.
         own = vectors.queries.join(queries.select("query_id").distinct(), "query_id", "left_semi")
         vectors = Vectors(vectors.passages, own, vectors.dimensions)
-    words = materialised(vocabulary(records)) if stemmed else None
-    terms = materialised(query_terms(queries, stemmed))
-    best = ranked_documents(records, queries, terms, n_queries, words, vectors)
+    found = match(records, queries, stemmed, n_queries) if matched is None else matched
+    best = _ranked(found.matched, found.weights, records, n_queries, vectors)
     selected = materialised(select_documents(best, queries))
-    return _hits(selected, records, queries, terms, words, vectors, n_queries, vectors is None if filtered is None else filtered)
+    return _hits(selected, records, queries, found.terms, found.words, vectors, n_queries, vectors is None if filtered is None else filtered)
 
 
 def _hits(
@@ -226,6 +254,7 @@ def mixed_search(
     n_queries = queries.count() if n_queries is None else n_queries
     with_vector = queries.join(vectors.queries.select("query_id"), "query_id", "left_semi").where("use_vectors")
     without = queries.join(with_vector.select("query_id"), "query_id", "left_anti")
-    return search(records, with_vector, vectors, stemmed, n_queries).unionByName(
-        search(records, without, None, stemmed, n_queries)
+    found = match(records, queries, stemmed, n_queries)
+    return search(records, with_vector, vectors, stemmed, n_queries, matched=found.of(with_vector)).unionByName(
+        search(records, without, None, stemmed, n_queries, matched=found.of(without))
     )

@@ -243,3 +243,26 @@ def test_cells_leave_out_what_cannot_be_among_the_nearest(spark):
     assert share < 0.5
     none, share = nearest_passages(vectors.limit(0), asked, 31, 16)
     assert none.count() == 0 and share == 0
+
+
+def test_searches_in_two_modes_share_one_match(spark, monkeypatch):
+    from quaestor.plans import catalog, search
+
+    folder, calls, whole = "/root/testdata/sf0.001", [], search.matched_and_weights
+
+    def told(*args):
+        calls.append(1)
+        return whole(*args)
+
+    monkeypatch.setattr(search, "matched_and_weights", told)
+    mixed = [tuple(r) for r in catalog.mixed_mode_search(spark, folder).collect()]
+    assert len(calls) == 1
+    records, queries, n = catalog._search_inputs(spark, folder)
+    flagged = queries.withColumn("use_vectors", F.length("text") > 200)
+    vectors = catalog._vectors(spark, folder, queries)
+    apart = [
+        search.search(records, flagged.where("use_vectors"), vectors, False, n),
+        search.search(records, flagged.where("not use_vectors"), None, False, n),
+    ]
+    rows = [(r.query_id, r.hit_rank, r.passage_id, round(r.score, 6)) for part in apart for r in part.collect()]
+    assert mixed and sorted((a, b, c, round(d, 6)) for a, b, c, d in mixed) == sorted(rows)
