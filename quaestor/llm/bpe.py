@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quaestor.llm.common import gathered, slices, text_bytes
+from quaestor.llm.common import gathered, slices, text_bounds
 
 #: Entries of a worker's memo of pieces and of its table of token pairs; a full one is begun anew.
 MEMO_ENTRIES = 400_000
@@ -170,7 +170,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iter
     own = codec(path)
     for batch in batches:
         texts = batch.column("text")
-        for low, high in slices(text_bytes(texts)[1]):
+        for low, high in slices(text_bounds(texts)):
             ids = [own.encode(x or "") for x in texts[low:high].to_pylist()]
             flat, counts = np.concatenate(ids), np.array([len(x) for x in ids])
             ends = np.cumsum(counts)

@@ -86,6 +86,21 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
+def text_bounds(column: pa.Array) -> np.ndarray:
+    """Where each text of a column begins and the last ends, counted from anywhere; the texts are not copied."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = column.buffers()[1]
+    if offsets is None or not len(column):
+        return np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def text_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of bounded text (column text)."""
+    for low, high in slices(text_bounds(batch.column("text"))):
+        yield batch.slice(low, high - low)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     values = (values ^ (values >> np.uint64(30))) * _MIX

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import RangeHash, labelled_sample, slices, text_bytes
+from quaestor.llm.common import RangeHash, labelled_sample, slices, text_bounds, text_bytes
 
 #: About so many labelled documents are trained on.
 TRAINED_DOCUMENTS = 4000
@@ -185,7 +185,7 @@ def trained(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, shares
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high in slices(text_bytes(batch.column("text"))[1]):
+        for low, high in slices(text_bounds(batch.column("text"))):
             part = batch.slice(low, high - low)
             features, _, counts = line_features(*text_bytes(part.column("text")))
             ends = np.cumsum(counts)
@@ -225,7 +225,7 @@ def document_scores(raw: np.ndarray, bounds: np.ndarray, chain: Chain) -> np.nda
 def _scored(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        for low, high in slices(text_bytes(texts)[1]):
+        for low, high in slices(text_bounds(texts)):
             part = batch.slice(low, high - low)
             scores = document_scores(*text_bytes(texts[low:high]), chain)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores)], names=["row", "text", "score"])

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import RangeHash, mixed, octets, slices, stored, text_bytes
+from quaestor.llm.common import RangeHash, mixed, octets, stored, text_bytes, text_parts
 
 LENGTH = 100
 GRAM = 24
 #: Windows looked at together; a longer document is taken in such parts.
-PART = 1 << 20
-#: Runs that a task holds to find equal names among them.
-HELD_RUNS = 1 << 19
+PART = 1 << 18
+#: Runs that a task holds to find equal names among them, and those it hands on at once.
+HELD_RUNS, TOLD_RUNS = 1 << 19, 1 << 16
 #: A gram with so many differently surrounded runs within single tasks is frequent.
 FREQUENT = 32
 #: Places of the filter of frequent grams (bits of the gram's hash).
@@ -113,11 +113,13 @@ def _frequent(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         gram, count = np.unique(gram[new], return_counts=True)
         return pa.RecordBatch.from_pydict({"gram": gram[count > 1].view(np.int64), "n": count[count > 1]})
 
-    for batch in batches:
-        held.append(runs_of(*text_bytes(batch.column("text")), length, None)[:2])
-        if sum(len(x[0]) for x in held) >= HELD_RUNS:
+    size = 0
+    for part in (x for batch in batches for x in text_parts(batch)):
+        held.append(runs_of(*text_bytes(part.column("text")), length, None)[:2])
+        size += len(held[-1][0])
+        if size >= HELD_RUNS:
             yield counted()
-            held = []
+            held, size = [], 0
     if held:
         yield counted()
 
@@ -139,29 +141,37 @@ def _named_runs(batches: Iterator[pa.RecordBatch], length: int, packed: np.ndarr
     frequent = None if packed is None else np.unpackbits(packed).astype(bool)
     held: list[tuple[np.ndarray, ...]] = []
 
-    def told() -> pa.RecordBatch:
+    def told() -> Iterator[pa.RecordBatch]:
         gram, name, k, ord_, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((at, ord_, k, name, gram))
-        gram, name, k, ord_, at, n = (x[order] for x in (gram, name, k, ord_, at, n))
-        again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (name[1:] == name[:-1])])[: len(gram)]
-        same = np.concatenate([[False], (k[1:] == k[:-1]) & (ord_[1:] == ord_[:-1]) & (at[1:] == at[:-1])])[: len(gram)] & again
-        own = ~again
-        later = again & ~same
-        out = [x[own] for x in (gram, name, k, ord_, at, n)]
-        k, ord_, at, n = joined(*(x[later] for x in (k, ord_, at, n)))
-        place = mixed((k ^ (at << 20)).view(np.uint64))
-        out = [np.concatenate(x) for x in zip(out, (place, np.zeros(len(k), np.uint64), k, ord_, at, -n), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if t == "long" else x.astype(np.int32)) for x, t in zip(out, ("long", "long", "long", "int", "int", "int"), strict=True)], names=["gram", "name", "k", "ord", "at", "n"])
+        again = np.zeros(len(gram), bool)
+        again[1:] = (gram[order[1:]] == gram[order[:-1]]) & (name[order[1:]] == name[order[:-1]])
+        same = again.copy()
+        for x in (k, ord_, at):
+            same[1:] &= x[order[1:]] == x[order[:-1]]
+        own, later = order[~again], order[again & ~same]
+        for low in range(0, len(own), TOLD_RUNS):
+            yield rows(*(x[own[low : low + TOLD_RUNS]] for x in (gram, name, k, ord_, at, n)))
+        later = joined(*(x[later].astype(np.int64) for x in (k, ord_, at, n)))
+        for low in range(0, len(later[0]), TOLD_RUNS):
+            k, ord_, at, n = (x[low : low + TOLD_RUNS] for x in later)
+            yield rows(mixed((k ^ (at << 20)).view(np.uint64)), np.zeros(len(k), np.uint64), k, ord_, at, -n)
+
+    def rows(gram, name, k, ord_, at, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, name, k)] + [pa.array(x.astype(np.int32)) for x in (ord_, at, n)], names=["gram", "name", "k", "ord", "at", "n"])
 
-    for batch in batches:
-        gram, name, text, at, n = runs_of(*text_bytes(batch.column("text")), length, frequent)
-        k, ord_ = (batch.column(x).to_numpy()[text].astype(np.int64) for x in ("k", "ord"))
-        held.append((gram, name, k, ord_, at, n))
-        if sum(len(x[0]) for x in held) >= HELD_RUNS:
-            yield told()
-            held = []
+    size = 0
+    for part in (x for batch in batches for x in text_parts(batch)):
+        gram, name, text, at, n = runs_of(*text_bytes(part.column("text")), length, frequent)
+        k, ord_ = (part.column(x).to_numpy()[text] for x in ("k", "ord"))
+        held.append((gram, name, k.astype(np.int64), ord_.astype(np.int32), at.astype(np.int32), n.astype(np.int32)))
+        size += len(gram)
+        if size >= HELD_RUNS:
+            yield from told()
+            size = 0
     if held:
-        yield told()
+        yield from told()
 
 
 def joined(k: np.ndarray, ord_: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -363,12 +373,11 @@ _OUTCOME = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n
 
 def _outcome(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, removed = batch.column("text"), batch.column("removed")
-        for low, high in slices(text_bytes(texts)[1]):
-            part = batch.slice(low, high - low)
-            raw, bounds = text_bytes(texts[low:high])
+        for part in text_parts(batch):
+            texts, removed = part.column("text"), part.column("removed")
+            raw, bounds = text_bytes(texts)
             rows: dict[str, list] = {x: [] for x in _OUTCOME.names}
-            for i, (null, ranges) in enumerate(zip(texts[low:high].is_null().to_pylist(), removed[low:high], strict=True)):
+            for i, (null, ranges) in enumerate(zip(texts.is_null().to_pylist(), removed, strict=True)):
                 text = raw[bounds[i] : bounds[i + 1]]
                 at, n = (ranges.values.field(x).to_numpy().astype(np.int64) for x in ("at", "n")) if ranges.is_valid else np.zeros((2, 0), np.int64)
                 edge = np.zeros(len(text) + 1, np.int32)

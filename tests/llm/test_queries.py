@@ -98,6 +98,23 @@ def test_repeats_keep_all_columns_and_frequent_grams_change_nothing(spark, odd_t
         assert Counter((canonical(r.doc_id), *r.repeats) for r in cut.collect()) == expected
 
 
+def test_runs_are_found_in_bounded_memory():
+    """One batch of 16 MB, as Spark hands it to a task: the runs leave in small batches, and a task holds few times its text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = pa.array([rng.integers(97, 123, 4000, np.uint8).tobytes().decode() for _ in range(4000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array([0] * 4000, pa.int32()), texts], names=["k", "ord", "text"])
+    tracemalloc.start()
+    largest = max(out.num_rows for out in suffix_dedup._named_runs(iter([batch]), suffix_dedup.LENGTH, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert largest <= 1 << 16
+    assert peak < 64 << 20
+
+
 def test_longest_previous_factors():
     raw = np.frombuffer(b"abcabcabdxabcabcab" + bytes(range(60)) + b"abcabcabdxabcabcab" + bytes(range(60, 120)), np.uint8)
     starts = np.arange(len(raw) - 34)
