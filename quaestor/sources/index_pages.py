@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaestor.fixed_values import WRITTEN_QUESTION_ASSEMBLY, WRITTEN_QUESTION_TYPE
-from quaestor.functions.html import html_text, unescape
+from quaestor.functions.html import INNER_SPACE, LINE_ENDS, html_text, tidy_lines, unescape, without_tags
 from quaestor.functions.records import parse_day
+from quaestor.functions.text import SPACE
 from quaestor.sources.envelopes import array_elements
 
 # Positions in an index row.
@@ -20,7 +21,8 @@ CODE_PATTERN = r"moncode=(\d+)"
 LABEL = r"\s*(?:&nbsp;|\s)*</b>\s*(?:</td>)?\s*<td[^>]*>(.*?)</td>"
 QUESTION_CELL = rf"(?s)<td[^>]*>\s*<b>Question{LABEL}"
 ANSWER_CELL = rf"(?s)<td[^>]*>\s*<b>R(?:é|&eacute;)ponse{LABEL}"
-NUMBER_PATTERN = r"question n°\s*(\d+)"
+# In a text whose lines are not tidied yet.
+NUMBER_PATTERN = rf"question{INNER_SPACE}+n°[{SPACE}{LINE_ENDS}]*(\d+)"
 PDF_LINK = r"""(?s)<a[^>]+href=['"]([^'"]*\.pdf[^'"]*)['"][^>]*>.*?</a>"""
 TABLE_ROW = r"(?s)<tr>(.*?)</tr>"
 TABLE_CELL = r"(?s)<td[^>]*>(.*?)</td>"
@@ -101,33 +103,47 @@ def parse_pages(pages: DataFrame, layout: PageLayout) -> DataFrame:
     section = F.regexp_extract("html", rf'(?s)<section id="{layout.section_id}".*?</section>', 0)
     located = pages.withColumn("_section", F.regexp_replace(section, "(?s)<!--.*?-->", ""))
     body = F.col("_section")
-    readable = unescape(body)
-
-    def field(label: str) -> Column:
-        value = F.trim(F.regexp_extract(readable, rf"{label}:</b>\s*([^<]+)", 1))
-        return F.when(value != "", value)
-
-    has_question = body.rlike(QUESTION_CELL)
 
     def last_cell(pattern: str) -> Column:
         return F.coalesce(F.try_element_at(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.lit(-1)), F.lit(""))
 
-    # Of several cells with a label the last one counts.
-    question = html_text(last_cell(QUESTION_CELL))
-    answer = html_text(last_cell(ANSWER_CELL))
-    number = F.regexp_extract(html_text(body), NUMBER_PATTERN, 1)
-    parsed = located.select(
+    # In steps: what several columns of one step refer to is computed once, in the step before.
+    stripped = located.select(
+        *pages.columns,
+        "_section",
+        body.rlike(QUESTION_CELL).alias("_has_question"),
+        # Of several cells with a label the last one counts.
+        without_tags(last_cell(QUESTION_CELL)).alias("_question"),
+        without_tags(last_cell(ANSWER_CELL)).alias("_answer"),
+        without_tags(body).alias("_text"),
+    )
+    decoded = stripped.select(
+        *pages.columns,
+        (body != "").alias("_known"),
+        "_has_question",
+        unescape(body).alias("_readable"),
+        tidy_lines(unescape(F.col("_question"))).alias("_question"),
+        tidy_lines(unescape(F.col("_answer"))).alias("_answer"),
+        F.regexp_extract(unescape(F.col("_text")), NUMBER_PATTERN, 1).alias("_number"),
+    )
+    labels = {"session": "Session", "date_publication": "Date de publication", "date_reponse": "Date de réponse"}
+    fields = {f"_{name}": F.trim(F.regexp_extract("_readable", rf"{label}:</b>\s*([^<]+)", 1)) for name, label in labels.items()}
+
+    def field(name: str) -> Column:
+        return F.when(F.col(f"_{name}") != "", F.col(f"_{name}"))
+
+    parsed = decoded.withColumns(fields).select(
         *pages.columns,
         F.concat(F.lit(layout.id_prefix), F.col("moncode")).alias("id"),
         F.concat(F.lit(layout.url_prefix), F.col("moncode"), F.lit(layout.url_suffix)).alias("url_source"),
-        field("Session").alias("session"),
-        F.when(number != "", number.cast("int")).alias("numero"),
-        parse_day(field("Date de publication")).alias("date_publication"),
-        parse_day(field("Date de réponse")).alias("date_reponse"),
-        F.when(has_question, question).alias("question"),
-        F.when(answer != "", answer).alias("reponse"),
+        field("session").alias("session"),
+        F.when(F.col("_number") != "", F.col("_number").cast("int")).alias("numero"),
+        parse_day(field("date_publication")).alias("date_publication"),
+        parse_day(field("date_reponse")).alias("date_reponse"),
+        F.when(F.col("_has_question"), F.col("_question")).alias("question"),
+        F.when(F.col("_answer") != "", F.col("_answer")).alias("reponse"),
         F.sha2("html", 256).alias("empreinte_contenu"),
-        (body != "").alias("_known"),
+        "_known",
     )
     reason = (
         F.when(~F.col("_known"), "unknown_structure")

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
+from quaestor.functions.html import HIDDEN_PATTERN, html_text
 from quaestor.functions.stemming import A_VERB_ENDINGS, I_VERB_ENDINGS, PLAIN_VERB_ENDINGS, STEP_1_ENDINGS, with_stems
 from quaestor.plans.stem_sql import stems
+from quaestor.sources.index_pages import PageLayout, parse_pages
 
 # Published sample of the French Snowball vocabulary (accent-free words).
 STEMS = {
@@ -106,3 +108,24 @@ def test_stems_equal_those_of_the_sql(spark):
     got = {r.word: r.stem for r in with_stems(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
     assert len(got) == len(words)
     assert {w: (got[w], expected[w]) for w in words if got[w] != expected[w]} == {}
+
+
+def test_lines_are_tidied_as_line_by_line(spark):
+    rng = random.Random(5)
+    parts = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", " ", " ", "\xa0", " ", "﻿", "a", "b c", "é", "<br>", "</p>", "&nbsp;", "&amp;"]
+    texts = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+
+    def by_hand(text):
+        plain = text.replace("<br>", "\n").replace("</p>", "\n").replace("&nbsp;", "\xa0").replace("&amp;", "&")
+        lines = re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", plain)
+        return "\n".join(x for line in lines if (x := re.sub("[ \t\xa0 ﻿]+", " ", line).strip(" ")))
+
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", html_text(F.col("text")).alias("got")).collect()
+    assert all(r.got == (None if r.text is None else by_hand(r.text)) for r in rows)
+
+
+def test_a_page_is_stripped_once_for_each_of_its_texts(spark):
+    """What several columns refer to is computed in a step of its own: question, answer and the whole page, each once."""
+    pages = spark.createDataFrame([("1", '<section id="s"></section>')], "moncode string, html string").repartition(1)
+    plan = parse_pages(pages, PageLayout("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(HIDDEN_PATTERN) == 3
