@@ -20,7 +20,7 @@ from quaestor.fixed_values import (
 from quaestor.functions.records import present, record_text
 from quaestor.functions.stemming import with_stems
 from quaestor.functions.text import expanded, fold_accents, index_words, query_words, word_array
-from quaestor.operators.sizing import hot_join
+from quaestor.operators.sizing import BROADCAST_BYTES, hot_join
 from quaestor.session import materialised
 
 TERM_ROW_BYTES = 64
@@ -120,25 +120,45 @@ def document_words(records: DataFrame) -> DataFrame:
     return prepared.select("question_id", "title_words", F.explode_outer("words").alias("word"))
 
 
-def postings(records: DataFrame, stemmed: bool = True) -> DataFrame:
+def postings(records: DataFrame, stemmed: bool = True, broadcast_rows: int = BROADCAST_BYTES // TERM_ROW_BYTES) -> DataFrame:
     """(term, question_id, tf, in_title): the index, clustered by record."""
     prepared = answered(records).select(
         "question_id",
         index_words(F.col("titre")).alias("title_words"),
         index_words(indexed_text()).alias("words"),
     )
-    words = prepared.select("question_id", "title_words", F.explode_outer("words").alias("word"))
-    counted = (
-        words.select("question_id", "word", F.array_contains("title_words", F.col("word")).alias("in_title"))
-        .groupBy("question_id", "word")
-        .agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title"))
-    )
+    exploded = prepared.select("question_id", "title_words", F.explode_outer("words").alias("word"))
+    words = exploded.select("question_id", "word", F.array_contains("title_words", F.col("word")).alias("in_title"))
     if not stemmed:
+        counted = words.groupBy("question_id", "word").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title"))
         return counted.select(F.col("word").alias("term"), "question_id", "tf", "in_title")
-    rooted = counted.join(vocabulary(records), "word")
-    return rooted.groupBy(F.col("stem").alias("term"), "question_id").agg(
-        F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")
-    )
+    stems = materialised(with_stems(words.groupBy("word").agg(F.count("*").alias("n"))))
+    return _postings_of_roots(words, stems, broadcast_rows)
+
+
+def _postings_of_roots(words: DataFrame, stems: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(term, question_id, tf, in_title) of words (question_id, word, in_title) by their stems (word, n, stem).
+
+    The most frequent words, as many as a broadcast holds, meet their stems where the texts are, so that a frequent word
+    never gathers its records in one task and one shuffle is left. Only rarer ones, if there are any, are joined by word.
+    """
+    sums = F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")
+    power = F.floor(F.log2("n"))
+    sizes, least, held = {r.power: r.words for r in stems.groupBy(power.alias("power")).agg(F.count("*").alias("words")).collect()}, 0, 0
+    for size in sorted(sizes, reverse=True):
+        held += sizes[size]
+        if held > broadcast_rows:
+            least = size + 1
+            break
+    frequent = F.broadcast(stems.where(power >= least).select("word", "stem"))
+    if not least:
+        return words.join(frequent, "word").groupBy(F.col("stem").alias("term"), "question_id").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title"))
+    told = words.join(frequent, "word", "left")
+    own = F.when(F.col("stem").isNull(), F.col("word"))
+    counted = materialised(told.groupBy("stem", own.alias("word"), "question_id").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title")))
+    rare = counted.where("stem is null").drop("stem").join(stems.where(power < least).select("word", "stem"), "word")
+    columns = [F.col("stem").alias("term"), "question_id", "tf", "in_title"]
+    return counted.where("stem is not null").select(columns).unionByName(rare.select(columns)).groupBy("term", "question_id").agg(*sums)
 
 
 def document_frequency(index: DataFrame, n_records: Column) -> DataFrame:

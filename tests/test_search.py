@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaestor.operators import evaluation as E
 from quaestor.operators import ranking as K
 from quaestor.operators.bounded_fusion import ScoreList, fused_block
-from quaestor.operators.lexical import filter_terms, lexical_query, lexical_scores, query_terms, vocabulary
+from quaestor.operators.lexical import filter_terms, lexical_query, lexical_scores, postings, query_terms, vocabulary
 from quaestor.operators.semantic import nearest_passages, semantic_scores, similar_passages, top_similar
 from quaestor.operators.sizing import hot_join
 from quaestor.plans.search import Vectors, search
@@ -266,3 +266,19 @@ def test_searches_in_two_modes_share_one_match(spark, monkeypatch):
     ]
     rows = [(r.query_id, r.hit_rank, r.passage_id, round(r.score, 6)) for part in apart for r in part.collect()]
     assert mixed and sorted((a, b, c, round(d, 6)) for a, b, c, d in mixed) == sorted(rows)
+
+
+def test_stemmed_postings_are_shuffled_once_and_agree_however_few_words_are_broadcast(spark, corpus):
+    """Against the roots counted by hand; a record in two rows counts as one, a word without a record is in no posting."""
+    rows = corpus.unionByName(corpus.where("question_id = 'Q2'"))
+    stem_of = {r.word: r.stem for r in vocabulary(rows).collect()}
+    expected = {}
+    for r in postings(rows, stemmed=False).where("term is not null").collect():
+        tf, titled = expected.get((stem_of[r.term], r.question_id), (0, False))
+        expected[stem_of[r.term], r.question_id] = (tf + r.tf, titled or r.in_title)
+    for bound in (1 << 20, 12, 0):
+        found = postings(rows, broadcast_rows=bound)
+        got = [((r.term, r.question_id), (r.tf, r.in_title)) for r in found.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == expected
+    plan = postings(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
