@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import text as T
 from quaestor.functions.html import HIDDEN_PATTERN, html_text
 from quaestor.functions.stemming import A_VERB_ENDINGS, I_VERB_ENDINGS, PLAIN_VERB_ENDINGS, STEP_1_ENDINGS, with_stems
+from quaestor.functions.vectors import normalised, substitute_vector
 from quaestor.plans.stem_sql import stems
 from quaestor.sources.index_pages import PageLayout, parse_pages
 
@@ -129,3 +132,18 @@ def test_a_page_is_stripped_once_for_each_of_its_texts(spark):
     pages = spark.createDataFrame([("1", '<section id="s"></section>')], "moncode string, html string").repartition(1)
     plan = parse_pages(pages, PageLayout("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(HIDDEN_PATTERN) == 3
+
+
+def test_substitute_vectors_digest_a_text_once_for_each_dimension(spark):
+    rows = spark.createDataFrame([("a b",), ("",), (None,)], "text string").repartition(1)
+    vectors = rows.select("text", substitute_vector(F.col("text"), 8).alias("v"))
+    assert vectors._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+    def by_hand(text):
+        parts = [(text or "") + ":" * (text is not None) + str(i) for i in range(1, 9)]
+        raw = [(x - (1 << 32) * (x >= 1 << 31)) / 2.0**31 for x in (int(hashlib.md5(p.encode()).hexdigest()[:8], 16) for p in parts)]
+        return [x / math.sqrt(sum(y * y for y in raw)) for x in raw]
+
+    assert all(r.v == pytest.approx(by_hand(r.text), abs=1e-15) for r in vectors.collect())
+    lengths = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<float>").select(normalised(F.col("v")).alias("v")).collect()
+    assert [r.v for r in lengths] == [[0.6, 0.8], [None, None], [], None]
