@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ from quaestor.fixed_values import (
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: what a lambda refers to is computed for each element, its argument is not."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_accents(text: Column) -> Column:
     """Lower case without accents, ligatures opened."""
     folded = F.translate(F.lower(text), ACCENTED, UNACCENTED)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaestor.functions.text import once
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
@@ -26,11 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """The vector by its length, both computed once: what a lambda refers to is computed for each element, its argument is not."""
-
-    def once(value: Column, use: Callable[[Column], Column]) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
+    """The vector by its length, both computed once."""
     measured = once(a, lambda v: F.struct(v.alias("v"), norm(v).alias("length")))
     return once(measured, lambda m: F.transform(m["v"], lambda x: F.try_divide(x.cast("double"), m["length"])))
 

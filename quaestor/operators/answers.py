@@ -34,7 +34,7 @@ from quaestor.fixed_values import (
 )
 from quaestor.functions.records import date_label, nature, official_url, present
 from quaestor.functions.stemming import with_stems
-from quaestor.functions.text import expanded, fold_accents, query_words, sentence_pieces
+from quaestor.functions.text import expanded, fold_accents, once, query_words, sentence_pieces
 from quaestor.operators.lexical import root_maps, rooted
 from quaestor.operators.running import running
 
@@ -163,7 +163,10 @@ def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHA
     )
 
     def window(parts: Column, focus: Column) -> Column:
-        matches = F.transform(parts, lambda p: F.size(F.array_intersect(p["words"], focus)))
+        # The words of the focus and the matches of the pieces are computed once, not again for each piece.
+        return once(focus, lambda f: once(F.transform(parts, lambda p: F.size(F.array_intersect(p["words"], f))), lambda matches: grown(parts, matches)))
+
+    def grown(parts: Column, matches: Column) -> Column:
         best = F.array_position(matches, F.array_max(matches))
         begin = F.struct(
             best.cast("int").alias("first"), best.cast("int").alias("last"), F.element_at(parts, best.cast("int"))["size"].alias("size")
@@ -210,7 +213,7 @@ def focused_excerpts(text: Column, focuses: Column, max_chars: int = EXCERPT_CHA
 
     whole = F.array(F.concat(F.when(opened(clean), "… ").otherwise(""), clean))
     # The pieces are computed once and handed to the functions above.
-    cut = F.element_at(F.transform(F.array(prepared), excerpts), 1)
+    cut = once(prepared, excerpts)
     return F.when(F.length(clean) <= max_chars, whole).otherwise(cut)
 
 
@@ -219,7 +222,9 @@ def with_excerpts(cited: DataFrame) -> DataFrame:
     keys = ["query_id", "passage_id"]
     roots = root_maps(cited, keys, F.concat(query_words(F.col("content")), F.flatten("focuses")))
     cut = focused_excerpts(F.col("content"), F.col("focuses"), roots=F.col("roots"))
-    return cited.join(roots, keys, "left").withColumn("excerpts", cut).drop("roots")
+    # Few rows, each of much work: without a number of their own they would be put together in one task.
+    spread = cited.join(roots, keys, "left").repartition(cited.sparkSession.sparkContext.defaultParallelism, *keys)
+    return spread.withColumn("excerpts", cut).drop("roots")
 
 
 def sources(cited: DataFrame, records: DataFrame, hosts: Iterable[str]) -> DataFrame:

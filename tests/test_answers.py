@@ -166,3 +166,14 @@ def test_rare_words_are_single_by_root(spark):
     rows = [("Q1", "Les tramways fluviaux du port", "q", "r"), ("Q2", "Le port", "tramway", "r"), ("Q3", "Les digues", "digue", "r"), ("Q4", "Les falaises", "q", None)]
     records = spark.createDataFrame([(i, t, "", "", q, r) for i, t, q, r in rows], "question_id string, titre string, auteur string, destinataire string, question string, reponse string")
     assert {tuple(r) for r in rare_title_words(records).collect()} == {("fluviaux", "Q1"), ("digues", "Q3")}
+
+
+def test_excerpts_are_cut_in_many_tasks_and_matches_counted_once(spark):
+    rows = [(i, f"p{i}", "Un phare. " * 400 + "La barque part.", [["barque"]]) for i in range(40)]
+    cited = spark.createDataFrame(rows, "query_id int, passage_id string, content string, focuses array<array<string>>")
+    cut = A.with_excerpts(cited)
+    assert cut.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert all("La barque part." in r.excerpts[0] for r in cut.collect())
+    plan = spark.createDataFrame([("x", [["y"]])], "t string, f array<array<string>>").repartition(1)
+    plan = plan.select(A.focused_excerpts(F.col("t"), F.col("f")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") <= 2
