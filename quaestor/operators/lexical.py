@@ -120,6 +120,20 @@ def document_words(records: DataFrame) -> DataFrame:
     return prepared.select("question_id", "title_words", F.explode_outer("words").alias("word"))
 
 
+def power_of(count: str) -> Column:
+    return F.floor(F.log2(count))
+
+
+def least_power(words: DataFrame, rows: int) -> int:
+    """The least power of two such that of the words (n: how often each occurs) at most ``rows`` occur as often; 0 if there are no more."""
+    sizes, held = {r.power: r.words for r in words.groupBy(power_of("n").alias("power")).agg(F.count("*").alias("words")).collect()}, 0
+    for size in sorted(sizes, reverse=True):
+        held += sizes[size]
+        if held > rows:
+            return size + 1
+    return 0
+
+
 def postings(records: DataFrame, stemmed: bool = True, broadcast_rows: int = BROADCAST_BYTES // TERM_ROW_BYTES) -> DataFrame:
     """(term, question_id, tf, in_title): the index, clustered by record."""
     prepared = answered(records).select(
@@ -143,13 +157,7 @@ def _postings_of_roots(words: DataFrame, stems: DataFrame, broadcast_rows: int)
     never gathers its records in one task and one shuffle is left. Only rarer ones, if there are any, are joined by word.
     """
     sums = F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")
-    power = F.floor(F.log2("n"))
-    sizes, least, held = {r.power: r.words for r in stems.groupBy(power.alias("power")).agg(F.count("*").alias("words")).collect()}, 0, 0
-    for size in sorted(sizes, reverse=True):
-        held += sizes[size]
-        if held > broadcast_rows:
-            least = size + 1
-            break
+    power, least = power_of("n"), least_power(stems, broadcast_rows)
     frequent = F.broadcast(stems.where(power >= least).select("word", "stem"))
     if not least:
         return words.join(frequent, "word").groupBy(F.col("stem").alias("term"), "question_id").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title"))

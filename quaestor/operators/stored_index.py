@@ -27,17 +27,21 @@ from pyspark.sql import functions as F
 from quaestor.fixed_values import MAX_QUERY_TERMS, MAX_RESULTS, TITLE_WEIGHT
 from quaestor.functions.records import content_hash
 from quaestor.functions.stemming import with_stems
-from quaestor.functions.text import index_words
-from quaestor.operators.lexical import TERM_ROW_BYTES, answered, idf, indexed_text, vocabulary
+from quaestor.functions.text import fold_accents, index_words, word_array
+from quaestor.operators.lexical import TERM_ROW_BYTES, answered, idf, indexed_text, least_power, power_of
 from quaestor.operators.ranking import tied
-from quaestor.operators.sizing import counted_side, hot_join, small_side
+from quaestor.operators.sizing import BROADCAST_BYTES, counted_side, hot_join, small_side
 from quaestor.session import materialised
 from quaestor.sources.commit_log import CommitLog
 
 #: Records of a slot on average, and folders of each table.
 SLOT_RECORDS, PARTS = 8, 32
-#: Files that a folder's blocks are spread over while they are written: a frequent term has many blocks.
+#: Files that a folder's rows are spread over while they are written.
 WRITERS_PER_PART = 8
+#: Characters of text whose words a task puts in order at once, and written forms of which each task has the roots.
+TASK_CHARS, TOLD_FORMS = 16 << 20, BROADCAST_BYTES // TERM_ROW_BYTES
+#: Bytes of an id.
+ID_BYTES = 32
 #: Slots of a query that are scored before any is skipped.
 FIRST_SLOTS = 16
 #: Terms or records up to which a scan is told them by value; more are joined.
@@ -50,6 +54,7 @@ SLACK = 1e-8
 POSTINGS = "term string, slot int, titled boolean, n int, entries array<struct<question_id:string,in_title:boolean>>, part int"
 FREQUENCIES = "term string, df long, part int"
 FORMS = "term string, word string, part int"
+COUNTED_FORMS = "term string, word string, n long, part int"
 REMOVED = "question_id string"
 MEMBERS = "question_id string, content_hash string"
 
@@ -58,43 +63,78 @@ def part_of(key: str | Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def _said(records: DataFrame) -> DataFrame:
-    """(question_id, word, in_title): the distinct words of each answered record."""
-    prepared = answered(records).select(
-        "question_id",
-        index_words(F.col("titre")).alias("title_words"),
-        F.array_distinct(index_words(indexed_text())).alias("words"),
-    )
-    words = prepared.select("question_id", "title_words", F.explode_outer("words").alias("word")).where("word is not null")
-    return words.select("question_id", "word", F.array_contains("title_words", F.col("word")).alias("in_title"))
+def _said(rows: DataFrame, words: Column) -> DataFrame:
+    """The words of each row (title_words), one by one, and whether they stand in its title."""
+    said = rows.withColumn("word", F.explode_outer(words)).where("word != ''")
+    return said.withColumn("in_title", F.array_contains("title_words", F.col("word"))).drop("title_words", "words")
 
 
-def record_terms(records: DataFrame, forms: DataFrame) -> DataFrame:
-    """(term, question_id, in_title): the distinct roots of each answered record by the given written forms (word, term)."""
-    return _said(records).join(forms, "word").groupBy("question_id", "term").agg(F.max("in_title").alias("in_title"))
+def _rooted_apart(records: DataFrame, frequent: DataFrame, rare: DataFrame) -> DataFrame:
+    """Rows like those of records, each with a term that a record has in a ``rare`` form (word, term)."""
+    seldom = _said(records, F.col("words")).join(frequent, "word", "left_anti").join(rare, "word")
+    titles = F.when(F.col("in_title"), F.array("term")).when(~F.col("in_title"), F.array().cast("array<string>"))
+    return seldom.select("question_id", "slot", titles.alias("title_words"), F.col("term").alias("words"), F.lit(True).alias("rooted"))
 
 
-def term_blocks(records: DataFrame, forms: DataFrame | None, slots: int) -> DataFrame:
-    """(term, slot, titled, n, entries) of the answered records, by written forms (word, term); None: words are terms.
+def term_blocks(
+    records: DataFrame, forms: DataFrame | None, slots: int, tasks: int | None = None, least: int = 0, parts: int = PARTS
+) -> DataFrame:
+    """(part, term, slot, titled, n, entries) of the answered records, by written forms (word, term); None: words are terms.
 
-    Words are shuffled once, to their blocks; a record that has a root in several forms is one entry there.
+    Whole records are shuffled to the ``tasks`` of their slots; there their words are put in order once, so that the entries
+    of a block stand together and the blocks come out in the order they are stored in. A record that has a root in several
+    forms is one entry. Forms are sent to every task; if they are too many, only those that occur 2^``least`` times or more
+    (n), and what is said in others finds its root before, apart from the texts.
     """
-    said = _said(records)
-    if forms is None:
-        rooted = said.withColumnRenamed("word", "term")
+    prepared = answered(records).select(
+        "question_id",
+        part_of("question_id", slots).alias("slot"),
+        index_words(F.col("titre")).alias("title_words"),
+        F.array_distinct(index_words(indexed_text())).alias("words"),
+    )
+    # Words have no spaces; as one text they take half the room of an array.
+    packed = prepared.withColumns({"words": F.array_join("words", " "), "rooted": F.lit(False)})
+    frequent = forms
+    if least:
+        frequent = F.broadcast(forms.where(power_of("n") >= least).select("word", "term"))
+        packed = packed.unionByName(_rooted_apart(prepared, frequent, forms.where(power_of("n") < least).select("word", "term")))
+    dealt = packed.repartition("slot") if tasks is None else packed.repartition(tasks, "slot")
+    rooted = _said(dealt, F.split("words", " "))
+    if least:
+        rooted = rooted.join(frequent, "word", "left").withColumn("term", F.when(F.col("rooted"), F.col("word")).otherwise(F.col("term"))).where("term is not null")
     else:
-        rooted = hot_join(said, forms, ["word"], "question_id", forms.count(), TERM_ROW_BYTES)
+        rooted = rooted.withColumnRenamed("word", "term") if forms is None else rooted.join(F.broadcast(forms.select("word", "term")), "word")
+    rooted = rooted.select("question_id", "slot", "term", "in_title", part_of("term", parts).alias("part"))
+    block = W.partitionBy("part", "term", "slot").orderBy("question_id")
+    every = block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     entry = F.struct("question_id", "in_title")
-    found = rooted.withColumn("slot", part_of("question_id", slots)).groupBy("term", "slot").agg(F.collect_list(entry).alias("found"))
+    found = rooted.withColumns({"found": F.collect_list(entry).over(every), "place": F.row_number().over(block)}).where("place = 1")
     titled = F.array_distinct(F.transform(F.filter("found", lambda e: e["in_title"]), lambda e: e["question_id"]))
-    sides = found.select("term", "slot", F.transform("found", lambda e: e["question_id"]).alias("all"), titled.alias("titled"))
+    sides = found.select("part", "term", "slot", F.transform("found", lambda e: e["question_id"]).alias("all"), titled.alias("titled"))
 
     def entries(ids: Column, in_title: bool) -> Column:
         return F.transform(ids, lambda x: F.struct(x.alias("question_id"), F.lit(in_title).alias("in_title")))
 
     both = F.concat(entries(F.col("titled"), True), entries(F.array_except("all", "titled"), False))
-    blocks = sides.select("term", "slot", (F.size("titled") > 0).alias("titled"), both.alias("entries"))
-    return blocks.select("term", "slot", "titled", F.size("entries").alias("n"), "entries")
+    blocks = sides.select("part", "term", "slot", (F.size("titled") > 0).alias("titled"), both.alias("entries"))
+    return blocks.select("part", "term", "slot", "titled", F.size("entries").alias("n"), "entries")
+
+
+def _tasks(chars: int, spark: SparkSession) -> int:
+    """Tasks that texts of so many characters are dealt to: bounded ones, and small ones as long as there are cores for them."""
+    return max(-(-chars // TASK_CHARS), min(spark.sparkContext.defaultParallelism, -(-chars // (TASK_CHARS >> 4))), 1)
+
+
+def _volume(kept: DataFrame) -> tuple[int, int]:
+    """How many records there are and how many tasks their texts take."""
+    row = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(indexed_text())), F.lit(0)).alias("chars")).first()
+    return row.n, _tasks(row.chars, kept.sparkSession)
+
+
+def _counted(forms: DataFrame) -> tuple[DataFrame, int]:
+    """(word, term, n): stored written forms once each, and the least power of two of those that are sent to every task."""
+    once = forms.groupBy("word", "term").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+    return once, least_power(once, TOLD_FORMS)
 
 
 @dataclass(frozen=True)
@@ -135,7 +175,7 @@ class StoredIndex:
     def removed_after(self, segment: int) -> DataFrame | None:
         """Records that a later segment replaces or drops, None if there is no later one."""
         later = self.folders("removed")[segment + 1 :]
-        return self.log.read(later, REMOVED).distinct() if later else None
+        return counted_side(self.log.read(later, REMOVED).distinct(), ID_BYTES) if later else None
 
     def live(self, name: str, schema: str) -> DataFrame:
         """A table of records without those that later segments remove."""
@@ -176,28 +216,41 @@ def _hashed(records: DataFrame) -> DataFrame:
     return records.withColumn("content_hash", content_hash(fields, F.lit("index")))
 
 
+def _in_place(rows: DataFrame, path: str, *order: str) -> None:
+    """Writes rows (with part) to the folders of their parts from where they are."""
+    rows.sortWithinPartitions("part", *order).write.partitionBy("part").parquet(path)
+
+
 def _written(rows: DataFrame, path: str, parts: int, key: str) -> None:
     rows = rows.withColumn("part", part_of(key, parts))
     spread = rows.repartition("part", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(WRITERS_PER_PART)))
-    spread.sortWithinPartitions("part", key).write.partitionBy("part").parquet(path)
+    _in_place(spread, path, key)
 
 
-def _segment(log: CommitLog, records: DataFrame, removed: DataFrame, negative: DataFrame | None, parts: int, slots: int, stemmed: bool) -> str:
-    """Writes a segment of ``records`` (with content_hash); its folder.
+def _segment(
+    log: CommitLog, records: DataFrame, removed: DataFrame, negative: DataFrame | None, parts: int, slots: int | None, stemmed: bool
+) -> tuple[str, int, int]:
+    """Writes a segment of ``records`` (with content_hash); its folder, the number of its answered records and the slots.
 
-    ``negative``: (term, df) of records that leave.
+    ``negative``: (term, df) of records that leave. ``slots``: None for as many as the records need. The records are
+    worked out once, for their own table; all others are made from that.
     """
     folder = log.folder("segments")
     path = f"{log.root}/{folder}"
-    _written(records.drop("content_hash"), f"{path}/contents", parts, "question_id")
-    records.select("question_id", "content_hash").write.parquet(f"{path}/members")
+    _in_place(records.withColumn("part", part_of("question_id", parts)), f"{path}/contents", "question_id")
+    stored = log.read([f"{folder}/contents"], _schema_of(records)).drop("part")
+    stored.select("question_id", "content_hash").write.parquet(f"{path}/members")
     removed.select("question_id").write.parquet(f"{path}/removed")
-    kept = answered(records)
-    forms = None
+    kept = answered(stored)
+    n, tasks = _volume(kept)
+    slots = max(1, -(-n // SLOT_RECORDS)) if slots is None else slots
+    forms, least = None, 0
     if stemmed:
-        _written(vocabulary(kept).select(F.col("stem").alias("term"), "word"), f"{path}/forms", parts, "term")
-        forms = log.read([f"{folder}/forms"], FORMS).select("word", "term")
-    _written(term_blocks(kept, forms, slots), f"{path}/postings", parts, "term")
+        words = kept.select(F.explode_outer(F.array_distinct(word_array(fold_accents(indexed_text())))).alias("word"))
+        roots = with_stems(words.groupBy("word").agg(F.count("*").alias("n")), "word", "term")
+        _written(roots.select("term", "word", "n"), f"{path}/forms", parts, "term")
+        forms, least = _counted(log.read([f"{folder}/forms"], COUNTED_FORMS))
+    _in_place(term_blocks(kept, forms, slots, tasks, least, parts), f"{path}/postings", "term", "slot")
     if not stemmed:
         said = log.read([f"{folder}/postings"], POSTINGS).select("term").distinct()
         _written(said.select("term", F.col("term").alias("word")), f"{path}/forms", parts, "term")
@@ -205,7 +258,7 @@ def _segment(log: CommitLog, records: DataFrame, removed: DataFrame, negative: D
     if negative is not None:
         counted = counted.unionByName(negative.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
     _written(counted, f"{path}/frequencies", parts, "term")
-    return folder
+    return folder, n, slots
 
 
 def _schema_of(records: DataFrame) -> str:
@@ -216,9 +269,7 @@ def build_index(records: DataFrame, root: str, version: str, stemmed: bool = Tru
     """Writes the index of ``records`` (question_id once each) as the new state under ``root``."""
     log = CommitLog(records.sparkSession, root)
     hashed = _hashed(records)
-    n = answered(records).count()
-    slots = max(1, -(-n // SLOT_RECORDS))
-    folder = _segment(log, hashed, hashed.limit(0), None, parts, slots, stemmed)
+    folder, n, slots = _segment(log, hashed, hashed.limit(0), None, parts, None, stemmed)
     state = {"version": version, "stemmed": stemmed, "parts": parts, "slots": slots, "n_records": n, "contents": _schema_of(records), "segments": [folder]}
     number = log.commit(lambda _, before: state)
     return StoredIndex(log, number, state)
@@ -243,22 +294,21 @@ def refresh_index(records: DataFrame, root: str, version: str) -> StoredIndex:
 
     def change(number: int, state: dict[str, Any]) -> dict[str, Any]:
         index = StoredIndex(log, number, state)
-        hashed = _hashed(records)
-        before = materialised(index.members())
-        changed = materialised(hashed.join(before, ["question_id", "content_hash"], "left_anti"))
-        kept = hashed.select("question_id", "content_hash")
-        removed = materialised(before.join(kept, ["question_id", "content_hash"], "left_anti").select("question_id"))
-        old = answered(records_of(index, removed.select("question_id")))
-        gone = materialised(old)
-        said = gone.select(F.explode(F.array_distinct(index_words(indexed_text()))).alias("word")).distinct()
-        own = with_stems(said, "word", "term") if state["stemmed"] else said.withColumn("term", F.col("word"))
-        negative = record_terms(gone, own).groupBy("term").agg(F.count("*").alias("df"))
-        n = answered(changed).count()
-        folder = _segment(log, changed, removed, negative, index.parts, index.slots, state["stemmed"])
-        new = {**state, "version": version, "n_records": state["n_records"] + n - gone.count(), "segments": [*state["segments"], folder]}
+        hashed, keys = _hashed(records), ["question_id", "content_hash"]
+        before, own = index.members(), materialised(hashed.select(*keys))
+        # Digests are compared, then the texts of those that differ are looked up: equal digests are equal records.
+        differ = counted_side(own.join(before, keys, "left_anti").select("content_hash").distinct(), TERM_ROW_BYTES)
+        changed = hashed.join(differ, "content_hash", "left_semi").select(*hashed.columns)
+        removed = materialised(before.join(own, keys, "left_anti").select("question_id"))
+        gone = answered(records_of(index, removed))
+        left, tasks = _volume(gone)
+        # Every word of a stored record is among the forms of the segments.
+        forms, least = _counted(index.table("forms", COUNTED_FORMS)) if state["stemmed"] else (None, 0)
+        negative = term_blocks(gone, forms, index.slots, tasks, least, index.parts).groupBy("term").agg(F.sum("n").alias("df"))
+        folder, n, _ = _segment(log, changed, removed, negative, index.parts, index.slots, state["stemmed"])
+        new = {**state, "version": version, "n_records": state["n_records"] + n - left, "segments": [*state["segments"], folder]}
         if len(new["segments"]) > MOST_SEGMENTS or new["n_records"] > 2 * SLOT_RECORDS * index.slots:
-            slots = max(1, -(-new["n_records"] // SLOT_RECORDS))
-            folder = _segment(log, hashed, hashed.limit(0), None, index.parts, slots, state["stemmed"])
+            folder, n, slots = _segment(log, hashed, hashed.limit(0), None, index.parts, None, state["stemmed"])
             new = {**new, "slots": slots, "segments": [folder]}
         return new
 
@@ -308,7 +358,9 @@ def _factor(titled: Column) -> Column:
 
 def _bounds(index: StoredIndex, weights: DataFrame, n_terms: int) -> DataFrame:
     """(query_id, slot, bound): no record of the slot scores more. Of the blocks only their heads are read."""
-    heads = _wanted(index.table("postings", POSTINGS), weights, "term", index.parts).groupBy("term", "slot").agg(F.max("titled").alias("titled"))
+    heads = _wanted(index.table("postings", POSTINGS), weights, "term", index.parts).select("term", "slot", "titled")
+    if len(index.state["segments"]) > 1:  # one segment has one block of a term and a slot
+        heads = heads.groupBy("term", "slot").agg(F.max("titled").alias("titled"))
     met = hot_join(heads, weights.select("term", "query_id", "weight"), ["term"], "slot", n_terms, TERM_ROW_BYTES)
     return met.groupBy("query_id", "slot").agg(F.sum(F.col("weight") * _factor(F.col("titled"))).alias("bound"))
 
@@ -331,7 +383,7 @@ def indexed_scores(index: StoredIndex, terms: DataFrame, n_queries: int, k: int
     """
     n_terms = n_queries * MAX_QUERY_TERMS
     weights = materialised(term_weights(index, terms))
-    bounds = _bounds(index, weights, n_terms)
+    bounds = materialised(_bounds(index, weights, n_terms))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "slot"))
     first = materialised(bounds.withColumn("place", place).where(F.col("place") <= FIRST_SLOTS).select("query_id", "slot"))
     scored = materialised(_best_of(_scored(index, first, weights, n_terms), k))

@@ -123,3 +123,42 @@ def test_blocks_take_one_shuffle_and_one_entry_a_record(spark):
     for known in (forms, None):
         plan = I.term_blocks(records, known, 4)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_records_are_shuffled_once_and_their_words_put_in_order_once(spark, corpus):
+    """No list of entries is shuffled or gathered before its block is whole; with too many forms only what is said in the rare ones moves."""
+    rows, _ = corpus
+    forms = spark.createDataFrame([("rue", "ru", 300), ("rues", "ru", 2)], "word string, term string, n long")
+
+    def plan(*args):
+        return I.term_blocks(rows, *args)._jdf.queryExecution().executedPlan().toString()
+
+    for text in (plan(None, 4), plan(forms, 4)):
+        assert "ObjectHashAggregate" not in text and text.count("Sort [") == 1
+        assert text.count("Exchange hashpartitioning(slot") == 1 == text.count("Exchange hashpartitioning(")
+    assert "_salt" not in plan(forms, 4, None, 4)
+    told = {(b.term, e.question_id) for b in I.term_blocks(rows, forms, 4, 3, 4).collect() for e in b.entries}
+    assert told and told == {(b.term, e.question_id) for b in I.term_blocks(rows, forms, 4).collect() for e in b.entries}
+
+
+def test_more_forms_than_are_sent_to_a_task(spark, corpus, tmp_path, monkeypatch):
+    rows, queries = corpus
+    monkeypatch.setattr(I, "TOLD_FORMS", 9)
+    index = I.build_index(rows, str(tmp_path), "v1", parts=3)
+    same_postings(index, rows, True)
+    n = F.substring("question_id", 3, 9).cast("int")
+    later = materialised(rows.where(n % 5 != 0).withColumn("reponse", F.when(n % 7 == 0, F.lit("écoles zinzolin")).otherwise(F.col("reponse"))))
+    same_postings(I.refresh_index(later, str(tmp_path), "v2"), later, True)
+
+
+def test_a_build_works_its_records_out_once(spark, corpus, tmp_path):
+    rows, _ = corpus
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    I.build_index(rows.mapInArrow(counted, rows.schema), str(tmp_path), "v1", stemmed=False, parts=2)
+    assert seen.value == rows.count()
