@@ -11,11 +11,14 @@ from quaestor.fixed_values import EMBEDDING_DIMENSIONS
 from quaestor.functions.records import content_hash, index_config
 from quaestor.functions.vectors import substitute_vector
 from quaestor.operators.passages import passages
+from quaestor.operators.sizing import counted_side
 from quaestor.operators.versions import activated, activation_checks
 from quaestor.session import materialised
 from quaestor.sources.commit_log import CommitLog
 from quaestor.sources.corpus_files import append_absent, published_state, read_published, read_store, store_in
 
+#: Bytes of a content_hash in a row of its own.
+HASH_BYTES = 128
 MEMBERS = "version_id string, question_id string, content_hash string"
 
 
@@ -42,7 +45,11 @@ def load_version(
     hashed = records.withColumn("content_hash", content_hash(fields, config))
     stored = read_store(spark, root, "documents")
     # Only passages of contents that no earlier load stored are split and embedded.
-    new = hashed if stored is None else hashed.join(stored.select("content_hash"), "content_hash", "left_anti")
+    new = hashed
+    if stored is not None:
+        # Digests are compared by themselves, so that no text is moved to find what is new.
+        unknown = hashed.select("content_hash").join(stored.select("content_hash"), "content_hash", "left_anti").distinct()
+        new = hashed.join(counted_side(unknown, HASH_BYTES), "content_hash", "left_semi")
     parts = passages(new, "content_hash")
     vector = F.lit(None).cast("array<double>") if model is None else substitute_vector(F.col("search_text"), dimensions)
     stored_parts = parts.withColumns({"embedding": vector, "embedding_model": F.lit(model).cast("string")})
