@@ -409,3 +409,24 @@ def test_limits_of_a_refresh_are_checked():
     for wrong in ({"asked": 801}, {"asked": -1}, {"max_records": 0}, {"max_missing": -1}):
         with pytest.raises(ValueError):
             N.RefreshLimits(**wrong)
+
+
+def test_a_later_load_moves_no_text_to_find_what_is_new(spark, tmp_path, monkeypatch):
+    """What is new is told by its digests; repeated rows and rows without an id or texts are loaded as they are."""
+    from quaestor.sources import loading
+
+    schema = "question_id string, titre string, auteur string, destinataire string, question string, reponse string"
+    rows = [("R-1", "T", None, "M", "Quoi ?", "Ceci."), ("R-1", "T", None, "M", "Quoi ?", "Ceci."), (None, None, None, None, None, None)]
+    later = [*rows, ("R-2", "T", "A", "M", "Qui ?", "Cela.")]
+    plans, whole = [], loading.append_absent
+
+    def told(new, root, name, keys):
+        plans.append(new._jdf.queryExecution().optimizedPlan().toString())
+        return whole(new, root, name, keys)
+
+    monkeypatch.setattr(loading, "append_absent", told)
+    for name, part in (("a", rows), ("b", later)):
+        loading.load_version(spark.createDataFrame(part, schema), str(tmp_path), name, "m", F.lit(T0))
+    assert len(plans) == 4 and all("LeftAnti" not in x for x in plans)
+    assert sorted(str(r.question_id) for r in S.read_store(spark, str(tmp_path), "documents").collect()) == ["None", "R-1", "R-2"]
+    assert loading.version_members(spark, str(tmp_path)).where("version_id = 'b'").count() == 4
